@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_rules
+from . import best_fit_packing, chat_format, language_id, pii_crf, quality_rules, secret_ledger
 
 QUERIES = {
+    "op1_chat_windows": chat_format.op1_chat_windows,
     "op2_repetition_quality": quality_rules.op2_repetition_quality,
+    "op4_pii_crf": pii_crf.op4_pii_crf,
+    "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
     "op9_language_id": language_id.op9_language_id,
+    "op10_secret_ledger": secret_ledger.op10_secret_ledger,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL}
