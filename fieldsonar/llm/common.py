@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ CHUNK_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -82,13 +84,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 class Words:
     """All words `[^\\x20\\x09-\\x0D]+` of a chunk of texts, found on bytes without a loop over texts."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE) -> None:
         self.raw, self.bounds = bytes_of(texts)
         if lower:
             self.raw = _LOWER[self.raw]
         self.n_docs = len(texts)
         raw, bounds = self.raw, self.bounds
-        self.is_word = ~_SPACE[raw]
+        self.is_word = ~separators[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[bounds] = True
         before = np.empty(len(raw), dtype=bool)
@@ -147,5 +149,37 @@ def within(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, block: int = 1 << 12) -> np.ndarray:
+    """Sums of the arrays of `size` counters that count() gives for bounded slices of rows (text column t).
+
+    Each task adds up its own; blocks of counters are then added in the executors, in a stream. The driver gets
+    size / block rows, however large the table.
+    """
+    schema = "block int, counts array<long>"
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                total += count(part)
+        for at in range(0, size, block):
+            if (own := total[at : at + block]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = own.values.to_numpy(zero_copy_only=False)
+                sums[at] = sums[at] + values if at in sums else values.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["block", "counts"])
+
+    total = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(of_task, schema).repartition("block").mapInArrow(add, schema).collect():
+        total[r["block"] : r["block"] + len(r["counts"])] += np.array(r["counts"])
+    return total
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -376,31 +376,33 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
 
 
-def pii(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = True) -> DataFrame:
-    """One row per row of docs: its key and other columns, counts, digest, spans, and the text with spans masked.
+def pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = True) -> DataFrame:
+    """One row per row of docs: the columns in keep, counts and digest of base spans, all spans, and the masked text.
 
     Null text counts as empty and has no spans (masked is then null); repeated rows each give a row; an empty table
-    gives an empty one. Columns of docs that clash with the result's are left out. Narrow: no shuffle.
+    gives an empty one. Columns not in keep are left aside, so that their names cannot clash. Narrow: no shuffle.
     """
     field = trained()
     shared = docs.sparkSession.sparkContext.broadcast((field.w.astype(np.float32), field.t))
-    kind = docs.schema[key].dataType.simpleString()
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Field()
         f.w, f.t = shared.value[0].astype(float), shared.value[1]
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "__t"):
                 rows = []
-                for t in part.column(1).to_pylist():
+                for t in part.column(n).to_pylist():
                     base, every = find(t or "", f)
                     counts = [sum(x[1] == i for x in base) for i in range(4)]
                     rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), None if t is None or not mask else masked(t, every)))
-                cols = list(zip(*rows)) if rows else [()] * 7
                 types = [pa.int64()] * 4 + [pa.string()] * 3
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, ty) for c, ty in zip(cols, types)]], names=["k", *[s.split()[0] for s in SCHEMA.split(", ")]])
+                names = [*(f"__c{i}" for i in range(n)), *[s.split()[0] for s in SCHEMA.split(", ")]]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *[pa.array(c, ty) for c, ty in zip(zip(*rows), types)]], names=names)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {SCHEMA}").withColumnRenamed("k", key)
+    schema = ", ".join([f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [SCHEMA])
+    got = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__t")).mapInArrow(run, schema)
+    return got.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(keep)})
 
 
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

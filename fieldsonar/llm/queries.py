@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, chat_format, language_id, pii_crf, quality_rules, secret_ledger
+from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup
 
 QUERIES = {
     "op1_chat_windows": chat_format.op1_chat_windows,
     "op2_repetition_quality": quality_rules.op2_repetition_quality,
+    "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op4_pii_crf": pii_crf.op4_pii_crf,
+    "op5_latent_decontamination": latent_decontamination.op5_latent_decontamination,
+    "op6_cotraining_quality": quality_classifier.op6_cotraining_quality,
+    "op7_sentence_spans": substring_dedup.op7_sentence_spans,
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
