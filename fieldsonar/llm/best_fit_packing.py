@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, documents, mixed, text_column, written
+from .common import Words, bytes_of, chunks, documents, mixed, text_column, written
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -29,15 +30,50 @@ END_ID = 0
 SHARD = 4096
 ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 2, 2, 4, 6, 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Bytes of text that are encoded at once.
+ENCODED = 4_000_000
 
 PIECE = "doc {kind}, piece int, start long, length int, ids_crc32 long, salt long"
 
 
+_ONE_KIND = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:;=?@\[-`{}~]+")
+_LETTER, _SIGN, _OTHER = 1, 2, 0
+_KIND = np.zeros(256, np.uint8)
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+#: ASCII signs, but for an apostrophe (contractions) and what special tokens are written with.
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = _SIGN
+
+
+class Parts(Words):
+    """Words of texts, cut further between letters and signs; `simple` marks parts of one kind alone.
+
+    Letters are those of ASCII and two-byte Latin ones; no cut is made beside any other character.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        special = b"<|" in bytes_of(texts)[0].tobytes()
+        super().__init__(texts, lower=not special)
+        kind = _KIND[self.raw]
+        latin = np.zeros(len(kind), dtype=bool)
+        if len(kind) > 1:
+            latin[:-1] = (self.raw[:-1] == 0xC3) & (self.raw[1:] != 0x97) & (self.raw[1:] != 0xB7)
+            latin[1:] |= latin[:-1]
+        kind[latin] = _LETTER
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] != _OTHER) & (kind[:-1] != _OTHER)) + 1 if not special else np.zeros(0, np.int64)
+        # white space is of no kind, so a cut is always inside a word, but may be between two texts
+        cut = np.setdiff1d(cut, self.starts, assume_unique=True)
+        self.starts, self.ends = np.sort(np.concatenate([self.starts, cut])), np.sort(np.concatenate([self.ends, cut]))
+        self.first = np.searchsorted(self.starts, self.bounds)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(self.n_docs), self.counts)
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer file, each distinct word encoded once.
+    """Ids of texts by a tokenizer file, each distinct part of a word encoded once.
 
-    Right for tokenizers whose ids of a text are those of its words (parts between ASCII white space) in turn.
+    Right for lower-casing tokenizers that cut texts at white space and between letters and signs and whose last id of
+    each such part has an end mark.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,34 +81,54 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.ends) < 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.bounds = [0]
+        self.ids = np.zeros(1 << 16, self.kind)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Parts of one kind go in groups, split again at the end marks; others one by one."""
+        plain = [x for x in words if _ONE_KIND.fullmatch(x)]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        flat, size, order = [], [], []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(g) and ends[-1] == len(ids):
+                flat.append(ids)
+                size.append(np.diff(ends, prepend=0))
+                order += g
+        done = set(order) if len(order) < len(words) else ()
+        rest = [x for x in words if x not in done] if done else ([] if order else words)
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+            flat.append(np.array(e.ids, self.kind))
+            size.append(np.array([len(e.ids)]))
+            order.append(x)
+        if not order:
+            return
+        new, n, at = np.concatenate(flat), np.concatenate(size), int(self.bounds[-1])
+        while at + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(new)] = new
+        self.known.update(zip(order, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(order))))
+        self.bounds = np.concatenate([self.bounds, at + np.cumsum(n)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's bounds in them."""
-        w = Words(texts)
+        w = Parts(texts)
         number, words = w.ids()
         words = words.to_pylist()
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.bounds = [0]
-        new = [x for x in words if x not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)]
-            flat = np.fromiter((i for g in got for i in g), self.ids.dtype, sum(map(len, got)))
-            end = self.bounds[-1]
-            while end + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[end : end + len(flat)] = flat
-            for x, g in zip(some, got):
-                self.known[x] = len(self.bounds) - 1
-                end += len(g)
-                self.bounds.append(end)
-        slot = np.fromiter((self.known[x] for x in words), np.int64, len(words))
-        bounds = np.array(self.bounds, np.int64)
-        begin, size = bounds[slot][number], (bounds[slot + 1] - bounds[slot])[number]
+            self._forget()
+        self._learn([x for x in words if x not in self.known])
+        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        begin, size = self.bounds[slot][number], (self.bounds[slot + 1] - self.bounds[slot])[number]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         at = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
@@ -94,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
             _LOADED[tokenizer] = WordTokenizer(tokenizer)
         encode, done = _LOADED[tokenizer], TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "t", ENCODED):
                 ids, bounds = encode(part.column(1))
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 end = np.array([END_ID], "<u4")
