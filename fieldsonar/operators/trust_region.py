@@ -1,0 +1,202 @@
+"""Bounded robust least squares in a few unknowns: a reflective trust-region method (Branch, Coleman and Li, 1999).
+
+Huber loss by rescaling residuals and Jacobian; bounds by scaling each unknown with its distance to the bound that the
+gradient points to; steps that leave the box are cut, reflected once, or replaced by scaled steepest descent, whichever
+lowers the model most. Numpy only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+
+EPS = float(np.finfo(float).eps)
+TOLERANCE = 1e-8
+RADIUS_TOLERANCE, RADIUS_ROUNDS = 0.01, 10
+
+
+@dataclass
+class Fit:
+    x: np.ndarray
+    cost: float
+    converged: bool
+
+
+def huber_cost(f: np.ndarray) -> float:
+    z = f * f
+    return 0.5 * float(np.where(z <= 1, z, 2 * np.sqrt(z) - 1).sum())
+
+
+def _rescaled(f: np.ndarray, jac: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = f * f
+    inner = z <= 1
+    safe = np.where(inner, 1.0, z)
+    slope, bend = np.where(inner, 1.0, safe**-0.5), np.where(inner, 0.0, -0.5 * safe**-1.5)
+    scale = np.sqrt(np.maximum(slope + 2 * bend * z, EPS))
+    return f * slope / scale, jac * scale[:, None]
+
+
+def _jacobian(fun: Callable, x: np.ndarray, f: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Forward differences; backward where forward would leave the box."""
+    out = np.empty((len(f), len(x)))
+    for i in range(len(x)):
+        h = EPS**0.5 * (1.0 if x[i] >= 0 else -1.0) * max(1.0, abs(x[i]))
+        if not lo[i] <= x[i] + h <= hi[i]:
+            h = -h
+        moved = x.copy()
+        moved[i] = x[i] + h
+        out[:, i] = (fun(moved) - f) / (moved[i] - x[i])
+    return out
+
+
+def _to_bound(x: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[float, np.ndarray]:
+    """How many times the step fits into the box, and in which unknowns it is stopped."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        times = np.where(s > 0, (hi - x) / s, np.where(s < 0, (lo - x) / s, np.inf))
+    least = float(times.min())
+    return least, times == least
+
+
+def _model(jac: np.ndarray, g: np.ndarray, diag: np.ndarray, s: np.ndarray) -> float:
+    js = jac @ s
+    return 0.5 * float(js @ js + s @ (diag * s)) + float(g @ s)
+
+
+def _least_on_line(jac: np.ndarray, g: np.ndarray, diag: np.ndarray, way: np.ndarray, low: float, high: float, base: np.ndarray | None = None) -> tuple[float, float]:
+    """Where, between low and high, the model is least along a way from a base; and that value."""
+    v = jac @ way
+    a = 0.5 * float(v @ v + way @ (diag * way))
+    b, c = float(g @ way), 0.0
+    if base is not None:
+        u = jac @ base
+        b += float(u @ v + base @ (diag * way))
+        c = 0.5 * float(u @ u + base @ (diag * base)) + float(g @ base)
+    at = [low, high]
+    if a != 0 and low < -0.5 * b / a < high:
+        at.append(-0.5 * b / a)
+    values = [t * (a * t + b) + c for t in at]
+    k = int(np.argmin(values))
+    return at[k], values[k]
+
+
+def _subproblem(n_residuals: int, uf: np.ndarray, s: np.ndarray, v: np.ndarray, radius: float, damping: float) -> tuple[np.ndarray, float]:
+    """The step of least model value within the radius, from a singular value decomposition; Newton on the secular equation."""
+    suf = s * uf
+    full = s[-1] > EPS * n_residuals * s[0]
+    if full:
+        p = -v @ (uf / s)
+        if np.linalg.norm(p) <= radius:
+            return p, 0.0
+
+    def excess(t: float) -> tuple[float, float]:
+        d = s * s + t
+        n = float(np.linalg.norm(suf / d))
+        return n - radius, -float((suf**2 / d**3).sum()) / n
+
+    high = float(np.linalg.norm(suf)) / radius
+    low = 0.0
+    if full:
+        e, slope = excess(0.0)
+        low = -e / slope
+    start = lambda: max(0.001 * high, (low * high) ** 0.5)
+    t = start() if not full and damping == 0 else damping
+    for _ in range(RADIUS_ROUNDS):
+        if not low <= t <= high:
+            t = start()
+        e, slope = excess(t)
+        if e < 0:
+            high = t
+        ratio = e / slope
+        low = max(low, t - ratio)
+        t -= (e + radius) * ratio / radius
+        if abs(e) < RADIUS_TOLERANCE * radius:
+            break
+    p = -v @ (suf / (s * s + t))
+    return p * (radius / np.linalg.norm(p)), t
+
+
+def _step(x: np.ndarray, jac: np.ndarray, g: np.ndarray, diag: np.ndarray, p: np.ndarray, d: np.ndarray, radius: float, lo: np.ndarray, hi: np.ndarray, theta: float) -> tuple[np.ndarray, float]:
+    """The scaled step to take and by how much the model falls."""
+    if np.all((x + d * p >= lo) & (x + d * p <= hi)):
+        return p, -_model(jac, g, diag, p)
+    stride, hit = _to_bound(x, d * p, lo, hi)
+    back = np.where(hit, -p, p)
+    cut = p * stride
+    # where the reflected ray from the bound leaves the trust region or the box
+    a, b, c = float(back @ back), float(cut @ back), float(cut @ cut) - radius**2
+    to_radius = (-b + np.sqrt(max(b * b - a * c, 0.0))) / a
+    to_bound, _ = _to_bound(x + d * cut, d * back, lo, hi)
+    reach = min(to_bound, to_radius)
+    options = []
+    if reach > 0:
+        low, high = (1 - theta) * stride / reach, theta * to_bound if reach == to_bound else to_radius
+        if low <= high:
+            t, value = _least_on_line(jac, g, diag, back, low, high, cut)
+            options.append((value, cut + t * back))
+    short = cut * theta
+    options.append((_model(jac, g, diag, short), short))
+    to_radius, (to_bound, _) = radius / float(np.linalg.norm(g)), _to_bound(x, -d * g, lo, hi)
+    t, value = _least_on_line(jac, g, diag, -g, 0.0, theta * to_bound if to_bound < to_radius else to_radius)
+    options.append((value, -g * t))
+    # the shortened step wins ties, then the reflected one
+    rank = {0: 1, 1: 0, 2: 2} if len(options) == 3 else {0: 0, 1: 2}
+    value, best = min(enumerate(options), key=lambda o: (o[1][0], rank[o[0]]))[1]
+    return best, -value
+
+
+def minimise(fun: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int | None = None) -> Fit:
+    """Least Huber cost of fun's residuals within the box, from x0."""
+    most = most or 100 * len(x0)
+    x = np.clip(x0, np.nextafter(lo, hi), np.nextafter(hi, lo))
+    raw = fun(x)
+    calls, cost, m, n = 1, huber_cost(raw), len(raw), len(x0)
+    f, jac = _rescaled(raw, _jacobian(fun, x, raw, lo, hi))
+    g = jac.T @ f
+
+    def scaling() -> tuple[np.ndarray, np.ndarray]:
+        v = np.where(g < 0, hi - x, np.where(g > 0, x - lo, 1.0))
+        return v, np.where(g < 0, -1.0, np.where(g > 0, 1.0, 0.0))
+
+    v, dv = scaling()
+    radius = float(np.linalg.norm(x / np.sqrt(v))) or 1.0
+    damping = 0.0
+    while True:
+        v, dv = scaling()
+        slope = float(np.abs(g * v).max())
+        if slope < TOLERANCE:
+            return Fit(x, cost, True)
+        if calls >= most:
+            return Fit(x, cost, False)
+        d, diag = np.sqrt(v), g * dv
+        scaled = jac * d
+        u, s, vt = np.linalg.svd(np.vstack([scaled, np.diag(np.sqrt(diag))]), full_matrices=False)
+        uf, theta, gain, done = u.T @ np.concatenate([f, np.zeros(n)]), max(0.995, 1 - slope), -1.0, False
+        while gain <= 0 and calls < most:
+            p, damping = _subproblem(m, uf, s, vt.T, radius, damping)
+            step, expected = _step(x, scaled, d * g, diag, p, d, radius, lo, hi, theta)
+            to = x + d * step
+            to = np.where(to <= lo, np.nextafter(lo, hi), np.where(to >= hi, np.nextafter(hi, lo), to))
+            raw_to = fun(to)
+            calls += 1
+            size = float(np.linalg.norm(step))
+            if not np.isfinite(raw_to).all():
+                radius = 0.25 * size
+                continue
+            cost_to = huber_cost(raw_to)
+            gain = cost - cost_to
+            ratio = gain / expected if expected > 0 else (1.0 if expected == gain == 0 else 0.0)
+            new = 0.25 * size if ratio < 0.25 else 2 * radius if ratio > 0.75 and size > 0.95 * radius else radius
+            small = float(np.linalg.norm(d * step)) < TOLERANCE * (TOLERANCE + float(np.linalg.norm(x)))
+            if (gain < TOLERANCE * cost and ratio > 0.25) or small:
+                done = True
+                break
+            damping *= radius / new
+            radius = new
+        if gain > 0:
+            x, raw, cost = to, raw_to, cost_to
+            f, jac = _rescaled(raw, _jacobian(fun, x, raw, lo, hi))
+            g = jac.T @ f
+        if done:
+            return Fit(x, cost, True)
