@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,31 @@ class Words:
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (_ROLL, pow(_ROLL, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_ROLL = 0x9E3779B97F4A7C15
+
+
+def word_hashes(w: Words) -> np.ndarray:
+    """A 64-bit hash of each word, from differences of one rolling sum over all bytes."""
+    n = 1 << max(20, len(w.raw).bit_length())
+    power, inverse = _powers(n)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(w.raw) + 1, np.uint64)
+        np.cumsum((w.raw + np.uint64(1)) * power[: len(w.raw)], out=total[1:])
+        return mixed((total[w.ends] - total[w.starts]) * inverse[w.starts] + (w.ends - w.starts).astype(np.uint64))
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, int]:
     """Small equal numbers for equal values, and how many differ."""
     coded = pa.array(values).dictionary_encode()
