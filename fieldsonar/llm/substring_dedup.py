@@ -112,6 +112,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     flat = table.select("doc", "text_hash", "n_sentences", F.explode("runs").alias("r")).select("doc", "text_hash", "n_sentences", "r.*")
     # map-side sums first, so a run that a third of all documents have costs one row a task
     seen = flat.groupBy("run").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1").select("run", "first_doc")
+    # written, so that both sides of the join are plain exchanges and the planner can split a run that very many have
+    seen = written(seen, "repeated-runs")
     again = flat.join(seen, "run").where(~F.col("doc").eqNullSafe(F.col("first_doc")) | F.col("again"))
     spans = again.groupBy("doc", "text_hash").agg(F.min("n_sentences").alias("n_sentences"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
