@@ -7,9 +7,10 @@ that a common passage opens no tile. A tile is the classes with such an n-gram i
 parity bitmaps of two sets bound their overlap from above: bits that differ are n-grams that are not shared. Pairs
 that this leaves are settled on the sorted arrays.
 
-Only components are wanted, so pairs inside a component that is known already are never looked at: first each class is
-tried with its likeliest partner, and then only classes of different components meet, in blocks. No pair that could
-join two components is left out.
+Only components are wanted, so nothing is compared whose component is known already, and no table of pairs is made:
+tasks return forests, at most one edge a class. First the bitmaps, tile by tile, join what may link into groups; then
+each group's texts come together once and links are settled on the sorted arrays, in parts of bounded size. Classes
+of a large tile or group that end in different components also meet across its parts, so no link is missed.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ COUNTERS = 1 << 20
 FREQUENT = 4
 #: Bits of the largest and smallest bitmap.
 MOST_BITS, LEAST_BITS = 1 << 14, 1 << 8
-#: Rows of a tile that one task holds against those of other components.
+#: Rows of a tile, or classes of a group, that are held at once.
 TILE = 2048
-#: Pairs tried first between two components, before all that are left.
-FIRST_TRIES = 3
+#: Memory for the wide bitmaps of a part.
+WIDE_BYTES = 1 << 26
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,9 +50,6 @@ class Measure:
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
 
-    def sizes_fit(self, small: Column, large: Column) -> Column:
-        return 100 * small >= self.percent * large
-
 
 def shingle_sets(texts: pa.Array, width: int, distinct: bool = True) -> list[np.ndarray]:
     """Each text's sorted distinct n-gram hashes (or all of them, unsorted). Fewer words than the width are one n-gram."""
@@ -145,147 +143,299 @@ def signatures(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFr
     return rows.mapInArrow(run, f"doc {kind}, row string, node long, n int, prefix array<long>, bits binary")
 
 
+class Joined:
+    """Disjoint sets of nodes; a set is named by its least node."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        if x not in up:
+            return x
+        root = x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while x != root:
+            up[x], x = root, up[x]
+        return root
+
+    def union(self, a: int, b: int) -> int:
+        a, b = self.find(a), self.find(b)
+        if a > b:
+            a, b = b, a
+        if a != b:
+            self.up[b] = a
+        return a
+
+    def edges(self) -> pa.RecordBatch | None:
+        """Every node with its set's name."""
+        if not self.up:
+            return None
+        nodes = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
 def _could_link(a_n: np.ndarray, b_n: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
     """Whether the most overlap that the differing bits allow reaches the similarity."""
     both = a_n + b_n
     return (100 + percent) * (both - differ) >= 2 * percent * both
 
 
-def bounded(pairs: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (a, b) that the bitmaps do not rule out."""
+def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+class Bitmaps:
+    """Bitmaps of rows in ascending size; differing bits of one row and others, on the narrower of two widths."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.width = np.array([len(m) // 8 for m in maps])
+        self.place = np.zeros(len(maps), np.int64)
+        self.by: dict[int, dict[int, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.by[w] = {w: np.frombuffer(b"".join(maps[i] for i in rows), np.uint64).reshape(len(rows), w)}
+
+    def rows(self, w: int, at: int) -> np.ndarray:
+        """Rows of width w folded to width `at`."""
+        if at not in self.by[w]:
+            self.by[w][at] = folded(self.by[w][w], at)
+        return self.by[w][at]
+
+    def differ(self, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """own is one row's bitmap."""
+        out = np.empty(len(others), np.int64)
+        width = self.width[others]
+        for w in np.unique(width).tolist():
+            at = min(w, len(own))
+            mine = folded(own[None, :], at)[0]
+            some = width == w
+            out[some] = np.bitwise_count(self.rows(w, at)[self.place[others[some]]] ^ mine).sum(axis=1, dtype=np.int64)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, an, bn, am, bm = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(m, np.uint64)[None, :] for m in (am[i], bm[i]))
-                words = min(x.shape[1], y.shape[1])
-                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
-                keep.append(bool(_could_link(an[i], bn[i], differ, measure.percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sizes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("am"))
-    right = sizes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bm"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "an", "bn", "am", "bm")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, measure: Measure, key: str, text: str) -> DataFrame:
-    """Pairs (a, b) whose sets really are that similar.
-
-    Only texts of the pairs' classes move. A group of pairs with one `a` streams past its set, and a large group is
-    split by a salt, its `a` going to every part.
+
+def _join_tile(tile: list[tuple], joined: Joined, percent: int) -> None:
+    """Join the nodes of a tile, rows (node, n, bits), that the bitmaps let link; nodes joined already are not compared."""
+    m = len(tile)
+    if m <= 6:
+        for i in range(m):
+            for j in range(i + 1, m):
+                (a, an, am), (b, bn, bm) = tile[i], tile[j]
+                if 100 * an < percent * bn:
+                    break
+                if joined.find(a) == joined.find(b):
+                    continue
+                x, y = int.from_bytes(am, "little"), int.from_bytes(bm, "little")
+                wide = len(bm)
+                while wide > len(am):
+                    wide //= 2
+                    y = (y >> 8 * wide) ^ (y & ((1 << 8 * wide) - 1))
+                if (100 + percent) * (an + bn - (x ^ y).bit_count()) >= 2 * percent * (an + bn):
+                    joined.union(a, b)
+        return
+    node, n = np.array([r[0] for r in tile]), np.array([r[1] for r in tile])
+    name = np.array([joined.find(x) for x in node.tolist()])
+    if (name == name[0]).all():
+        return
+    maps = Bitmaps([r[2] for r in tile])
+    for i in range(m - 1):
+        end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+        near = i + 1 + np.flatnonzero(name[i + 1 : end] != name[i])
+        if len(near):
+            own = maps.by[maps.width[i]][maps.width[i]][maps.place[i]]
+            for old in np.unique(name[near[_could_link(n[near], n[i], maps.differ(own, near), percent)]]).tolist():
+                new = joined.union(old, int(name[i]))
+                name[(name == old) | (name == name[i])] = new
+
+
+def possible(tiles: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
+    """Edges (a, b) of a forest that joins, in each task, all classes of a tile that the bitmaps let link.
+
+    A tile of more than TILE rows is taken in stretches of that many, by size; across() does the rest.
     """
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "row"), "node")
-    texts = docs.select(_row_key(docs, key, text).alias("row"), F.col(text).cast("string").alias("t"))
-    held = written(texts.join(wanted.hint("shuffle_hash"), "row").select("node", "t"), "texts")
-    group = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    heads = group.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
-    rest = pairs.join(group, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
-    rows = heads.unionByName(rest).join(held, "node")
-    rows = rows.select("a", "b", "part", "t").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = tiles.select("gram", "node", "n").join(sizes.select("node", "bits"), "node")
+    rows = rows.select("gram", "node", "n", "bits").repartition("gram").sortWithinPartitions("gram", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, last, mine = None, None, np.zeros(0, np.uint64)
+        joined, now, tile = Joined(), None, []
         for batch in batches:
-            for part in chunks(batch, "t"):
-                a, b, p = (part.column(i).to_pylist() for i in range(3))
-                out = []
-                for i, grams in enumerate(shingle_sets(part.column(3), measure.width)):
-                    if b[i] is None:
-                        head, last, mine = (a[i], p[i]), None, grams
-                        continue
-                    if b[i] == last:  # repeated rows of the document
-                        continue
-                    assert head == (a[i], p[i])
-                    last = b[i]
-                    shared = len(np.intersect1d(mine, grams, assume_unique=True))
-                    if 100 * shared >= measure.percent * (len(mine) + len(grams) - shared):
-                        out.append((a[i], b[i]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    links = written(rows.mapInArrow(run, "a long, b long"), "links")
-    remove(docs.sparkSession, held)
-    return links
-
-
-def meetings(tiles: DataFrame, labels: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (a, b, la, lb, differ) of classes in one tile that have different labels and are not ruled out.
-
-    In a tile only the classes outside its commonest component meet the others; a large tile is split, its residents
-    by a hash and those classes going to every part.
+            for gram, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if gram != now or len(tile) >= TILE:
+                    _join_tile(tile, joined, measure.percent)
+                    now, tile = gram, []
+                tile.append(row)
+        _join_tile(tile, joined, measure.percent)
+        if (edges := joined.edges()) is not None:
+            yield edges
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _spread(rows: DataFrame, group: str, count: str) -> DataFrame:
+    """Rows of large groups whose classes have different labels, set out so that all of different labels meet.
+
+    rows has group, node, label and the group's count. Residents are dealt into parts by a hash; classes outside the
+    group's commonest label also go, as probes, to every part.
     """
-    named = tiles.join(labels.withColumnRenamed("label", "known"), "node", "left").select("gram", "node", "n", F.coalesce("known", "node").alias("label"))
-    parts = named.groupBy("gram", "label").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("gram").agg(F.count("*").alias("labels"), F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"))
-    parts = parts.where("labels > 1").select("gram", "main", F.ceil(F.col("all") / TILE).cast("int").alias("parts"))
-    rows = named.join(parts, "gram").join(sizes.select("node", "bits"), "node")
+    parts = rows.groupBy(group, "label").agg(F.count("*").alias("c"))
+    parts = parts.groupBy(group).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select(group, "main")
+    rows = rows.join(parts, group).withColumn("parts", F.ceil(F.col(count) / TILE).cast("int"))
     own = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("probe", F.lit(False))
     probes = rows.where("label != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
-    cols = ["gram", "part", "probe", "node", "n", "label", "bits"]
-    rows = own.select(*cols).unionByName(probes.select(*cols)).repartition("gram", "part").sortWithinPartitions("gram", "part", F.col("probe").desc())
-
-    def meet(probe: list[tuple], others: list[tuple]) -> list[tuple]:
-        out = []
-        widths = lambda rows: sorted({len(r[3]) for r in rows})
-        for wp in widths(probe):
-            ps = [r for r in probe if len(r[3]) == wp]
-            pm = np.frombuffer(b"".join(r[3] for r in ps), np.uint64).reshape(len(ps), -1)
-            pid, pn, pl = (np.array([r[k] for r in ps]) for k in range(3))
-            for wo in widths(others):
-                if max(wo, wp) > 2 * min(wo, wp):  # sizes over two bands apart
+    return own.unionByName(probes).drop("main", "parts").repartition(group, "part").sortWithinPartitions(group, "part", "probe", "n", "node")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
+
+
+def across(tiles: DataFrame, sizes: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
+    """Edges between classes of different labels in tiles of more than TILE rows that the bitmaps let link."""
+    large = _labelled(tiles.where(F.col("rows") > TILE).select("gram", "node", "n", "rows"), labels)
+    rows = _spread(large, "gram", "rows").join(sizes.select("node", "bits"), "node")
+    rows = rows.select("gram", "part", "probe", "node", "n", "label", "bits").repartition("gram", "part").sortWithinPartitions("gram", "part", "probe", "n", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, now, held, maps = Joined(), None, [], None
+        n = name = None
+        for batch in batches:
+            for gram, part, probe, node, size, label, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gram, part) != now:
+                    now, held, maps = (gram, part), [], None
+                if not probe:
+                    held.append((label, size, bits))
                     continue
-                os = [r for r in others if len(r[3]) == wo]
-                om = np.frombuffer(b"".join(r[3] for r in os), np.uint64).reshape(len(os), -1)
-                oid, on, ol = (np.array([r[k] for r in os]) for k in range(3))
-                words = min(pm.shape[1], om.shape[1])
-                x, y = folded(pm, words), folded(om, words)
-                for i in range(len(ps)):
-                    fit = np.flatnonzero((100 * np.minimum(on, pn[i]) >= measure.percent * np.maximum(on, pn[i])) & (ol != pl[i]))
-                    if len(fit):
-                        differ = np.bitwise_count(y[fit] ^ x[i]).sum(axis=1, dtype=np.int64)
-                        ok = _could_link(on[fit], pn[i], differ, measure.percent)
-                        out += [(int(pid[i]), int(oid[j]), int(pl[i]), int(ol[j]), int(d)) for j, d in zip(fit[ok], differ[ok])]
+                if maps is None:
+                    maps = Bitmaps([h[2] for h in held])
+                    n, name = np.array([h[1] for h in held]), np.array([joined.find(h[0]) for h in held])
+                me = joined.find(label)
+                near = np.flatnonzero(_fits(n, size, measure.percent) & (name != me))
+                if len(near):
+                    for old in np.unique(name[near[_could_link(n[near], size, maps.differ(np.frombuffer(bits, np.uint64), near), measure.percent)]]).tolist():
+                        joined.union(old, label)
+                        name[name == old] = joined.find(label)
+        if (edges := joined.edges()) is not None:
+            yield edges
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays of distinct elements have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
+class Sets:
+    """Sorted arrays of a group of classes with wide bitmaps, whose bound is close, made from them."""
+
+    def __init__(self, node: list[int], label: list[int], sets: list[np.ndarray]) -> None:
+        self.node, self.name, self.sets = node, np.array(label), sets
+        self.n = np.array([len(x) for x in sets])
+        bits = 1 << max(8, int(8 * self.n.max() - 1).bit_length())
+        while bits > 256 and bits // 8 * len(sets) > WIDE_BYTES:
+            bits //= 2
+        self.bits = bits
+        self.maps = np.stack([self.bitmap(x) for x in sets])
+
+    def bitmap(self, grams: np.ndarray) -> np.ndarray:
+        parity = np.bincount((grams & np.uint64(self.bits - 1)).astype(np.int64), minlength=self.bits) & 1
+        return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+
+    def links(self, node: int, name: int, grams: np.ndarray, percent: int, joined: Joined, start: int = 0) -> list[tuple[int, int]]:
+        """Links of a class to members from a place on, one to each component that it meets; joins the components."""
+        out, size = [], len(grams)
+        near = start + np.flatnonzero(_fits(self.n[start:], size, percent) & (self.name[start:] != name))
+        if not len(near):
+            return out
+        differ = np.bitwise_count(self.maps[near] ^ self.bitmap(grams)).sum(axis=1, dtype=np.int64)
+        ok = _could_link(self.n[near], size, differ, percent)
+        near, differ = near[ok], differ[ok]
+        for j in near[np.argsort(differ, kind="stable")].tolist():
+            if self.name[j] == name:
+                continue
+            shared = _shared(self.sets[j], grams)
+            if 100 * shared >= percent * (size + int(self.n[j]) - shared):
+                out.append((self.node[j], node))
+                old, new = int(self.name[j]), joined.union(int(self.name[j]), name)
+                self.name[(self.name == old) | (self.name == name)] = new
+                name = new
         return out
 
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def settled(held: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b), settled on the sets, that join all classes of a group which links connect within its parts.
+
+    held has grp, part, node, n, t (text); a part has about TILE classes, so its sets are held at once.
+    """
+    rows = held.select("grp", "part", "node", "n", "t").repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "node")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, probe, held, found = None, [], [], {}
+        now, nodes, sets = None, [], []
 
-        def flush() -> None:
-            for a, b, la, lb, d in meet(probe, held):
-                if a > b:
-                    a, b, la, lb = b, a, lb, la
-                found[a, b] = (la, lb, d)
+        def close() -> list[tuple[int, int]]:
+            if len(nodes) < 2:
+                return []
+            group, joined, out = Sets(nodes, nodes, sets), Joined(), []
+            for i in range(len(nodes) - 1):
+                out += group.links(nodes[i], int(group.name[i]), sets[i], measure.percent, joined, i + 1)
+            return out
 
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*((a, b, *x) for (a, b), x in found.items())))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "la", "lb", "differ"])
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                found = []
+                for grp, p, node, grams in zip(*(part.column(i).to_pylist() for i in range(3)), shingle_sets(part.column(4), measure.width)):
+                    if (grp, p) != now:
+                        found += close()
+                        now, nodes, sets = (grp, p), [], []
+                    if not nodes or nodes[-1] != node:  # repeated rows of a document
+                        nodes.append(node)
+                        sets.append(grams)
+                if found:
+                    yield _pairs(found)
+        if found := close():
+            yield _pairs(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def settled_across(held: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
+    """Links between classes of different labels in groups of several parts."""
+    rows = _spread(_labelled(held.where(F.col("size") > TILE).drop("part"), labels), "grp", "size")
+    rows = rows.select("grp", "part", "probe", "node", "label", "t")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, group, joined = None, ([], [], []), None, Joined()
         for batch in batches:
-            for gram, part, is_probe, node, n, label, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (gram, part):
-                    flush()
-                    at, probe, held = (gram, part), [], []
-                (probe if is_probe else held).append((node, n, label, bits))
-                if len(held) >= TILE:
-                    flush()
-                    held = []
-            if len(found) > 50_000:
-                yield batch_of()
-                found.clear()
-        flush()
-        if found:
-            yield batch_of()
-
-    got = rows.mapInArrow(run, "a long, b long, la long, lb long, differ long")
-    return got.groupBy("a", "b").agg(F.min("la").alias("la"), F.min("lb").alias("lb"), F.min("differ").alias("differ"))
+            for part in chunks(batch, "t"):
+                found = []
+                for grp, p, probe, node, label, grams in zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(part.column(5), measure.width)):
+                    if (grp, p) != now:
+                        now, held, group = (grp, p), ([], [], []), None
+                    if not probe:
+                        if not held[0] or held[0][-1] != node:
+                            for kept, x in zip(held, (node, joined.find(label), grams)):
+                                kept.append(x)
+                    elif held[0]:
+                        group = group or Sets(*held)
+                        found += group.links(node, joined.find(label), grams, measure.percent, joined)
+                if found:
+                    yield _pairs(found)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc, row (a key of the row), node, n (set size) and component.
+    """One row per row of docs: doc, row (a key of the row), node, n (set size), group (its class's label) and component.
 
     A component is the least key among documents that links connect. A text that is null, empty or has no words has
     an empty set and is a component of its own. Repeated rows are one class and share a component; rows with one key
@@ -301,41 +451,38 @@ def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "
 
     # tiles: classes under one n-gram of their prefixes, by size; only those with two classes or more are written
     opened = full.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "n")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / measure.percent))).cast("int")
-    by_size = Window.partitionBy("gram").orderBy("band", "n", "node")
-    whole = Window.partitionBy("gram")
-    in_band = Window.partitionBy("gram", "band").orderBy("n", "node")
-    tiles = opened.withColumn("band", band)
-    tiles = tiles.withColumns({"before": F.lag("node").over(by_size), "before_n": F.lag("n").over(by_size)})
-    tiles = tiles.withColumns({"first": F.first("node").over(in_band), "low": F.min("node").over(whole), "high": F.max("node").over(whole)})
+    by_size, whole = Window.partitionBy("gram").orderBy("n", "node"), Window.partitionBy("gram")
+    tiles = opened.withColumn("before", F.lag("node").over(by_size)).withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole), "rows": F.count("*").over(whole)})
     # copies in several tasks give equal rows, one after the other
-    tiles = written(tiles.where("low != high and (before is null or before != node)").drop("low", "high"), "tiles")
-
-    # the likeliest partner of each class: the one it meets in most tiles, next in size or first in the band
-    near = tiles.where(F.col("before").isNotNull() & measure.sizes_fit(F.col("before_n"), F.col("n"))).select(F.col("before").alias("a"), F.col("node").alias("b"))
-    lead = tiles.where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    met = near.unionByName(lead).groupBy("a", "b").agg(F.count("*").alias("c"))
-    first = met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    links = exact(bounded(first, sizes, measure), classes, docs, measure, key, text)
-    labels = components(links)
-
-    met = written(meetings(tiles.select("gram", "node", "n"), labels, sizes, measure), "meetings")
-    rank = F.row_number().over(Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy("differ", "a", "b"))
-    ranked = met.withColumn("rank", rank)
-    links = links.unionByName(exact(ranked.where(F.col("rank") <= FIRST_TRIES).select("a", "b"), classes, docs, measure, key, text))
+    tiles = written(tiles.where("low != high and (before is null or before != node)").select("gram", "node", "n", "rows"), "tiles")
+
+    # groups: classes that the bitmaps let link, directly or through others
+    edges = written(possible(tiles, sizes, measure), "possible")
+    groups = components(edges)
+    if not tiles.where(F.col("rows") > TILE).isEmpty():
+        edges = edges.unionByName(written(across(tiles, sizes, groups, measure), "possible"))
+        groups = components(edges)
+    groups = written(groups, "groups")
+
+    # each group's texts move once; links are settled within it
+    counts = groups.groupBy("label").agg(F.count("*").alias("size"))
+    wanted = groups.join(counts, "label").select("node", F.col("label").alias("grp"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int").alias("part"))
+    wanted = wanted.join(classes.select("node", "n", "row"), "node")
+    texts = docs.select(_row_key(docs, key, text).alias("row"), F.col(text).cast("string").alias("t"))
+    held = written(texts.join(wanted.hint("shuffle_hash"), "row").select("grp", "part", "size", "node", "n", "t"), "texts")
+    links = written(settled(held, measure), "links")
     labels = written(components(links), "labels")
-    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    rest = ranked.where(F.col("rank") > FIRST_TRIES).select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = written(rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(exact(rest, classes, docs, measure, key, text))
+    if not held.where(F.col("size") > TILE).isEmpty():
+        links = links.unionByName(written(settled_across(held, labels, measure), "links"))
         labels = written(components(links), "labels")
+    remove(spark, held)
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))
-    of_node = labels.join(least, "label").select("node", "component")
-    own = classes.join(of_node, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
+    of_node = labels.join(least, "label").select("node", "label", "component")
+    component = F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component"))
+    own = classes.join(of_node, "node", "left").select("node", F.coalesce("label", "node").alias("group"), component.alias("component"))
     got = made.select("doc", "row", "node", "n").join(own, "node", "left")
-    return got.select("doc", "row", "node", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    return got.select("doc", "row", "node", "n", "group", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,7 +493,7 @@ def one_of_each(docs: DataFrame, measure: Measure, key: str = "doc_id", text: st
     got = written(linked(docs, measure, key, text), "linked")
     stay = got.where(F.col("doc").eqNullSafe(F.col("component")))
     # several rows of a component may have its least key: with other texts, or repeated
-    chosen = stay.where("n > 0").groupBy("component").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    chosen = stay.where("n > 0").groupBy("group").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
     keep = chosen.select("row").unionByName(stay.where("n = 0").select("row").distinct())
     name = "__row"
     out = docs.withColumn(name, _row_key(docs, key, text)).join(keep.withColumnRenamed("row", name).hint("shuffle_hash"), name, "left_semi")
