@@ -1,15 +1,16 @@
 """WGS84 longitude and latitude to the British National Grid and back, as columns.
 
 Published constants: WGS84 and Airy 1830 ellipsoids, the seven-parameter OSGB36 to WGS84 transformation (position
-vector) and the grid's transverse Mercator, by a Krueger series in the third flattening. All loops are unrolled, so a
-projection is one generated expression. Near-field only: accuracy is that of the seven-parameter transformation.
+vector) and the grid's transverse Mercator, by a Krueger series in the third flattening. Loops are unrolled into successive projections that
+name what is used again, so each value is computed once and all stays in one stage of generated code. Accuracy is that
+of the seven-parameter transformation.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -28,32 +29,34 @@ def _e2(rf: float) -> float:
     return (2 - 1 / rf) / rf
 
 
-def _to_ecef(lon: Column, lat: Column, a: float, rf: float) -> tuple[Column, Column, Column]:
-    """From radians, on the ellipsoid."""
-    e2 = _e2(rf)
-    n = F.lit(a) / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    return n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1 - e2) * F.sin(lat)
+def _ecef(df: DataFrame, lon: str, lat: str, a: float, rf: float) -> DataFrame:
+    """Adds __x, __y, __z of points in radians on the ellipsoid."""
+    e2, s = _e2(rf), F.sin(F.col(lat))
+    df = df.withColumn("__n", F.lit(a) / F.sqrt(1 - e2 * s * s))
+    n, c = F.col("__n"), F.cos(F.col(lat))
+    return df.withColumns({"__x": n * c * F.cos(F.col(lon)), "__y": n * c * F.sin(F.col(lon)), "__z": n * (1 - e2) * s})
 
 
-def _to_geodetic(x: Column, y: Column, z: Column, a: float, rf: float, rounds: int = 5) -> tuple[Column, Column]:
-    """To radians; the latitude's iteration is unrolled and has converged to double precision after five rounds."""
+def _geodetic(df: DataFrame, a: float, rf: float, rounds: int = 5) -> DataFrame:
+    """Adds __lon, __lat in radians of __x, __y, __z; the iteration has converged to double precision after five rounds."""
     e2 = _e2(rf)
-    p = F.sqrt(x * x + y * y)
-    lat = F.atan2(z, p * (1 - e2))
+    x, y, z, p = (F.col(c) for c in ("__x", "__y", "__z", "__p"))
+    df = df.withColumn("__p", F.sqrt(x * x + y * y)).withColumn("__lat", F.atan2(z, p * (1 - e2)))
     for _ in range(rounds):
-        n = F.lit(a) / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-        lat = F.atan2(z + e2 * n * F.sin(lat), p)
-    return F.atan2(y, x), lat
+        s = F.sin(F.col("__lat"))
+        df = df.withColumn("__n", F.lit(a) / F.sqrt(1 - e2 * s * s)).withColumn("__lat", F.atan2(z + e2 * F.col("__n") * s, p))
+    return df.withColumn("__lon", F.atan2(y, x))
 
 
-def _to_osgb(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+def _to_osgb(df: DataFrame) -> DataFrame:
     """The transposed rotation, not its inverse: forward and back differ by about 1e-8 degrees."""
-    u, v, w = (c - t for c, t in zip((x, y, z), SHIFT_M))
-    return (u + _RZ * v - _RY * w) / _SCALE, (-_RZ * u + v + _RX * w) / _SCALE, (_RY * u - _RX * v + w) / _SCALE
+    u, v, w = (F.col(c) - t for c, t in zip(("__x", "__y", "__z"), SHIFT_M))
+    return df.withColumns({"__x": (u + _RZ * v - _RY * w) / _SCALE, "__y": (-_RZ * u + v + _RX * w) / _SCALE, "__z": (_RY * u - _RX * v + w) / _SCALE})
 
 
-def _to_wgs(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    return (SHIFT_M[0] + _SCALE * (x - _RZ * y + _RY * z), SHIFT_M[1] + _SCALE * (_RZ * x + y - _RX * z), SHIFT_M[2] + _SCALE * (-_RY * x + _RX * y + z))
+def _to_wgs(df: DataFrame) -> DataFrame:
+    x, y, z = (F.col(c) for c in ("__x", "__y", "__z"))
+    return df.withColumns({"__x": SHIFT_M[0] + _SCALE * (x - _RZ * y + _RY * z), "__y": SHIFT_M[1] + _SCALE * (_RZ * x + y - _RX * z), "__z": SHIFT_M[2] + _SCALE * (-_RY * x + _RX * y + z)})
 
 
 _N = 1 / (2 * AIRY_RF - 1)
@@ -89,37 +92,45 @@ def _northing_of(phi: float) -> float:
 _TRUE_NORTH = NORTH0 - F0 * _northing_of(math.radians(LAT0))
 
 
-def to_grid(lon_deg: Column, lat_deg: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres."""
-    x, y, z = _to_osgb(*_to_ecef(F.radians(lon_deg), F.radians(lat_deg), WGS84_A, WGS84_RF))
-    lon, lat = _to_geodetic(x, y, z, AIRY_A, AIRY_RF)
-    s = F.sin(lat)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    d = lon - math.radians(LON0)
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+def _without_steps(df: DataFrame, own: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in own])
+
+
+def with_grid(df: DataFrame, lon_deg: Column, lat_deg: Column, easting: str = "easting_m", northing: str = "northing_m") -> DataFrame:
+    """The table with easting and northing in metres of a longitude and latitude."""
+    own = [c for c in df.columns if c not in (easting, northing)]
+    out = df.withColumns({"__lon": F.radians(lon_deg), "__lat": F.radians(lat_deg)})
+    out = _geodetic(_to_osgb(_ecef(out, "__lon", "__lat", WGS84_A, WGS84_RF)), AIRY_A, AIRY_RF)
+    out = out.withColumn("__s", F.sin("__lat")).withColumn("__t", F.sinh(F.atanh("__s") - _E * F.atanh(_E * F.col("__s"))))
+    t, d = F.col("__t"), F.col("__lon") - math.radians(LON0)
+    out = out.withColumns({"__xi": F.atan2(t, F.cos(d)), "__eta": F.atanh(F.sin(d) / F.sqrt(1 + t * t))})
+    xi, eta = F.col("__xi"), F.col("__eta")
     north, east = xi, eta
     for i, a in enumerate(_ALPHA):
         k = 2 * (i + 1)
         north = north + a * F.sin(k * xi) * F.cosh(k * eta)
         east = east + a * F.cos(k * xi) * F.sinh(k * eta)
-    return EAST0 + F0 * _RADIUS * east, _TRUE_NORTH + F0 * _RADIUS * north
+    out = out.withColumns({easting: EAST0 + F0 * _RADIUS * east, northing: _TRUE_NORTH + F0 * _RADIUS * north})
+    return _without_steps(out, [*own, easting, northing])
 
 
-def to_lon_lat(easting: Column, northing: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
-    xi, eta = (northing - _TRUE_NORTH) / (F0 * _RADIUS), (easting - EAST0) / (F0 * _RADIUS)
+def with_lon_lat(df: DataFrame, easting: Column, northing: Column, lon: str = "lon_deg", lat: str = "lat_deg") -> DataFrame:
+    """The table with longitude and latitude in degrees of a grid position."""
+    own = [c for c in df.columns if c not in (lon, lat)]
+    out = df.withColumns({"__xi": (northing - _TRUE_NORTH) / (F0 * _RADIUS), "__eta": (easting - EAST0) / (F0 * _RADIUS)})
+    xi, eta = F.col("__xi"), F.col("__eta")
     u, v = xi, eta
     for i, b in enumerate(_BETA):
         k = 2 * (i + 1)
         u = u - b * F.sin(k * xi) * F.cosh(k * eta)
         v = v - b * F.cos(k * xi) * F.sinh(k * eta)
-    tau = F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u))
+    out = out.withColumns({"__u": u, "__v": v})
+    u, v = F.col("__u"), F.col("__v")
     # the conformal latitude's tangent, back to that of the latitude
-    psi = F.asinh(tau)
-    s = F.tanh(psi)
+    out = out.withColumn("__psi", F.asinh(F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u)))).withColumn("__s", F.tanh("__psi"))
     for _ in range(6):
-        s = F.tanh(psi + _E * F.atanh(_E * s))
-    lat = F.asin(s)
-    lon = math.radians(LON0) + F.atan2(F.sinh(v), F.cos(u))
-    lon_w, lat_w = _to_geodetic(*_to_wgs(*_to_ecef(lon, lat, AIRY_A, AIRY_RF)), WGS84_A, WGS84_RF)
-    return F.degrees(lon_w), F.degrees(lat_w)
+        out = out.withColumn("__s", F.tanh(F.col("__psi") + _E * F.atanh(_E * F.col("__s"))))
+    out = out.withColumns({"__lat": F.asin("__s"), "__lon": math.radians(LON0) + F.atan2(F.sinh(v), F.cos(u))})
+    out = _geodetic(_to_wgs(_ecef(out, "__lon", "__lat", AIRY_A, AIRY_RF)), WGS84_A, WGS84_RF)
+    out = out.withColumns({lon: F.degrees("__lon"), lat: F.degrees("__lat")})
+    return _without_steps(out, [*own, lon, lat])

@@ -25,13 +25,14 @@ def bearing_lines(detections: DataFrame) -> DataFrame:
     before = Window.orderBy("site_id").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("site_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     numbered = detections.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(*order))).join(start, "site_id")
-    lon, lat = projection.to_lon_lat(F.col("canonical_easting_m"), F.col("canonical_northing_m"))
-    rows = numbered.select((F.col("start") + F.col("place")).cast("long").alias("det_id"), "site_id", lon.alias("center_lon"), lat.alias("center_lat"), F.posexplode(F.array("bearing_1_deg", "bearing_2_deg")).alias("pos", "bearing_deg"))
+    numbered = projection.with_lon_lat(numbered, F.col("canonical_easting_m"), F.col("canonical_northing_m"), "center_lon", "center_lat")
+    rows = numbered.select((F.col("start") + F.col("place")).cast("long").alias("det_id"), "site_id", "center_lon", "center_lat", F.posexplode(F.array("bearing_1_deg", "bearing_2_deg")).alias("pos", "bearing_deg"))
     return rows.select("det_id", "site_id", (F.col("pos") + 1).alias("branch_index"), "bearing_deg", "center_lon", "center_lat")
 
 
 def call_records(solutions: DataFrame) -> DataFrame:
-    kept = solutions.where("triangulation_success").dropna(subset=["solution_lon_deg", "solution_lat_deg"])
+    # degrees are null exactly where the grid position is; a filter on what was projected would be pushed below and copied
+    kept = solutions.where("triangulation_success and solution_easting_m is not null and solution_northing_m is not null")
     return kept.select("event_id", "n_sites", "quality_pass", F.col("solution_lon_deg").alias("lon"), F.col("solution_lat_deg").alias("lat")).orderBy("event_id")
 
 

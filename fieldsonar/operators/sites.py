@@ -17,8 +17,7 @@ def site_summary(detections: DataFrame) -> DataFrame:
         F.median("easting_m").alias("canonical_easting_m"),
         F.median("northing_m").alias("canonical_northing_m"),
     )
-    lon, lat = projection.to_lon_lat(F.col("canonical_easting_m"), F.col("canonical_northing_m"))
-    return out.withColumns({"canonical_lon_deg": lon, "canonical_lat_deg": lat})
+    return projection.with_lon_lat(out, F.col("canonical_easting_m"), F.col("canonical_northing_m"), "canonical_lon_deg", "canonical_lat_deg")
 
 
 def with_sites(detections: DataFrame, sites: DataFrame, check: bool = True) -> DataFrame:

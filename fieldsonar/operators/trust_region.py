@@ -126,7 +126,8 @@ def _step(x: np.ndarray, jac: np.ndarray, g: np.ndarray, diag: np.ndarray, p: np
     cut = p * stride
     # where the reflected ray from the bound leaves the trust region or the box
     a, b, c = float(back @ back), float(cut @ back), float(cut @ cut) - radius**2
-    to_radius = (-b + np.sqrt(max(b * b - a * c, 0.0))) / a
+    q = -(b + np.copysign(np.sqrt(max(b * b - a * c, 0.0)), b))
+    to_radius = max(q / a, c / q) if q else 0.0
     to_bound, _ = _to_bound(x + d * cut, d * back, lo, hi)
     reach = min(to_bound, to_radius)
     options = []

@@ -40,7 +40,8 @@ def with_places(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
             "t": F.unix_micros("event_time"),
             "block": F.col("recording_block_key"),
             "time_block": F.date_format("recording_start", "yyyy-MM-dd_HH:mm"),
-            "row_id": F.xxhash64(*[F.col(f"`{c}`") for c in prepared.columns]),
+            # of columns as read, not of projected ones: the optimizer would carry those into every join on it
+            "row_id": F.xxhash64(*[F.col(c) for c in ("source_file", "recorder_folder", "wav_file", "birdnet_start_s", "birdnet_end_s", "peak_time_s", "tdoa_ms")]),
         }
     )
     return rows, table

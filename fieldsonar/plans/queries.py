@@ -130,8 +130,8 @@ SELECT id AS row_id, round({_P.EAST0!r} + {_P.F0 * _P._RADIUS!r} * (eta {''.join
 @query(_FORWARD)
 def project_forward(spark, sf):
     i = F.col("event_id")
-    x, y = projection.to_grid(-2.5 + (i % 1000) / 1000.0, 50.5 + (i * 7 % 1000) / 1000.0)
-    return views.table(spark, sf, "events").select(i.alias("row_id"), F.round(x, 2).alias("easting_m"), F.round(y, 2).alias("northing_m"))
+    rows = projection.with_grid(views.table(spark, sf, "events").select("event_id"), -2.5 + (i % 1000) / 1000.0, 50.5 + (i * 7 % 1000) / 1000.0)
+    return rows.select(i.alias("row_id"), F.round("easting_m", 2).alias("easting_m"), F.round("northing_m", 2).alias("northing_m"))
 
 
 def _inverse_sql(points: str, name: str = "ll") -> str:
@@ -147,8 +147,8 @@ def _inverse_sql(points: str, name: str = "ll") -> str:
             f"t{name} AS (SELECT id, asinh(sin(u) / sqrt(sinh(v) * sinh(v) + cos(u) * cos(u))) AS psi, {math.radians(_P.LON0)!r} + atan2(sinh(v), cos(u)) AS lon FROM u{name})",
             f"s{name}0 AS (SELECT id, lon, psi, tanh(psi) AS s FROM t{name})",
             *steps,
-            f"a{name} AS (SELECT id, lon, asin(s) AS lat FROM s{name}6)",
-            _ecef_sql(f"a{name}", _P.AIRY_A, _P.AIRY_RF, f"b{name}"),
+            f"w{name} AS (SELECT id, lon, asin(s) AS lat FROM s{name}6)",
+            _ecef_sql(f"w{name}", _P.AIRY_A, _P.AIRY_RF, f"b{name}"),
             f"c{name} AS (SELECT id, {_P.SHIFT_M[0]!r} + {_P._SCALE!r} * (x - {_P._RZ!r} * y + {_P._RY!r} * z) AS x, ({_P.SHIFT_M[1]!r}) + {_P._SCALE!r} * ({_P._RZ!r} * x + y - {_P._RX!r} * z) AS y, {_P.SHIFT_M[2]!r} + {_P._SCALE!r} * (-{_P._RY!r} * x + {_P._RX!r} * y + z) AS z FROM b{name})",
             _geodetic_sql(f"c{name}", _P.WGS84_A, _P.WGS84_RF, f"g{name}"),
             f"{name} AS (SELECT id, degrees(lon) AS lon, degrees(lat) AS lat FROM g{name})",
@@ -159,8 +159,8 @@ def _inverse_sql(points: str, name: str = "ll") -> str:
 @query(f"WITH p AS (SELECT event_id AS id, 405000 + (event_id % 1000) AS e, 115000 + (event_id * 7 % 1000) AS n FROM events), {_inverse_sql('p')} SELECT id AS row_id, round(lon, 8) AS lon_deg, round(lat, 8) AS lat_deg FROM ll")
 def project_inverse(spark, sf):
     i = F.col("event_id")
-    lon, lat = projection.to_lon_lat(405000 + i % 1000, 115000 + i * 7 % 1000)
-    return views.table(spark, sf, "events").select(i.alias("row_id"), F.round(lon, 8).alias("lon_deg"), F.round(lat, 8).alias("lat_deg"))
+    rows = projection.with_lon_lat(views.table(spark, sf, "events").select("event_id"), 405000 + i % 1000, 115000 + i * 7 % 1000)
+    return rows.select(i.alias("row_id"), F.round("lon_deg", 8).alias("lon_deg"), F.round("lat_deg", 8).alias("lat_deg"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def strongest_per_site(spark, sf):
     return events.strongest(usable(spark, sf), ["block", "site_id"]).select("block", "site_id", "row_id", F.round("abs_tdoa_ms", 6).alias("abs_tdoa_ms"))
 
 
-@query(f"""{_HEAD}, ti AS (SELECT DISTINCT block, t FROM good), nx AS (SELECT a.block, a.t, b.t AS nt FROM ti a ASOF LEFT JOIN ti b ON a.block = b.block AND a.t + 180000000 < b.t),
+@query(f"""{_HEAD}, ti AS (SELECT DISTINCT block, t FROM good), nx AS (SELECT block, t, min(t) OVER (PARTITION BY block ORDER BY t RANGE BETWEEN 180000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM ti),
 se AS (SELECT block, min(t) AS anchor FROM ti GROUP BY block UNION ALL SELECT nx.block, nx.nt FROM se JOIN nx ON nx.block = se.block AND nx.t = se.anchor WHERE nx.nt IS NOT NULL)
 SELECT row_id, anchor FROM good ASOF JOIN se ON good.block = se.block AND good.t >= se.anchor""")
 def anchored_sessions(spark, sf):
@@ -337,7 +337,7 @@ def anchored_sessions(spark, sf):
 
 
 _SWEEP = f"""wi AS (SELECT unnest([{', '.join(map(str, S.WINDOW_SWEEP_SECONDS))}])::DOUBLE AS w), kinds AS (SELECT 'raw' AS kind, row_id, site_id, t FROM good UNION ALL SELECT 'fixed', row_id, site_id, t + CAST(round_even(coalesce(-m, 0) * 1e6, 0) AS BIGINT) FROM good LEFT JOIN clock ON o = site_id),
-ti AS (SELECT DISTINCT w, kind, t FROM kinds, wi), nx AS (SELECT a.w, a.kind, a.t, b.t AS nt FROM (SELECT *, t + CAST(w * 1e6 AS BIGINT) AS u FROM ti) a ASOF LEFT JOIN ti b ON a.w = b.w AND a.kind = b.kind AND a.u < b.t),
+ti AS (SELECT DISTINCT w, kind, t FROM kinds, wi), nx AS (SELECT w, kind, t, min(t) OVER (PARTITION BY w, kind ORDER BY t RANGE BETWEEN CAST(w * 1e6 AS BIGINT) + 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM ti),
 -- a gap wider than the width always begins a session, so stretches between gaps are followed side by side
 st AS (SELECT w, kind, t FROM (SELECT *, lag(t) OVER (PARTITION BY w, kind ORDER BY t) AS p FROM ti) WHERE p IS NULL OR t - p > CAST(w * 1e6 AS BIGINT)),
 se AS (SELECT w, kind, t AS anchor FROM st UNION ALL SELECT nx.w, nx.kind, nx.nt FROM se JOIN nx ON nx.w = se.w AND nx.kind = se.kind AND nx.t = se.anchor ANTI JOIN st ON st.w = nx.w AND st.kind = nx.kind AND st.t = nx.nt WHERE nx.nt IS NOT NULL),
@@ -502,7 +502,7 @@ def triangulate(spark, sf):
 
 @query()
 def gcc_phat_tdoa(spark, sf):
-    """Delays measured on stereo recordings that are made for every supplier: a chirp, late in one channel by a known lag."""
+    """Delays measured on stereo recordings that are made for every supplier: a burst, late in one channel by a known lag."""
     import pyarrow as pa
 
     def record(batches):
@@ -513,18 +513,17 @@ def gcc_phat_tdoa(spark, sf):
             keys, bodies = batch.column(0).to_pylist(), []
             for k in keys:
                 rng, rate = np.random.default_rng(k), 48_000
-                t = np.arange(int(0.4 * rate)) / rate
-                call = np.sin(2 * np.pi * (700 * t + 1100 * t * t)) * np.hanning(len(t))
-                x = rng.normal(0, 1e-4, (3 * rate, 2))
+                call = rng.normal(0, 0.2, int(0.4 * rate)) * np.hanning(int(0.4 * rate))
+                x = np.zeros((3 * rate, 2))
                 lag = k % 41 - 20
                 x[60_000 : 60_000 + len(call), 1] += call
                 x[60_000 + lag : 60_000 + lag + len(call), 0] += call
                 out = io.BytesIO()
                 with wave.open(out, "wb") as f:
                     f.setnchannels(2)
-                    f.setsampwidth(2)
+                    f.setsampwidth(4)
                     f.setframerate(rate)
-                    f.writeframes((np.clip(x * 0.5, -1, 1) * 32767).astype("<i2").tobytes())
+                    f.writeframes((np.clip(x, -1, 1) * (2**31 - 1)).astype("<i4").tobytes())
                 bodies.append(out.getvalue())
                 if len(bodies) == 16:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[: len(bodies)]), pa.array(bodies, pa.binary())], names=["rec", "content"])

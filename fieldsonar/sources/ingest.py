@@ -125,14 +125,12 @@ def prepared(rows: DataFrame, least_ms: float = TDOA_THRESHOLD_MS) -> DataFrame:
     kept = rows.where(scalars.usable_tdoa(F.col("tdoa_ms"), least_ms))
     start = scalars.recording_start(F.col("DATE"), F.col("TIME"), strict=True)
     kept = kept.withColumns({"site_id": scalars.recorder_number(F.col("recorder_folder")), "lon_deg": scalars.coordinate(F.col("LON")), "lat_deg": scalars.coordinate(F.col("LAT")), "recording_datetime": start})
-    east, north = projection.to_grid(F.col("lon_deg"), F.col("lat_deg"))
+    kept = projection.with_grid(kept, F.col("lon_deg"), F.col("lat_deg"))
     return kept.withColumns(
         {
             "recording_start": F.col("recording_datetime"),
             "recording_block_key": scalars.block_key(F.col("recording_datetime")),
             "event_time": scalars.plus_seconds(F.col("recording_datetime"), F.col("peak_time_s")),
-            "easting_m": east,
-            "northing_m": north,
         }
     )
 

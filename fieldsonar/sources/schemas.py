@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from `name type` pairs; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(", "))])
 
 
 #: Recorder metadata: every value is text.

@@ -30,10 +30,11 @@ def solved() -> list[dict]:
     for r in table("| event_id | line | sites"):
         ids = [int(x) for x in r[2].split(",")]
         k = np.array([int(x) for x in r[3].split(",")])
-        phi = np.degrees(np.arccos(np.clip(343 * k / 768000 / 0.15, -1, 1)))
+        tau = k / 768000
+        phi = np.degrees(np.arccos(np.clip(343 * tau / 0.15, -1, 1)))
         out.append(
             {
-                "event_id": int(r[0]), "sites": ids, "abs_tdoa_ms": np.abs(k) / 768, "b1": (90 - phi) % 360, "b2": (90 + phi) % 360, "bits": r[4],
+                "event_id": int(r[0]), "sites": ids, "abs_tdoa_ms": np.abs(tau * 1000), "b1": (90 - phi) % 360, "b2": (90 + phi) % 360, "bits": r[4],
                 "objective": float(r[5]), "rms": float(r[6]), "geometry": float(r[7]), "margin": float(r[8]), "quality": r[9] == "True",
             }
         )

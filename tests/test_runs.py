@@ -28,9 +28,9 @@ def field(tmp_path_factory):
         rows = [f"04-13-2026,06:{40 + i}:00,{lon},{lat},4.1,12,80, r{n}_{i}.wav ,1,48000,2,\"a, note\"" for i in range(3)] + [f"04-13-2026,07:00:00,{lon},{lat},,,,  ,,,,", f"04-13-2026,07:00:00,{lon},{lat},,,,gone.wav,,,,"]
         (d / "info.txt").write_text("﻿" + "\n".join([HEAD, *rows]) + "\n", encoding="utf-8")
         for i in range(3):
-            (d / f"r{n}_{i}.wav").write_bytes(wav(call(4 * n + i - 9)))
+            (d / f"r{n}_{i}.wav").write_bytes(wav(call(4 * n + i - 20), 4))
     (root / "Recorder 9 without").mkdir()
-    (root / "Recorder 9 without" / "x.wav").write_bytes(b"")
+    (root / "Recorder 9 without" / "x.wav").write_bytes(b"x")
     (root / "Other").mkdir()
     (root / "Other" / "info.txt").write_text(HEAD + "\n")
     (root / "species_list.txt").write_text("bird\n\n")
@@ -67,7 +67,8 @@ def test_run_from_recordings_to_calls(spark, field, tmp_path):
         assert out["sites"].count() == len(SITES) and out["offsets"].count() == 0 and out["diagnostics"].count() == 11
         assert {r.improvement for r in out["diagnostics"].collect()} == {0}
         first = out["members"].first()
-        assert first.source_file.endswith(".csv") and first.event_time.strftime("%H:%M") == "06:40"
+        assert first.source_file.endswith(".csv") and first.event_time.minute == 40
+        assert out["members"].select(F.date_format("event_time", "HH:mm").alias("h")).first().h == "06:40"
         again = localise.localise(spark, [f"{tmp_path}/a"], calibrate=True)
         assert again["offsets"].count() == len(SITES) - 1 and again["diagnostics"].count() == 11 + len(SITES) - 1
     finally:
