@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bytes_of, chunks, documents, mixed, text_column, written
+from .common import Words, bytes_of, chunks, documents, lean, mixed, text_column, written
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -30,7 +30,7 @@ END_ID = 0
 SHARD = 4096
 ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 2, 2, 4, 6, 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
 ENCODED = 4_000_000
 
@@ -85,9 +85,9 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.kind = np.uint16 if len(self.ends) < 1 << 16 else np.uint32
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, self.kind)
         self.bounds = np.zeros(1, np.int64)
@@ -125,7 +125,7 @@ class WordTokenizer:
         number, words = w.ids()
         words = words.to_pylist()
         if len(self.known) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         self._learn([x for x in words if x not in self.known])
         slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         begin, size = self.bounds[slot][number], (self.bounds[slot + 1] - self.bounds[slot])[number]
@@ -173,8 +173,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        encode.forget()
 
-    return docs.select(F.col(key).alias("k"), text_column(docs, text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), text_column(docs, text).alias("t")).mapInArrow(lean(run), schema)
 
 
 class Shard:
@@ -301,7 +302,7 @@ def _round(shards: DataFrame, number: int, capacity: int) -> DataFrame:
                     names=["shard", "island", "bins", "elites"],
                 )
 
-    return shards.mapInArrow(run, "shard long, island int, bins int, elites array<array<int>>")
+    return shards.mapInArrow(lean(run), "shard long, island int, bins int, elites array<array<int>>")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
@@ -338,7 +339,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFr
                     sequence.append((number << 32) + b)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.list_(pa.int64())), pa.array([offset], pa.list_(pa.int64()))], names=["shard", "sequence_id", "offset"])
 
-    placed = problem.join(best, "shard").select("lengths", "labels", "shard").mapInArrow(place, "shard long, sequence_id array<long>, offset array<long>")
+    placed = problem.join(best, "shard").select("lengths", "labels", "shard").mapInArrow(lean(place), "shard long, sequence_id array<long>, offset array<long>")
     rows = grouped.join(placed, "shard").select(F.explode(F.arrays_zip("items", "sequence_id", "offset")).alias("x"))
     return rows.select("x.items.doc", "x.items.piece", "x.items.start", F.col("x.items.length").cast("long").alias("length"), "x.items.ids_crc32", "x.sequence_id", "x.offset")
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BUDGET, HISTORY = 1024, 256
 #: Turns held at once; a longer conversation passes through in blocks.
 BLOCK = 1024
@@ -171,7 +173,7 @@ def format_conversations(turns: DataFrame, count: Callable[[list[str]], list[int
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return rows.select("conv", "role", "text").mapInArrow(run, f"conv {name}, {SCHEMA}").withColumnRenamed("conv", conv)
+    return rows.select("conv", "role", "text").mapInArrow(lean(run), f"conv {name}, {SCHEMA}").withColumnRenamed("conv", conv)
 
 
 def digests(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -216,7 +218,7 @@ def digests(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
 
     schema = f"c {name}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
     rows = windows.select(F.col(conv).alias("c"), "text", "n_repeated", "loss_spans")
-    return rows.mapInArrow(run, schema).withColumnRenamed("c", conv)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("c", conv)
 
 
 #: A conversation whose texts hold control strings of common templates.

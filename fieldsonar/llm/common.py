@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -202,10 +205,28 @@ def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["block", "counts"])
 
     total = np.zeros(size, np.int64)
-    for r in rows.mapInArrow(of_task, schema).repartition("block").mapInArrow(add, schema).collect():
+    for r in rows.mapInArrow(lean(of_task), schema).repartition("block").mapInArrow(lean(add), schema).collect():
         total[r["block"] : r["block"] + len(r["counts"])] += np.array(r["counts"])
     return total
 
 
+def tidy() -> None:
+    """Give back memory that is free but held: Python's, Arrow's and the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same pass over batches; when a task ends, its worker, which serves later tasks, keeps no memory of it."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return over
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import chunks, documents, lean
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -99,7 +99,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["lang", "bucket", "n"])
 
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toPandas()
     langs = sorted(got["lang"].unique())
     if len(langs) > MAX_LANGUAGES:
@@ -144,7 +144,7 @@ def language_id(docs: DataFrame, langs: list[str], table: np.ndarray, key: str =
                 pred, p = score([x or "" for x in part.column(1).to_pylist()], names, matrix)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=["k", "lang_pred", "score"])
 
-    got = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double")
+    got = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(lean(run), f"k {kind}, lang_pred string, score double")
     return got.withColumnRenamed("k", key)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, documents, mixed, remove, summed, text_column, written
+from .common import Words, chunks, documents, lean, mixed, remove, summed, text_column, written
 from .components import components
 
 #: Counters for the frequency of n-grams; a table of one byte each is broadcast.
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "row", "node", "n", "prefix", "bits"])
 
     rows = docs.select(F.col(key).alias("doc"), _row_key(docs, key, text).alias("row"), text_column(docs, text).alias("t"))
-    return rows.mapInArrow(run, f"doc {kind}, row string, node long, n int, prefix array<long>, bits binary")
+    return rows.mapInArrow(lean(run), f"doc {kind}, row string, node long, n int, prefix array<long>, bits binary")
 
 
 class Joined:
@@ -270,7 +270,7 @@ def possible(tiles: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
         if (edges := joined.edges()) is not None:
             yield edges
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _spread(rows: DataFrame, group: str, count: str) -> DataFrame:
@@ -319,7 +319,7 @@ def across(tiles: DataFrame, sizes: DataFrame, labels: DataFrame, measure: Measu
         if (edges := joined.edges()) is not None:
             yield edges
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -405,7 +405,7 @@ def settled(held: DataFrame, measure: Measure) -> DataFrame:
         if found := close():
             yield _pairs(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def settled_across(held: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
@@ -431,7 +431,7 @@ def settled_across(held: DataFrame, labels: DataFrame, measure: Measure) -> Data
                 if found:
                     yield _pairs(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:

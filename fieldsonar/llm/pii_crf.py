@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import chunks, documents, lean
 
 #: The kinds, in their listed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -90,7 +90,7 @@ def _f(*parts: object) -> int:
     return zlib.crc32(repr(parts).encode()) % FEATURES
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=8_192)
 def _span_features(span: str, cue: str, before: str, after: str) -> tuple[int, ...]:
     """Features of a whole candidate span; before and after are the classes of the characters next to it."""
     digits = _NOT_DIGIT.sub("", span)
@@ -113,7 +113,7 @@ def _span_features(span: str, cue: str, before: str, after: str) -> tuple[int, .
     return tuple(_f(*x) for x in out)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=8_192)
 def _outside_features(token: str) -> tuple[int, ...]:
     shape = f"d{len(token)}" if token[0].isdecimal() else ("a" if token[0].isalpha() else token)
     return (_f("out"), _f("out", shape), _f("outd", token[0].isdecimal()))
@@ -184,7 +184,7 @@ class Field:
     def scores(self, features: tuple[int, ...]) -> np.ndarray:
         got = self.cache.get(features)
         if got is None:
-            if len(self.cache) > 100_000:
+            if len(self.cache) > 16_384:
                 self.cache.clear()
             got = self.cache[features] = self.w[list(features)].sum(axis=0)
         return got
@@ -337,6 +337,7 @@ def trained(seed: int = 11, n: int = TRAIN_SENTENCES, epochs: int = EPOCHS) -> F
         rng.shuffle(data)
         for x, gold in data:
             field.learn(x, gold, g2, 0.5 / (1 + epoch / 4))
+    _span_features.cache_clear()
     return field
 
 
@@ -401,7 +402,7 @@ def pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *[pa.array(c, ty) for c, ty in zip(zip(*rows), types)]], names=names)
 
     schema = ", ".join([f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [SCHEMA])
-    got = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__t")).mapInArrow(run, schema)
+    got = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__t")).mapInArrow(lean(run), schema)
     return got.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(keep)})
 
 

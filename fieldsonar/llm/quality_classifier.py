@@ -21,9 +21,9 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, chunks, documents, text_column, within
+from .common import PUNCTUATION, Words, chunks, documents, lean, text_column, tidy, within
 
-LABELLED, POOL = 12_000, 6_000
+LABELLED, POOL = 10_000, 5_000
 ROUNDS, EXCHANGED, SURE = 3, 300, 0.97
 #: Words that the content view takes, of those that at least so many sampled documents have.
 TELLING, LEAST_DOCS = 400, 4
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample(docs.select("doc_id", "text", "source", "lang", "n_chars"), labels)
     rows = rows.select("doc_id", "h", text_column(docs).alias("t"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"), "y")
-    got = rows.mapInArrow(run, f"doc_id {kind}, h long, shares array<float>, words array<int>, slots array<int>, y int")
+    got = rows.mapInArrow(lean(run), f"doc_id {kind}, h long, shares array<float>, words array<int>, slots array<int>, y int")
     # repeated rows count once; the order, and with it the model, does not depend on the tasks
     got = got.dropDuplicates(["doc_id", "h"]).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     if got.num_rows == 0:
@@ -206,7 +206,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     words = [x.values.to_numpy() for x in got.column("words")]
     slots = np.array(got.column("slots").to_pylist(), np.int64)
     y = got.column("y").to_pylist()
-    return fit(shares, words, slots, np.array([v or 0 for v in y]), np.array([v is not None for v in y]))
+    del got
+    model = fit(shares, words, slots, np.array([v or 0 for v in y]), np.array([v is not None for v in y]))
+    del shares, words, slots
+    tidy()
+    return model
 
 
 def classify(docs: DataFrame, model: Model | None, extra: list[str] | None = None) -> DataFrame:
@@ -237,7 +241,7 @@ def classify(docs: DataFrame, model: Model | None, extra: list[str] | None = Non
 
     schema = ", ".join(f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
     rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(extra)], text_column(docs).alias("__t"), F.col("source").cast("string").alias("__s"), F.col("lang").cast("string").alias("__l"), F.col("n_chars").cast("long").alias("__n"))
-    got = rows.mapInArrow(run, schema + ", p_content double, p_metadata double, prob double, kept boolean")
+    got = rows.mapInArrow(lean(run), schema + ", p_content double, p_metadata double, prob double, kept boolean")
     return got.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(extra)})
 
 

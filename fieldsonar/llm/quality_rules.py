@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, code_points, documents, encode, mixed, text_column, within
+from .common import Words, chunks, code_points, documents, encode, lean, mixed, text_column, within
 
 #: Largest share of a text's word characters inside repeated n-grams, by n.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -142,7 +142,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     names=["k", *[f.split()[0] for f in SCHEMA.split(", ")]],
                 )
 
-    got = docs.select(F.col(key).alias("k"), text_column(docs, text).alias("t")).mapInArrow(run, f"k {kind}, {SCHEMA}")
+    got = docs.select(F.col(key).alias("k"), text_column(docs, text).alias("t")).mapInArrow(lean(run), f"k {kind}, {SCHEMA}")
     return got.withColumnRenamed("k", key)
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, code_points, documents, mixed, text_column, written
+from .common import Words, chunks, code_points, documents, lean, mixed, text_column, written
 
 MIN_WORDS, LONG_SENTENCE = 20, 50
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[4] for x in got], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), structs)], names=["doc", "text_hash", "n_sentences", "runs"])
 
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), text_column(docs, text).alias("t"))
-    table = written(rows.mapInArrow(run, schema), "runs")
+    table = written(rows.mapInArrow(lean(run), schema), "runs")
     flat = table.select("doc", "text_hash", "n_sentences", F.explode("runs").alias("r")).select("doc", "text_hash", "n_sentences", "r.*")
     # map-side sums first, so a run that a third of all documents have costs one row a task
     seen = flat.groupBy("run").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1").select("run", "first_doc")
