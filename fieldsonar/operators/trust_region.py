@@ -7,6 +7,7 @@ lowers the model most. Numpy only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,10 @@ TOLERANCE = 1e-8
 RADIUS_TOLERANCE, RADIUS_ROUNDS = 0.01, 10
 
 
+def _norm(x: np.ndarray) -> float:
+    return math.sqrt(float(x @ x))
+
+
 @dataclass
 class Fit:
     x: np.ndarray
@@ -87,15 +92,15 @@ def _subproblem(n_residuals: int, uf: np.ndarray, s: np.ndarray, v: np.ndarray,
     full = s[-1] > EPS * n_residuals * s[0]
     if full:
         p = -v @ (uf / s)
-        if np.linalg.norm(p) <= radius:
+        if _norm(p) <= radius:
             return p, 0.0
 
     def excess(t: float) -> tuple[float, float]:
         d = s * s + t
-        n = float(np.linalg.norm(suf / d))
+        n = float(_norm(suf / d))
         return n - radius, -float((suf**2 / d**3).sum()) / n
 
-    high = float(np.linalg.norm(suf)) / radius
+    high = float(_norm(suf)) / radius
     low = 0.0
     if full:
         e, slope = excess(0.0)
@@ -114,7 +119,7 @@ def _subproblem(n_residuals: int, uf: np.ndarray, s: np.ndarray, v: np.ndarray,
         if abs(e) < RADIUS_TOLERANCE * radius:
             break
     p = -v @ (suf / (s * s + t))
-    return p * (radius / np.linalg.norm(p)), t
+    return p * (radius / _norm(p)), t
 
 
 def _step(x: np.ndarray, jac: np.ndarray, g: np.ndarray, diag: np.ndarray, p: np.ndarray, d: np.ndarray, radius: float, lo: np.ndarray, hi: np.ndarray, theta: float) -> tuple[np.ndarray, float]:
@@ -138,7 +143,7 @@ def _step(x: np.ndarray, jac: np.ndarray, g: np.ndarray, diag: np.ndarray, p: np
             options.append((value, cut + t * back))
     short = cut * theta
     options.append((_model(jac, g, diag, short), short))
-    to_radius, (to_bound, _) = radius / float(np.linalg.norm(g)), _to_bound(x, -d * g, lo, hi)
+    to_radius, (to_bound, _) = radius / float(_norm(g)), _to_bound(x, -d * g, lo, hi)
     t, value = _least_on_line(jac, g, diag, -g, 0.0, theta * to_bound if to_bound < to_radius else to_radius)
     options.append((value, -g * t))
     # the shortened step wins ties, then the reflected one
@@ -161,7 +166,7 @@ def minimise(fun: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, lo: np.nda
         return v, np.where(g < 0, -1.0, np.where(g > 0, 1.0, 0.0))
 
     v, dv = scaling()
-    radius = float(np.linalg.norm(x / np.sqrt(v))) or 1.0
+    radius = _norm(x / np.sqrt(v)) or 1.0
     damping = 0.0
     while True:
         v, dv = scaling()
@@ -181,7 +186,7 @@ def minimise(fun: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, lo: np.nda
             to = np.where(to <= lo, np.nextafter(lo, hi), np.where(to >= hi, np.nextafter(hi, lo), to))
             raw_to = fun(to)
             calls += 1
-            size = float(np.linalg.norm(step))
+            size = float(_norm(step))
             if not np.isfinite(raw_to).all():
                 radius = 0.25 * size
                 continue
@@ -189,7 +194,7 @@ def minimise(fun: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, lo: np.nda
             gain = cost - cost_to
             ratio = gain / expected if expected > 0 else (1.0 if expected == gain == 0 else 0.0)
             new = 0.25 * size if ratio < 0.25 else 2 * radius if ratio > 0.75 and size > 0.95 * radius else radius
-            small = float(np.linalg.norm(d * step)) < TOLERANCE * (TOLERANCE + float(np.linalg.norm(x)))
+            small = float(_norm(d * step)) < TOLERANCE * (TOLERANCE + float(_norm(x)))
             if (gain < TOLERANCE * cost and ratio > 0.25) or small:
                 done = True
                 break
