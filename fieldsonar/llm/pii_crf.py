@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, lean
+from .common import chunks, documents, lean, tidy
 
 #: The kinds, in their listed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -338,6 +338,8 @@ def trained(seed: int = 11, n: int = TRAIN_SENTENCES, epochs: int = EPOCHS) -> F
         for x, gold in data:
             field.learn(x, gold, g2, 0.5 / (1 + epoch / 4))
     _span_features.cache_clear()
+    del data
+    tidy()
     return field
 
 
