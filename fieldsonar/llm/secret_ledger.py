@@ -51,6 +51,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Parts that the paths of one blob are dealt into when findings are joined back.
+PARTS = 16
+
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
@@ -123,8 +126,12 @@ def scan(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text",
     versions = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("text"))
     fresh = unseen(versions, read_ledger(spark, ledger, version))
     fresh.select("blob", F.lit(version).alias("rule_version"), findings(F.col("text"), rules).alias("findings")).write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger, version)
-    return versions.select("key", "blob").join(found, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
+    found = read_ledger(spark, ledger, version).where(F.size("findings") > 0)
+    # a blob may have a third of all paths: paths are dealt by blob and part, and the few blobs with findings go to each part
+    part = F.pmod(F.xxhash64("path"), F.lit(PARTS))
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    paths = versions.select("key", "blob", part.alias("part"))
+    return paths.join(found, ["blob", "part"], "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 
 
 def _joined(spans: Column) -> Column:
