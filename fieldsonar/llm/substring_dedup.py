@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 A run is several consecutive sentences: from each sentence on, and up to each sentence, the fewest that have
-MIN_WORDS words (two sentences at least; one sentence of LONG_SENTENCE words counts as several). All runs are hashed and
+MIN_WORDS words (one sentence of LONG_SENTENCE words, which is as many, is a run by itself). All runs are hashed and
 counted over all documents; sentences inside a run that was there before, in a document with a lesser key or earlier
 in the same document, are removed.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, code_points, documents, lean, mixed, text_column, written
 
-MIN_WORDS, LONG_SENTENCE = 20, 50
+MIN_WORDS = LONG_SENTENCE = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True

@@ -96,3 +96,17 @@ def test_cleaned_texts(spark):
 
     assert got == sorted((k is not None, k or 0, cut(k, t)) for k, t, *_ in rows)
     assert D.repeated_spans(no_rows(spark)).collect() == []
+
+
+def test_passage_in_mid_sentence(spark):
+    rng = random.Random(8)
+    tail = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    for before, whole, after in ((6, 47, 0), (0, 47, 6), (6, 47, 6), (31, 20, 0)):
+        middle = tail(whole) + "."
+        passage = " ".join(x for x in (tail(before) + "." if before else "", middle, tail(after) if after else "") if x)
+        host = lambda: f"{tail(15)}. {tail(5)}{' ' if before else '. '}{passage} {tail(5)}. {tail(15)}."
+        rows = [(i, host(), "en", "s", 1) for i in range(3)]
+        texts = {i: t for i, t, *_ in rows}
+        got = {r.doc: [texts[r.doc][s:e] for s, e in r.spans] for r in D.repeated_spans(frame(spark, rows)).collect()}
+        # the sentences that are cut by the host stay
+        assert got == {1: [middle], 2: [middle]}
