@@ -5,25 +5,26 @@ and its page metadata (source, language, size). Over a few rounds each labels th
 surest of for the other. Both are then calibrated on labelled documents that neither has learned from, and a
 calibrated combination scores all documents.
 
-Fitted on the driver on bounded samples (LABELLED and POOL documents, drawn by a hash of the key); every document is
-scored.
+The views are fitted on the driver, on a bounded sample of labelled documents (LABELLED, drawn by a hash of the key) and on
+what they taught each other. In each round every other document is scored by both views, and the EXCHANGED that are
+surest of a class, of the whole table, are exchanged; every document is scored at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zlib
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, chunks, documents, lean, text_column, tidy, within
+from .common import PUNCTUATION, Words, chunks, documents, lean, remove, text_column, tidy, within, written
 
-LABELLED, POOL = 6_000, 3_000
+LABELLED = 6_000
 ROUNDS, EXCHANGED, SURE = 3, 300, 0.97
 #: Words that the content view takes, of those that at least so many sampled documents have.
 TELLING, LEAST_DOCS = 400, 4
@@ -128,15 +129,19 @@ class Model:
         return _p(self.both[0] * t + self.both[1] * m + self.both[2])
 
 
-def fit(shares: np.ndarray, words: list[np.ndarray], slots: np.ndarray, y: np.ndarray, known: np.ndarray) -> Model | None:
-    """Co-train on sampled documents; y counts where known. None where fewer than two classes are known."""
-    if len(np.unique(y[known])) < 2:
+#: Rows that a view is taught: their labels, shares, words (chosen buckets), metadata slots.
+Taught = dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def fit(shares: np.ndarray, words: list[np.ndarray], slots: np.ndarray, y: np.ndarray, exchange: Callable[[Model, list[Taught]], None]) -> Model | None:
+    """Co-train on labelled documents; exchange() adds what the views teach each other. None where there are fewer than two classes."""
+    if len(np.unique(y)) < 2:
         return None
     fold = np.arange(len(y)) % 5 == 0
-    learn = known & ~fold
-    if len(np.unique(y[learn])) < 2 or len(np.unique(y[known & fold])) < 2:
+    learn = ~fold
+    if len(np.unique(y[learn])) < 2 or len(np.unique(y[fold])) < 2:
         fold[:] = False
-        learn = known.copy()
+        learn = ~fold
     # words by how their share of documents differs between the classes
     count = np.zeros((2, BUCKETS))
     for c in (0, 1):
@@ -148,77 +153,133 @@ def fit(shares: np.ndarray, words: list[np.ndarray], slots: np.ndarray, y: np.nd
     z[count.sum(axis=0) < LEAST_DOCS] = 0
     top = np.argsort(-z, kind="stable")[:TELLING]
     chosen = np.sort(top[z[top] > 2.5])
-    x = np.zeros((len(y), CONTENT + len(chosen)), np.float32)
     mean, scale = shares[learn].mean(axis=0), shares[learn].std(axis=0) + 1e-3
-    x[:, :CONTENT] = (shares - mean) / scale
-    for i, own in enumerate(words):
-        x[i, CONTENT + np.flatnonzero(np.isin(chosen, own, assume_unique=True))] = 1
-    meta = np.zeros((len(y), SOURCES + LANGS + SIZES), np.float32)
-    meta[np.arange(len(y))[:, None], slots] = 1
-
-    taught = [dict(), dict()]  # what each view learned from the other: document -> label
-    views, models = (x, meta), [np.zeros(0)] * 2
-    pool = np.flatnonzero(~known)
+
+    def views(shares: np.ndarray, words: list[np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(words), CONTENT + len(chosen)), np.float32)
+        x[:, :CONTENT] = (shares - mean) / scale
+        for i, own in enumerate(words):
+            x[i, CONTENT + np.flatnonzero(np.isin(chosen, own, assume_unique=True))] = 1
+        meta = np.zeros((len(words), SOURCES + LANGS + SIZES), np.float32)
+        meta[np.arange(len(words))[:, None], slots] = 1
+        return x, meta
+
+    own, taught = views(shares, words, slots), [Taught(), Taught()]
     for round_ in range(ROUNDS + 1):
+        models = []
         for v in (0, 1):
-            extra = np.array(sorted(taught[v]), np.int64)
-            rows = np.concatenate([np.flatnonzero(learn), extra])
-            labels = np.concatenate([y[learn], [taught[v][i] for i in extra]])
-            weight = np.concatenate([np.ones(learn.sum()), np.full(len(extra), 0.5)])
-            models[v] = logistic(views[v][rows], labels, weight, ridge=1.0 if v else 0.3)
-        if round_ == ROUNDS:
-            break
-        for v in (0, 1):
-            p = _p(_logit(views[v][pool], models[v]))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")
-            for label in (0, 1):
-                sure = [i for i in order if (p[i] >= SURE if label else p[i] <= 1 - SURE) and pool[i] not in taught[1 - v]]
-                taught[1 - v].update((int(pool[i]), label) for i in sure[:EXCHANGED])
-    judge = known & fold if (known & fold).any() else known
-    odds = np.stack([np.clip(_logit(views[v][judge], models[v]), -12, 12) for v in (0, 1)], axis=1)
+            rows, labels, weight = own[v][learn], y[learn], np.ones(learn.sum())
+            if taught[v]:
+                label, *extra = zip(*(taught[v][k] for k in sorted(taught[v])))
+                rows = np.concatenate([rows, views(np.stack(extra[0]), extra[1], np.stack(extra[2]))[v]])
+                labels, weight = np.concatenate([labels, label]), np.concatenate([weight, np.full(len(label), 0.5)])
+            models.append(logistic(rows, labels, weight, ridge=1.0 if v else 0.3))
+        if round_ < ROUNDS:
+            exchange(Model(chosen, models[0], mean, scale, models[1], np.zeros(3)), taught)
+    judge = fold if fold.any() else learn
+    odds = np.stack([np.clip(_logit(own[v][judge], models[v]), -12, 12) for v in (0, 1)], axis=1)
     both = logistic(odds, y[judge], ridge=0.1)
     if both[0] <= 0:  # a view that tells nothing on held-back rows must not be turned round
         both = np.array([1.0, 0.0, 0.0])
     return Model(chosen, models[0], mean, scale, models[1], both)
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to fit on: at most about LABELLED that have a label and POOL others, by a hash of the key."""
+def known(labels: DataFrame) -> DataFrame:
+    """Labels to fit on: at most about LABELLED, by a hash of the key."""
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
     label = label.select("doc_id", ((F.col("q") == 1) & (F.col("x") == 0)).cast("int").alias("y"))
-    part = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < n
-    rate = lambda most, have: int(min(1.0, most / max(have, 1)) * 1_000_000)
-    mine, others = rate(LABELLED, labels.count()), rate(POOL, docs.count())
-    # bounded by LABELLED, so it may be broadcast
-    few = F.broadcast(label.where(part(mine, 1)))
-    rows = docs.where(part(mine, 1) | part(others, 2)).join(few, "doc_id", "left")
-    return rows.where(F.col("y").isNotNull() | part(others, 2)).withColumn("h", F.xxhash64("text"))
+    rate = int(min(1.0, LABELLED / max(labels.count(), 1)) * 1_000_000)
+    return label.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < rate)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+def features(rows: DataFrame, chosen: np.ndarray | None = None) -> DataFrame:
+    """Both views of rows, with doc_id, h (their text), k (text and metadata) and y: shares, words (all, or the chosen buckets) and slots. Narrow."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "t"):
-                shares, doc, bucket = content(part.column(2))
+                shares, doc, bucket = content(part.column(3))
+                if chosen is not None:
+                    mine = np.isin(bucket, chosen)
+                    doc, bucket = doc[mine], bucket[mine]
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                slots = metadata(*(part.column(i).to_pylist() for i in (3, 4, 5)))
+                slots = metadata(*(part.column(i).to_pylist() for i in (4, 5, 6)))
                 lists = [pa.ListArray.from_arrays(pa.array(b), pa.array(v)) for b, v in ((np.arange(part.num_rows + 1, dtype=np.int32) * CONTENT, shares.ravel()), (cut, bucket.astype(np.int32)), (np.arange(part.num_rows + 1, dtype=np.int32) * 3, slots.astype(np.int32).ravel()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists, part.column(6)], names=["doc_id", "h", "shares", "words", "slots", "y"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *lists, part.column(7)], names=["doc_id", "h", "k", "shares", "words", "slots", "y"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    meta = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
+    k = F.xxhash64("text", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("source", "lang", "n_chars")])
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), k.alias("k"), text_column(rows).alias("t"), *meta, "y")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, h long, k long, shares array<float>, words array<int>, slots array<int>, y int")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample(docs.select("doc_id", "text", "source", "lang", "n_chars"), labels)
-    rows = rows.select("doc_id", "h", text_column(docs).alias("t"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"), "y")
-    got = rows.mapInArrow(lean(run), f"doc_id {kind}, h long, shares array<float>, words array<int>, slots array<int>, y int")
+
+def surest(pool: DataFrame, model: Model, taught: list[set[int]]) -> DataFrame:
+    """Of all rows of pool (features), the EXCHANGED of each teacher (view) and label that it is surest of and has not taught yet.
+
+    Equal rows count once. Each task keeps its own EXCHANGED, so that few rows meet.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((model, [np.array(sorted(t), np.int64) for t in taught]))
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, done = shared.value
+        best: dict[tuple[int, int], tuple[pa.Table, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lists = batch.column(0).to_numpy(), [batch.column(i) for i in (1, 2, 3)]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists[1].offsets.to_numpy()))
+            shares, bucket, slots = (x.flatten().to_numpy() for x in lists)
+            odds = (m.content_logit(shares.reshape(-1, CONTENT), doc, bucket), m.meta_logit(slots.reshape(-1, 3)))
+            for v in (0, 1):
+                fresh = ~np.isin(key, done[1 - v])
+                for label in (0, 1):
+                    sure = np.round(odds[v] if label else -odds[v], 9)
+                    at = np.flatnonzero(fresh & (sure >= least))
+                    if not len(at):
+                        continue
+                    table, sure = pa.Table.from_batches([batch.take(pa.array(at))]), sure[at]
+                    if (v, label) in best:
+                        table, sure = pa.concat_tables([best[v, label][0], table]), np.concatenate([best[v, label][1], sure])
+                    one = np.unique(table.column(0).to_numpy(), return_index=True)[1]
+                    one = one[np.argsort(-sure[one], kind="stable")][:EXCHANGED]
+                    best[v, label] = table.take(pa.array(one)).combine_chunks(), sure[one]
+        for (v, label), (table, sure) in best.items():
+            for part in table.to_batches():
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(sure), *part.columns], names=["teacher", "label", "sure", *part.schema.names])
+
+    got = pool.select("k", "shares", "words", "slots").mapInArrow(lean(run), "teacher int, label int, sure double, k long, shares array<float>, words array<int>, slots array<int>")
+    place = F.dense_rank().over(Window.partitionBy("teacher", "label").orderBy(F.desc("sure"), "k"))
+    return got.withColumn("place", place).where(F.col("place") <= EXCHANGED).dropDuplicates(["teacher", "label", "k"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    # bounded by LABELLED, so it may be broadcast
+    few = F.broadcast(known(labels))
     # repeated rows count once; the order, and with it the model, does not depend on the tasks
-    got = got.dropDuplicates(["doc_id", "h"]).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    got = features(docs.join(few, "doc_id")).dropDuplicates(["doc_id", "h"]).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     if got.num_rows == 0:
         return None
     shares = np.array(got.column("shares").to_pylist(), np.float32)
     words = [x.values.to_numpy() for x in got.column("words")]
     slots = np.array(got.column("slots").to_pylist(), np.int64)
-    y = got.column("y").to_pylist()
+    y = np.array(got.column("y").to_pylist())
     del got
-    model = fit(shares, words, slots, np.array([v or 0 for v in y]), np.array([v is not None for v in y]))
+    pool: list[DataFrame] = []
+
+    def exchange(model: Model, taught: list[Taught]) -> None:
+        if not pool:  # words are looked up once, all other documents' views are then small
+            rest = docs.join(few, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+            pool.append(written(features(rest, model.words).select("k", "shares", "words", "slots"), "views"))
+        for r in surest(pool[0], model, [set(t) for t in taught]).collect():  # 4 * EXCHANGED rows at most
+            taught[1 - r["teacher"]][r["k"]] = (r["label"], np.array(r["shares"], np.float32), np.array(r["words"], np.int64), np.array(r["slots"], np.int64))
+
+    model = fit(shares, words, slots, y, exchange)
+    for df in pool:
+        remove(df.sparkSession, df)
     del shares, words, slots
     tidy()
     return model

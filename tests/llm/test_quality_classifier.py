@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from fieldsonar.llm import quality_classifier as Q
 from tests.llm.util import frame, no_rows, odd_rows, prose
 
@@ -50,3 +53,39 @@ def test_without_labels(spark):
     assert {r.doc_id: r.kept for r in Q.classify(docs, model).collect()} == {1: True, 2: False}
     assert Q.classify(no_rows(spark), model).collect() == []
     assert Q.train(no_rows(spark), labels) is None
+
+
+def test_rare_source_beyond_any_sample(spark):
+    rows, truth = corpus(3600)
+    # of the unlabelled documents, some that a sample of 3,000 by the hash of the key leaves out are of a source of their own
+    key = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000))
+    out = [r.id for r in spark.range(300, 3600).where(key >= 3000 / 3600 * 1_000_000).orderBy("id").limit(30).collect()]
+    for i in out:
+        text = " ".join(w + "###&&&%%%" for w in rows[i][1].split())
+        rows[i] = (i, text, "en", "rare", len(text))
+    labels = spark.createDataFrame([(i, int(truth[i]), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = Q.train(frame(spark, rows), labels)
+    slot = Q.metadata(["rare"], ["en"], [1])[0, 0]
+    assert slot not in Q.metadata([f"s{i}" for i in range(4)], ["en"] * 4, [1] * 4)[:, 0]
+    assert model.meta[slot] < -0.5
+
+
+def test_exchange_against_plain(spark, monkeypatch):
+    monkeypatch.setattr(Q, "EXCHANGED", 20)
+    rows, truth = corpus(400)
+    labels = spark.createDataFrame([(i, int(truth[i]), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + rows[200:260])
+    model = Q.train(docs, labels)
+    pool = Q.features(docs.withColumn("y", F.lit(None).cast("int")), model.words)
+    all_ = {r.k: r for r in pool.collect()}
+    odds = {}
+    for k, r in all_.items():
+        shares, words = np.array([r.shares], np.float32), np.array(r.words, np.int64)
+        odds[k] = model.content_logit(shares, np.zeros(len(words), np.int64), words)[0], model.meta_logit(np.array([r.slots]))[0]
+    done = [set(sorted(all_)[:50]), set(sorted(all_)[30:90])]
+    got = {(v, label): {r.k for r in rs} for v in (0, 1) for label in (0, 1) for rs in [[r for r in Q.surest(pool.repartition(5), model, done).collect() if (r.teacher, r.label) == (v, label)]]}
+    least = np.log(Q.SURE / (1 - Q.SURE))
+    for (v, label), keys in got.items():
+        sure = {k: round(z[v] if label else -z[v], 9) for k, z in odds.items() if k not in done[1 - v]}
+        assert keys == set(sorted((k for k in sure if sure[k] >= least), key=lambda k: (-sure[k], k))[:20])
+    assert any(got.values())
