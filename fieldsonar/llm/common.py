@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,37 +27,85 @@ _LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse where it is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="fieldsonar-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
+    return (top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fieldsonar").rstrip("/")
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with, so that columns of our own cannot clash with theirs."""
+    names, prefix = [c.lower() for df in frames for c in df.columns], "_own_"
+    while any(c.startswith(prefix) for c in names):
+        prefix = "_" + prefix
+    return prefix
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of all tables that written() has made, in order.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder, so that a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by written(), once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files behind tables made by written(), once nothing reads them any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(spark, folder)
+
+
+def made() -> int:
+    """How many tables written() has made so far: a mark for swept()."""
+    return len(_MADE)
+
+
+def swept(spark: SparkSession, since: int, keep: DataFrame) -> DataFrame:
+    """keep, a table made by written(); all other tables made since a mark are deleted, as nothing reads them any more."""
+    mine = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    for folder in _MADE[since:]:
+        if folder.rsplit("/", 1)[-1] not in mine:
+            _delete(spark, folder)
+    _MADE[since:] = [f for f in _MADE[since:] if f.rsplit("/", 1)[-1] in mine]
+    return keep
+
+
+def in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit() makes of all rows, in one task: for numerical work on bounded rows, so that the driver holds the result alone.
+
+    The rows must be bounded by a parameter of the caller's. A lost executor costs another try of that task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        result = fit(pa.Table.from_batches(got)) if got else fit(None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result, protocol=5)], pa.binary())], names=["result"])
+
+    found = rows.coalesce(1).mapInArrow(lean(run), "result binary").collect()
+    return pickle.loads(found[0][0]) if found else fit(None)
 
 
 def text_column(df: DataFrame, name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +230,7 @@ def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size:
     """Sums of the arrays of `size` counters that count() gives for bounded slices of rows (text column t).
 
     Each task adds up its own; blocks of counters are then added in the executors, in a stream. The driver gets
-    size / block rows, however large the table.
+    size / block rows of bytes, however large the table.
     """
     schema = "block int, counts array<long>"
 
@@ -195,19 +243,54 @@ def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size:
             if (own := total[at : at + block]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], names=["block", "counts"])
 
+    total = np.zeros(size, np.int64)
+    for r in _added(rows.mapInArrow(lean(of_task), schema), "block int").collect():
+        own = np.frombuffer(r["sums"], np.int64)
+        total[r["block"] : r["block"] + len(own)] = own
+    return total
+
+
+def _added(parts: DataFrame, key: str) -> DataFrame:
+    """Sums of the equally long arrays `counts` under each key (columns `name type, ...`), added in a stream; `sums` has them as bytes."""
+    names = [k.split()[0] for k in key.split(", ")]
+    kinds = [{"int": pa.int32(), "string": pa.string()}[k.split()[1]] for k in key.split(", ")]
+    n = len(names)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for at, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for *at, own in zip(*(batch.column(i).to_pylist() for i in range(n)), batch.column(n)):
                 values = own.values.to_numpy(zero_copy_only=False)
-                sums[at] = sums[at] + values if at in sums else values.astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["block", "counts"])
+                if (mine := sums.get(tuple(at))) is None:
+                    sums[tuple(at)] = values.astype(np.int64)
+                else:
+                    mine += values
+        for at, own in sums.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], kind) for x, kind in zip(at, kinds)), pa.array([own.tobytes()], pa.binary())], names=[*names, "sums"])
 
-    total = np.zeros(size, np.int64)
-    for r in rows.mapInArrow(lean(of_task), schema).repartition("block").mapInArrow(lean(add), schema).collect():
-        total[r["block"] : r["block"] + len(r["counts"])] += np.array(r["counts"])
-    return total
+    return parts.select(*names, "counts").repartition(*names).mapInArrow(lean(add), f"{key}, sums binary")
+
+
+def summed_by(rows: DataFrame, count: Callable[[pa.RecordBatch], dict[str, np.ndarray]], size: int, block: int = 1 << 13) -> dict[str, np.ndarray]:
+    """As summed(), for several arrays of counters, each under its name. The driver gets the sums themselves, block by block."""
+    schema = "name string, block int, counts array<long>"
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                for name, own in count(part).items():
+                    total[name] = total[name] + own if name in total else own
+        for name, sums in total.items():
+            for at in range(0, size, block):
+                if (own := sums[at : at + block]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], names=["name", "block", "counts"])
+
+    out: dict[str, np.ndarray] = {}
+    for r in _added(rows.mapInArrow(lean(of_task), schema), "name string, block int").collect():
+        own = np.frombuffer(r["sums"], np.int64)
+        out.setdefault(r["name"], np.zeros(size, np.int64))[r["block"] : r["block"] + len(own)] = own
+    return out
 
 
 def tidy() -> None:

@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is written to the shared folder, so its lineage stays short. The rounds are of the order of the
     logarithm of the nodes; a round without a change ends the loop. A null end is no edge; loops and repeated edges
-    change nothing; an empty table gives an empty one.
+    change nothing; an empty table gives an empty one. The table is a written one (see remove()).
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _sum(now)

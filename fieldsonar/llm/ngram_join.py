@@ -3,37 +3,43 @@
 A document's set is its distinct word n-grams (64-bit hashes, sorted). Documents with equal sets are one class. For a
 similarity of t, two classes can link only if they share one of the first n - ceil(t n) + 1 n-grams in any common
 order, and if their sizes differ by no more than t; the order puts n-grams that are frequent in the corpus last, so
-that a common passage opens no tile. A tile is the classes with such an n-gram in a band of sizes. In a tile the
-parity bitmaps of two sets bound their overlap from above: bits that differ are n-grams that are not shared. Pairs
-that this leaves are settled on the sorted arrays.
+that a common passage opens no tile. What is frequent is read off a sketch of signed counters, whose noise grows with
+the root of the corpus and not with the corpus.
+
+A tile is the classes with such an n-gram; one of more than TILE classes is cut into bands of sizes, each a factor of
+1 / t wide, and a band into parts of about TILE classes, so that what may link is in one band or two adjoining ones. In
+a tile the parity bitmaps of two sets bound their overlap from above: bits that differ are n-grams that are not shared.
+Pairs that this leaves are settled on the sorted arrays.
 
 Only components are wanted, so nothing is compared whose component is known already, and no table of pairs is made:
 tasks return forests, at most one edge a class. First the bitmaps, tile by tile, join what may link into groups; then
 each group's texts come together once and links are settled on the sorted arrays, in parts of bounded size. Classes
-of a large tile or group that end in different components also meet across its parts, so no link is missed.
+of a large tile or group that end in different components also meet across its parts, each those of its own band and
+the two beside it, so no link is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, documents, lean, mixed, remove, summed, text_column, written
+from .common import Words, chunks, documents, free_prefix, lean, mixed, quoted, remove, summed, text_column, written
 from .components import components
 
-#: Counters for the frequency of n-grams; a table of one byte each is broadcast.
+#: Signed counters for the frequency of n-grams; a table of two bytes for each is broadcast.
 COUNTERS = 1 << 20
-#: A counter so many times over the mean marks frequent n-grams.
-FREQUENT = 4
+#: Least count of a frequent n-gram, where the counters' noise is not more than a sixth of it.
+FREQUENT = 256
 #: Bits of the largest and smallest bitmap.
 MOST_BITS, LEAST_BITS = 1 << 14, 1 << 8
-#: Rows of a tile, or classes of a group, that are held at once.
+#: Classes of a tile, or of a group, that are held at once.
 TILE = 2048
 #: Memory for the wide bitmaps of a part.
 WIDE_BYTES = 1 << 26
@@ -50,6 +56,10 @@ class Measure:
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
 
+    def band(self, n: Column) -> Column:
+        """Number of a size's band. Bands are a trifle wider than the similarity allows, so sizes that fit are never two apart."""
+        return F.floor(F.log(n.cast("double")) / (math.log(100 / self.percent) * (1 + 1e-9))).cast("int")
+
 
 def shingle_sets(texts: pa.Array, width: int, distinct: bool = True) -> list[np.ndarray]:
     """Each text's sorted distinct n-gram hashes (or all of them, unsorted). Fewer words than the width are one n-gram."""
@@ -95,25 +105,38 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
+def _cell(grams: np.ndarray) -> np.ndarray:
+    """Counter (all bits but the last) and sign (the last) of each n-gram."""
+    return (grams >> np.uint64(63 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def heat(docs: DataFrame, width: int) -> np.ndarray:
-    """Rank of each counter: 0 for n-grams that are not frequent. Counts cover all documents."""
+    """Rank of each counter and sign: 0 for n-grams that are not frequent. Counts cover all documents.
+
+    An n-gram adds its sign to its counter, so that the many rare ones cancel out. Their noise is the counters' median
+    size; one that stands out of it is the count of a frequent n-gram of that sign. Errors cost time and change nothing.
+    """
 
     def count(part: pa.RecordBatch) -> np.ndarray:
         grams = np.concatenate(shingle_sets(part.column(0), width, distinct=False))
-        return np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        both = np.bincount(_cell(grams), minlength=2 * COUNTERS)
+        return both[1::2] - both[::2]
 
     total = summed(docs.select(text_column(docs).alias("t")), count, COUNTERS)
-    times = total / max(1.0, total.mean())
-    return np.where(times > FREQUENT, np.floor(np.log2(np.maximum(times, 1))), 0).astype(np.uint8)
+    noise = float(np.median(np.abs(total))) / 0.6745
+    times = np.stack([-total, total], axis=1).ravel() / max(FREQUENT, 6 * noise)
+    return np.where(times >= 1, 1 + np.floor(np.log2(np.maximum(times, 1))), 0).astype(np.uint8)
 
 
 def _row_key(docs: DataFrame, key: str, text: str) -> Column:
-    return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.col(text))))
+    """Equal for rows of equal keys and texts. A null key is like no other."""
+    own = F.col(quoted(key)).cast("string")
+    return F.concat_ws(":", F.when(own.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), own)), F.hex(F.xxhash64(F.col(quoted(text)))))
 
 
 def signatures(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFrame:
-    """doc, row, node (the class, 0 for an empty set), n; and once a class and task: its prefix and bitmap."""
-    levels = docs.sparkSession.sparkContext.broadcast(heat(docs.select(F.col(text).alias("text")), measure.width))
+    """doc, row, node (the class, 0 for an empty set), n; and once a class and task: its prefix and bitmap. Written."""
+    levels = docs.sparkSession.sparkContext.broadcast(heat(docs.select(F.col(quoted(text)).alias("text")), measure.width))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +151,7 @@ def signatures(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFr
                     size.append(n)
                     if n and me not in seen:
                         seen.add(me)
-                        rank = level[(grams >> np.uint64(44)).astype(np.int64)]
+                        rank = level[_cell(grams)]
                         take = measure.prefix(n)
                         # the n-grams are sorted: a stable order by rank is the common order (rank, hash)
                         prefix.append((grams[:take] if not rank.any() else grams[np.argsort(rank, kind="stable")[:take]]).view(np.int64))
@@ -139,8 +162,10 @@ def signatures(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFr
                 cols = [part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "row", "node", "n", "prefix", "bits"])
 
-    rows = docs.select(F.col(key).alias("doc"), _row_key(docs, key, text).alias("row"), text_column(docs, text).alias("t"))
-    return rows.mapInArrow(lean(run), f"doc {kind}, row string, node long, n int, prefix array<long>, bits binary")
+    rows = docs.select(F.col(quoted(key)).alias("doc"), _row_key(docs, key, text).alias("row"), text_column(docs, text).alias("t"))
+    got = written(rows.mapInArrow(lean(run), f"doc {kind}, row string, node long, n int, prefix array<long>, bits binary"), "signatures")
+    levels.destroy()
+    return got
 
 
 class Joined:
@@ -250,22 +275,43 @@ def _join_tile(tile: list[tuple], joined: Joined, percent: int) -> None:
                 name[(name == old) | (name == name[i])] = new
 
 
-def possible(tiles: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
-    """Edges (a, b) of a forest that joins, in each task, all classes of a tile that the bitmaps let link.
+def tiles(signed: DataFrame, measure: Measure) -> DataFrame:
+    """gram, node, n, rows (classes in the tile), band and part: all classes of tiles of two or more. Written.
 
-    A tile of more than TILE rows is taken in stretches of that many, by size; across() does the rest.
+    Classes are counted under each n-gram with map-side sums, so that one under very many costs a row a task; the join
+    back has plain exchanges on both sides, which may be split. Only a tile of more than TILE rows has bands and parts.
     """
-    rows = tiles.select("gram", "node", "n").join(sizes.select("node", "bits"), "node")
-    rows = rows.select("gram", "node", "n", "bits").repartition("gram").sortWithinPartitions("gram", "n", "node")
+    opened = signed.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "n")
+    # copies of a class in several tasks count each time here: what is counted is rows
+    met = opened.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").cast("int").alias("rows")).where("low != high")
+    met = written(met.select("gram", "rows"), "grams")
+    found = written(opened.join(met, "gram"), "tiles")
+    large = found.where(F.col("rows") > TILE).withColumn("band", measure.band(F.col("n")))
+    bands = large.groupBy("gram", "band").agg(F.count("*").alias("in_band"))
+    cut = large.join(bands, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_band") / TILE)).cast("int"))
+    whole = found.where(F.col("rows") <= TILE).withColumns({"band": F.lit(0), "part": F.lit(0)})
+    names = ["gram", "node", "n", "rows", "band", "part"]
+    if found.where(F.col("rows") > TILE).isEmpty():
+        return whole.select(names)
+    out = written(whole.select(names).unionByName(cut.select(names)), "tiles")
+    remove(signed.sparkSession, found, met)
+    return out
+
+
+def possible(tiles: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
+    """Edges (a, b) of a forest that joins, in each task, all classes of a tile, or of its parts, that the bitmaps let link."""
+    rows = tiles.select("gram", "band", "part", "node", "n").join(sizes.select("node", "bits"), "node")
+    rows = rows.select("gram", "band", "part", "node", "n", "bits").repartition("gram", "band", "part").sortWithinPartitions("gram", "band", "part", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, now, tile = Joined(), None, []
         for batch in batches:
-            for gram, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if gram != now or len(tile) >= TILE:
+            for gram, band, part, node, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gram, band, part) != now:
                     _join_tile(tile, joined, measure.percent)
-                    now, tile = gram, []
-                tile.append(row)
+                    now, tile = (gram, band, part), []
+                if not tile or tile[-1][0] != node:  # copies of a class from several tasks
+                    tile.append((node, n, bits))
         _join_tile(tile, joined, measure.percent)
         if (edges := joined.edges()) is not None:
             yield edges
@@ -273,18 +319,19 @@ def possible(tiles: DataFrame, sizes: DataFrame, measure: Measure) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def _spread(rows: DataFrame, group: str, count: str) -> DataFrame:
-    """Rows of large groups whose classes have different labels, set out so that all of different labels meet.
+def _spread(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of large groups whose classes have different labels, set out so that all of different labels meet that may link.
 
-    rows has group, node, label and the group's count. Residents are dealt into parts by a hash; classes outside the
-    group's commonest label also go, as probes, to every part.
+    rows has group, band, part, node, n, label and what else goes along. Residents stay in their parts; classes outside
+    the group's commonest label also go, as probes, to every part of their own band and the two beside it.
     """
-    parts = rows.groupBy(group, "label").agg(F.count("*").alias("c"))
-    parts = parts.groupBy(group).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select(group, "main")
-    rows = rows.join(parts, group).withColumn("parts", F.ceil(F.col(count) / TILE).cast("int"))
-    own = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("probe", F.lit(False))
-    probes = rows.where("label != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
-    return own.unionByName(probes).drop("main", "parts").repartition(group, "part").sortWithinPartitions(group, "part", "probe", "n", "node")
+    names = rows.groupBy(group, "label").agg(F.count("*").alias("c"))
+    names = names.groupBy(group).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select(group, "main")
+    rows = rows.join(names, group)
+    parts = rows.select(group, "band", "part").distinct().withColumnsRenamed({"band": "to_band", "part": "to_part"})
+    probes = rows.where("label != main").withColumn("to_band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).drop("part")
+    probes = probes.join(parts, [group, "to_band"]).withColumns({"band": F.col("to_band"), "part": F.col("to_part"), "probe": F.lit(True)}).drop("to_band", "to_part")
+    return rows.withColumn("probe", F.lit(False)).unionByName(probes).drop("main").repartition(group, "band", "part").sortWithinPartitions(group, "band", "part", "probe", "n", "node")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,20 +340,22 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def across(tiles: DataFrame, sizes: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
     """Edges between classes of different labels in tiles of more than TILE rows that the bitmaps let link."""
-    large = _labelled(tiles.where(F.col("rows") > TILE).select("gram", "node", "n", "rows"), labels)
-    rows = _spread(large, "gram", "rows").join(sizes.select("node", "bits"), "node")
-    rows = rows.select("gram", "part", "probe", "node", "n", "label", "bits").repartition("gram", "part").sortWithinPartitions("gram", "part", "probe", "n", "node")
+    large = _labelled(tiles.where(F.col("rows") > TILE).drop("rows").distinct(), labels)
+    rows = _spread(large, "gram").join(sizes.select("node", "bits"), "node")
+    rows = rows.select("gram", "band", "part", "probe", "node", "n", "label", "bits").repartition("gram", "band", "part").sortWithinPartitions("gram", "band", "part", "probe", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, now, held, maps = Joined(), None, [], None
         n = name = None
         for batch in batches:
-            for gram, part, probe, node, size, label, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                if (gram, part) != now:
-                    now, held, maps = (gram, part), [], None
+            for gram, band, part, probe, node, size, label, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gram, band, part) != now:
+                    now, held, maps = (gram, band, part), [], None
                 if not probe:
                     held.append((label, size, bits))
                     continue
+                if not held:
+                    continue
                 if maps is None:
                     maps = Bitmaps([h[2] for h in held])
                     n, name = np.array([h[1] for h in held]), np.array([joined.find(h[0]) for h in held])
@@ -375,9 +424,9 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def settled(held: DataFrame, measure: Measure) -> DataFrame:
     """Links (a, b), settled on the sets, that join all classes of a group which links connect within its parts.
 
-    held has grp, part, node, n, t (text); a part has about TILE classes, so its sets are held at once.
+    held has grp, band, part, node, n, t (text); a part has about TILE classes, so its sets are held at once.
     """
-    rows = held.select("grp", "part", "node", "n", "t").repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "node")
+    rows = held.select("grp", "band", "part", "node", "n", "t").repartition("grp", "band", "part").sortWithinPartitions("grp", "band", "part", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -393,10 +442,10 @@ def settled(held: DataFrame, measure: Measure) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "t"):
                 found = []
-                for grp, p, node, grams in zip(*(part.column(i).to_pylist() for i in range(3)), shingle_sets(part.column(4), measure.width)):
-                    if (grp, p) != now:
+                for grp, band, p, node, grams in zip(*(part.column(i).to_pylist() for i in range(4)), shingle_sets(part.column(5), measure.width)):
+                    if (grp, band, p) != now:
                         found += close()
-                        now, nodes, sets = (grp, p), [], []
+                        now, nodes, sets = (grp, band, p), [], []
                     if not nodes or nodes[-1] != node:  # repeated rows of a document
                         nodes.append(node)
                         sets.append(grams)
@@ -410,17 +459,17 @@ def settled(held: DataFrame, measure: Measure) -> DataFrame:
 
 def settled_across(held: DataFrame, labels: DataFrame, measure: Measure) -> DataFrame:
     """Links between classes of different labels in groups of several parts."""
-    rows = _spread(_labelled(held.where(F.col("size") > TILE).drop("part"), labels), "grp", "size")
-    rows = rows.select("grp", "part", "probe", "node", "label", "t")
+    rows = _spread(_labelled(held.where(F.col("size") > TILE).drop("size"), labels), "grp")
+    rows = rows.select("grp", "band", "part", "probe", "node", "label", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, group, joined = None, ([], [], []), None, Joined()
         for batch in batches:
             for part in chunks(batch, "t"):
                 found = []
-                for grp, p, probe, node, label, grams in zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(part.column(5), measure.width)):
-                    if (grp, p) != now:
-                        now, held, group = (grp, p), ([], [], []), None
+                for grp, band, p, probe, node, label, grams in zip(*(part.column(i).to_pylist() for i in range(6)), shingle_sets(part.column(6), measure.width)):
+                    if (grp, band, p) != now:
+                        now, held, group = (grp, band, p), ([], [], []), None
                     if not probe:
                         if not held[0] or held[0][-1] != node:
                             for kept, x in zip(held, (node, joined.find(label), grams)):
@@ -434,6 +483,20 @@ def settled_across(held: DataFrame, labels: DataFrame, measure: Measure) -> Data
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
+def _held(docs: DataFrame, groups: DataFrame, classes: DataFrame, measure: Measure, key: str, text: str) -> DataFrame:
+    """The texts of all classes in groups, one row for each row that has the class's key: grp, size, band, part, node, n, t. Written."""
+    counts = groups.groupBy("label").agg(F.count("*").alias("size"))
+    wanted = written(groups.join(counts, "label").select("node", F.col("label").alias("grp"), "size").join(classes.select("node", "n", "row"), "node"), "wanted")
+    large = wanted.where(F.col("size") > TILE).withColumn("band", measure.band(F.col("n")))
+    bands = large.groupBy("grp", "band").agg(F.count("*").alias("in_band"))
+    cut = large.join(bands, ["grp", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_band") / TILE)).cast("int")).drop("in_band")
+    whole = wanted.where(F.col("size") <= TILE).withColumns({"band": F.lit(0), "part": F.lit(0)})
+    texts = docs.select(_row_key(docs, key, text).alias("row"), F.col(quoted(text)).cast("string").alias("t"))
+    out = written(texts.join(whole.unionByName(cut).hint("shuffle_hash"), "row").select("grp", "size", "band", "part", "node", "n", "t"), "texts")
+    remove(docs.sparkSession, wanted)
+    return out
+
+
 def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc, row (a key of the row), node, n (set size), group (its class's label) and component.
 
@@ -443,44 +506,37 @@ def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "
     An empty table gives an empty one; other columns are left aside.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key), F.col(text))
-    made = written(signatures(docs, measure, key, text), "signatures")
+    docs = docs.select(F.col(quoted(key)), F.col(quoted(text)))
+    made = signatures(docs, measure, key, text)
     full = made.where("n > 0")
-    classes = full.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc", "row")).alias("least")).select("node", "n", F.col("least.doc").alias("doc"), F.col("least.row").alias("row"))
-    sizes = full.where("bits is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
-
-    # tiles: classes under one n-gram of their prefixes, by size; only those with two classes or more are written
-    opened = full.where("prefix is not null").select(F.explode("prefix").alias("gram"), "node", "n")
-    by_size, whole = Window.partitionBy("gram").orderBy("n", "node"), Window.partitionBy("gram")
-    tiles = opened.withColumn("before", F.lag("node").over(by_size)).withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole), "rows": F.count("*").over(whole)})
-    # copies in several tasks give equal rows, one after the other
-    tiles = written(tiles.where("low != high and (before is null or before != node)").select("gram", "node", "n", "rows"), "tiles")
+    classes = full.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc", "row")).alias("least"), F.min("bits").alias("bits"))
+    classes = written(classes.select("node", "n", F.col("least.doc").alias("doc"), F.col("least.row").alias("row"), "bits"), "classes")
+    opened = tiles(full, measure)
 
     # groups: classes that the bitmaps let link, directly or through others
-    edges = written(possible(tiles, sizes, measure), "possible")
+    edges = written(possible(opened, classes, measure), "possible")
     groups = components(edges)
-    if not tiles.where(F.col("rows") > TILE).isEmpty():
-        edges = edges.unionByName(written(across(tiles, sizes, groups, measure), "possible"))
+    if not opened.where(F.col("rows") > TILE).isEmpty():
+        first, edges = groups, edges.unionByName(written(across(opened, classes, groups, measure), "possible"))
         groups = components(edges)
-    groups = written(groups, "groups")
+        remove(spark, first)
+    remove(spark, opened, edges)
 
     # each group's texts move once; links are settled within it
-    counts = groups.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = groups.join(counts, "label").select("node", F.col("label").alias("grp"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int").alias("part"))
-    wanted = wanted.join(classes.select("node", "n", "row"), "node")
-    texts = docs.select(_row_key(docs, key, text).alias("row"), F.col(text).cast("string").alias("t"))
-    held = written(texts.join(wanted.hint("shuffle_hash"), "row").select("grp", "part", "size", "node", "n", "t"), "texts")
+    held = _held(docs, groups, classes, measure, key, text)
     links = written(settled(held, measure), "links")
-    labels = written(components(links), "labels")
+    labels = components(links)
     if not held.where(F.col("size") > TILE).isEmpty():
-        links = links.unionByName(written(settled_across(held, labels, measure), "links"))
-        labels = written(components(links), "labels")
-    remove(spark, held)
+        first, links = labels, links.unionByName(written(settled_across(held, labels, measure), "links"))
+        labels = components(links)
+        remove(spark, first)
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))
     of_node = labels.join(least, "label").select("node", "label", "component")
     component = F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("component"))
-    own = classes.join(of_node, "node", "left").select("node", F.coalesce("label", "node").alias("group"), component.alias("component"))
+    # written, so that both sides of the last join are plain exchanges: a class of very many equal texts may be split
+    own = written(classes.join(of_node, "node", "left").select("node", F.coalesce("label", "node").alias("group"), component.alias("component")), "named")
+    remove(spark, held, groups, links, labels, classes)
     got = made.select("doc", "row", "node", "n").join(own, "node", "left")
     return got.select("doc", "row", "node", "n", "group", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 
@@ -488,14 +544,14 @@ def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "
 def one_of_each(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs less all but one of each component: that with the least key. Texts without words all stay.
 
-    Other columns stay as they are. Of repeated rows with that key, one stays.
+    Other columns stay as they are, whatever their names. Of repeated rows with that key, one stays.
     """
     got = written(linked(docs, measure, key, text), "linked")
     stay = got.where(F.col("doc").eqNullSafe(F.col("component")))
     # several rows of a component may have its least key: with other texts, or repeated
-    chosen = stay.where("n > 0").groupBy("group").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
-    keep = chosen.select("row").unionByName(stay.where("n = 0").select("row").distinct())
-    name = "__row"
+    chosen = written(stay.where("n > 0").groupBy("group").agg(F.min("row").alias("row"), F.count("*").alias("rows")), "chosen")
+    keep = written(chosen.select("row").unionByName(stay.where("n = 0").select("row").distinct()), "kept")
+    name = free_prefix(docs) + "row"
     out = docs.withColumn(name, _row_key(docs, key, text)).join(keep.withColumnRenamed("row", name).hint("shuffle_hash"), name, "left_semi")
     if not chosen.where("rows > 1").isEmpty():
         again = chosen.where("rows > 1").select(F.col("row").alias(name))
@@ -504,5 +560,6 @@ def one_of_each(docs: DataFrame, measure: Measure, key: str = "doc_id", text: st
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the least document that links connect it with."""
     got = linked(documents(spark, sf_dir), Measure(width=4, percent=85))
     return got.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
