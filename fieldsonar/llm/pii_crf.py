@@ -1,35 +1,41 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The field scores whole candidate spans (their digits, shape, checksums and surroundings) and a dynamic program over
-spans of bounded length chooses boundaries and types together. Spans without a trigger (a digit, an @, or "at" in
-brackets) cannot be candidates, so only the surroundings of triggers are decoded; elsewhere the best labelling is
-"outside" in any case, and the result is that of decoding the whole text.
+spans of bounded length chooses boundaries and types together. A candidate is made of whole runs of letters and digits;
+it has an @ (or "at" in brackets) inside, or else no letter and DIGITS digits. Other spans cannot be candidates, so only
+the surroundings of triggers are decoded; elsewhere the best labelling is "outside" in any case, and the result is that
+of decoding the whole text. Runs of more than MAX_CHARS letters and digits are no part of a candidate; surroundings end
+there and at most MAX_CHARS and a run from a trigger, so time is in proportion to the text.
 
-The field is trained here, on the driver, on a fixed number of generated sentences (TRAIN_SENTENCES); its weights
+The field is trained here, in one task, on a fixed number of generated sentences (TRAIN_SENTENCES); its weights
 are a few thousand numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, lean, tidy
+from .common import chunks, documents, free_prefix, in_task, lean, quoted, tidy
 
 #: The kinds, in their listed order.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
 #: Longest candidate, in tokens and in characters.
-MAX_TOKENS, MAX_CHARS = 14, 64
+MAX_TOKENS, MAX_CHARS = 18, 64
+#: Fewest and most digits of a candidate without an at sign.
+DIGITS = (4, 21)
 FEATURES = 1 << 12
 TRAIN_SENTENCES, EPOCHS = 240, 8
 
@@ -67,11 +73,17 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    rest = digits.lstrip("0")
+    return len(rest) < 4 and int(rest or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of all base spans, sorted."""
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -80,7 +92,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_LONG_RUN = re.compile(rf"[^\W_]{{{MAX_CHARS + 1},}}")
 _TRIGGER = re.compile(r"[0-9]{2,}|@|[(\[{] ?at ?[)\]}]|\b[0-9](?=[-. ()]{1,2}[0-9])")
 #: A short text of this list before a span is a feature by itself.
 _CUES = {"phone": "tel", "tel": "tel", "call": "tel", "mobile": "tel", "fax": "tel", "mail": "mail", "email": "mail", "contact": "mail", "ip": "net", "host": "net", "server": "net", "card": "card", "visa": "card", "pay": "card", "version": "count", "page": "count", "no": "count", "v": "count", "order": "count", "isbn": "count", "id": "count", "on": "date", "date": "date"}
@@ -104,7 +117,7 @@ def _span_features(span: str, cue: str, before: str, after: str) -> tuple[int, .
     out.append(("luhn", 12 <= n <= 19 and luhn(digits), 12 <= n <= 19))
     out.append(("octets", len(parts) == 4 and all(p.isdecimal() and len(p) < 4 and int(p) < 256 for p in parts)))
     out.append(("at", "@" in span, span.count("@"), bool(re.search(r"[(\[{] ?at ?[)\]}]", low))))
-    mail = re.fullmatch(r"[\w.%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[\w-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[\w-]+)+", low)
+    mail = re.fullmatch(r"[\w.%+-]+(?:@| ?[(\[{] ?at ?[)\]}] ?)[\w-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[\w-]+)+", low)
     out.append(("mail", bool(mail), before in "ao_"))
     tel = bool(re.fullmatch(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}", span))
     out.append(("tel", tel, 9 <= n <= 15, cue))
@@ -115,8 +128,8 @@ def _span_features(span: str, cue: str, before: str, after: str) -> tuple[int, .
 
 @lru_cache(maxsize=8_192)
 def _outside_features(token: str) -> tuple[int, ...]:
-    shape = f"d{len(token)}" if token[0].isdecimal() else ("a" if token[0].isalpha() else token)
-    return (_f("out"), _f("out", shape), _f("outd", token[0].isdecimal()))
+    shape = f"d{min(len(token), 21)}" if token.isdecimal() else "a" if token.isalpha() else "x" if token.isalnum() else token
+    return (_f("out"), _f("out", shape), _f("outd", token.isdecimal()))
 
 
 def _kind_of(text: str, i: int) -> str:
@@ -134,43 +147,53 @@ class Lattice:
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         n = len(self.tokens)
         word = [text[a:b] for a, b in self.tokens]
-        digit = [w[0].isdecimal() for w in word]
-        fires = [d or w == "@" or w.lower() == "at" for d, w in zip(digit, word)]
-        total = np.concatenate([[0], np.cumsum(fires)])
+        digits = [0, *accumulate(len(w) if w.isdecimal() else sum(map(str.isdecimal, w)) for w in word)]
+        letters = [0, *accumulate(w.isalnum() and not w.isdecimal() for w in word)]
+        signs = [0, *accumulate(w == "@" or w.lower() == "at" and 0 < k < n - 1 and word[k - 1] in "([{" and word[k + 1] in ")]}" for k, w in enumerate(word))]
         self.outside = [_outside_features(w) for w in word]
         self.by_end: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             a = self.tokens[i][0]
             if not (word[i].isalnum() or word[i] in "+("):
                 continue
-            cue = next((c for w in reversed(word[max(0, i - 3) : i]) if (c := _CUES.get(w.lower()))), "")
-            before = _kind_of(text, a - 1)
+            cue = None
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
                 b = self.tokens[j - 1][1]
-                if b - a > MAX_CHARS or (j - i > 1 and b - self.tokens[j - 2][1] > 1 and self.tokens[j - 1][0] - self.tokens[j - 2][1] > 2):
+                if b - a > MAX_CHARS or (j - i > 1 and self.tokens[j - 1][0] - self.tokens[j - 2][1] > 2):
                     break
-                if total[j] == total[i] or j - i < 3 and not (digit[i] and b - a >= 10) or not word[j - 1].isalnum():
+                if not word[j - 1].isalnum():
+                    continue
+                if signs[j] == signs[i] and (letters[j] > letters[i] or not DIGITS[0] <= digits[j] - digits[i] <= DIGITS[1]):
+                    continue
+                if j - i < 3 and not (word[i].isdecimal() and b - a >= 10):
                     continue
                 span = text[a:b]
                 if "\n" in span:
                     break
-                self.by_end[j].append((i, _span_features(span, cue, before, _kind_of(text, b))))
+                if cue is None:
+                    cue = next((c for w in reversed(word[max(0, i - 3) : i]) if (c := _CUES.get(w.lower()))), "")
+                self.by_end[j].append((i, _span_features(span, cue, _kind_of(text, a - 1), _kind_of(text, b))))
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Surroundings of triggers that hold every candidate span whole."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - MAX_CHARS - 24), min(len(text), m.end() + MAX_CHARS + 8)
-        while lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum():
-            lo -= 1
-        while hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
-            hi += 1
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+    """Surroundings of triggers that hold every candidate span whole, between the runs that none begins or ends in."""
+    out: list[tuple[int, int]] = []
+    floor = 0
+    for a, b in [*((m.start(), m.end()) for m in _LONG_RUN.finditer(text)), (len(text), len(text))]:
+        own: list[list[int]] = []
+        for m in _TRIGGER.finditer(text, floor, a):
+            lo, hi = max(floor, m.start() - MAX_CHARS - 24), min(a, m.end() + MAX_CHARS + 8)
+            while lo > floor and text[lo - 1].isalnum() and text[lo].isalnum():
+                lo -= 1
+            while hi < a and text[hi - 1].isalnum() and text[hi].isalnum():
+                hi += 1
+            if own and lo <= own[-1][1]:
+                own[-1][1] = max(hi, own[-1][1])
+            else:
+                own.append([lo, hi])
+        out += [(x, y) for x, y in own]
+        floor = b
+    return out
 
 
 class Field:
@@ -179,14 +202,14 @@ class Field:
     def __init__(self) -> None:
         self.w = np.zeros((FEATURES, len(LABELS)))
         self.t = np.zeros((len(LABELS), len(LABELS)))
-        self.cache: dict[tuple[int, ...], np.ndarray] = {}
+        self.cache: dict[tuple[int, ...], list[float]] = {}
 
-    def scores(self, features: tuple[int, ...]) -> np.ndarray:
+    def scores(self, features: tuple[int, ...]) -> list[float]:
         got = self.cache.get(features)
         if got is None:
             if len(self.cache) > 16_384:
                 self.cache.clear()
-            got = self.cache[features] = self.w[list(features)].sum(axis=0)
+            got = self.cache[features] = self.w[list(features)].sum(axis=0).tolist()
         return got
 
     def _arcs(self, x: Lattice, j: int) -> Iterator[tuple[int, tuple[int, ...], slice]]:
@@ -196,21 +219,29 @@ class Field:
 
     def decode(self, x: Lattice) -> list[tuple[int, int, int]]:
         """(first token, label, end token) of the entities of the best segmentation; ties go to the earlier label and the longer span."""
-        n = len(x.tokens)
-        best = np.full((n + 1, len(LABELS)), -np.inf)
-        best[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        n, labels = len(x.tokens), range(len(LABELS))
+        t = self.t.tolist()
+        best = [[0.0, *[-math.inf] * (len(LABELS) - 1)]]
+        #: For each place and label: the best score of coming from there to that label, and the label it comes from.
+        into: list[list[tuple[float, int]]] = []
+        back: list[list[tuple[int, int]]] = [[(0, 0)] * len(LABELS)]
         for j in range(1, n + 1):
-            for i, f, labels in self._arcs(x, j):
-                into = best[i][:, None] + self.t[:, labels]
-                prev, s = into.argmax(axis=0), into.max(axis=0) + self.scores(f)[labels]
-                for k, y in enumerate(range(labels.start, labels.stop)):
-                    if s[k] > best[j, y]:
-                        best[j, y] = s[k]
-                        back[j, y] = (i, int(prev[k]))
-        out, j, y = [], n, int(best[n].argmax())
+            before = best[-1]
+            into.append([max(((before[p] + t[p][y], -p) for p in labels)) for y in labels])
+            score, way = [-math.inf] * len(LABELS), [(0, 0)] * len(LABELS)
+            s, p = into[j - 1][0]
+            score[0], way[0] = s + self.scores(x.outside[j - 1])[0], (j - 1, -p)
+            for i, f in x.by_end[j]:
+                own, come = self.scores(f), into[i]
+                for y in labels[1:]:
+                    s, p = come[y]
+                    if s + own[y] > score[y]:
+                        score[y], way[y] = s + own[y], (i, -p)
+            best.append(score)
+            back.append(way)
+        out, j, y = [], n, max(labels, key=lambda y: best[n][y])
         while j > 0:
-            i, prev = back[j, y]
+            i, prev = back[j][y]
             if y:
                 out.append((i, y, j))
             j, y = i, prev
@@ -224,7 +255,7 @@ class Field:
         arcs = [[] if j == 0 else list(self._arcs(x, j)) for j in range(n + 1)]
         for j in range(1, n + 1):
             for i, f, labels in arcs[j]:
-                a[j, labels] = np.logaddexp(a[j, labels], np.logaddexp.reduce(a[i][:, None] + self.t[:, labels], axis=0) + self.scores(f)[labels])
+                a[j, labels] = np.logaddexp(a[j, labels], np.logaddexp.reduce(a[i][:, None] + self.t[:, labels], axis=0) + np.array(self.scores(f))[labels])
         z = np.logaddexp.reduce(a[n])
         b = np.full((n + 1, k), -np.inf)
         b[n] = 0
@@ -232,7 +263,7 @@ class Field:
         dt = np.zeros_like(self.t)
         for j in range(n, 0, -1):
             for i, f, labels in arcs[j]:
-                s = self.t[:, labels] + (self.scores(f)[labels] + b[j, labels])[None, :]
+                s = self.t[:, labels] + (np.array(self.scores(f))[labels] + b[j, labels])[None, :]
                 b[i] = np.logaddexp(b[i], np.logaddexp.reduce(s, axis=1))
                 p = np.exp(a[i][:, None] + s - z)
                 d = -p.sum(axis=0)
@@ -319,7 +350,6 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int
         yield text + word() + ".", spans
 
 
-@lru_cache(maxsize=1)
 def trained(seed: int = 11, n: int = TRAIN_SENTENCES, epochs: int = EPOCHS) -> Field:
     """The field, fitted to n generated sentences; the same on every run."""
     rng, field = random.Random(seed), Field()
@@ -343,6 +373,22 @@ def trained(seed: int = 11, n: int = TRAIN_SENTENCES, epochs: int = EPOCHS) -> F
     return field
 
 
+#: The trained weights, a few hundred KB, once they are there: the training has no input but its parameters.
+_WEIGHTS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def weights(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """The field's weights, trained in a task the first time."""
+
+    def fit(_: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
+        field = trained()
+        return field.w.astype(np.float32), field.t
+
+    if not _WEIGHTS:
+        _WEIGHTS.append(in_task(spark.range(1), fit))
+    return _WEIGHTS[0]
+
+
 def crf_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of the field's entities in a whole text."""
     out = []
@@ -376,37 +422,50 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, masked string"
 
 
-def pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = True) -> DataFrame:
-    """One row per row of docs: the columns in keep, counts and digest of base spans, all spans, and the masked text.
+def pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask: bool = True, prefix: str = "") -> DataFrame:
+    """One row per row of docs: the columns in keep, counts and digest of base spans, all spans, their number, and the masked text.
 
     Null text counts as empty and has no spans (masked is then null); repeated rows each give a row; an empty table
-    gives an empty one. Columns not in keep are left aside, so that their names cannot clash. Narrow: no shuffle.
+    gives an empty one. Columns not in keep are left aside; `prefix` goes before the names of the new columns, where
+    keep has such names itself. Narrow: no shuffle.
     """
-    field = trained()
-    shared = docs.sparkSession.sparkContext.broadcast((field.w.astype(np.float32), field.t))
+    w, t = weights(docs.sparkSession)
     n = len(keep)
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field()
-        f.w, f.t = shared.value[0].astype(float), shared.value[1]
+        field = Field()
+        field.w, field.t = w.astype(float), t
         for batch in batches:
             for part in chunks(batch, "__t"):
                 rows = []
-                for t in part.column(n).to_pylist():
-                    base, every = find(t or "", f)
-                    counts = [sum(x[1] == i for x in base) for i in range(4)]
-                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), None if t is None or not mask else masked(t, every)))
-                types = [pa.int64()] * 4 + [pa.string()] * 3
-                names = [*(f"__c{i}" for i in range(n)), *[s.split()[0] for s in SCHEMA.split(", ")]]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *[pa.array(c, ty) for c, ty in zip(zip(*rows), types)]], names=names)
+                for x in part.column(n).to_pylist():
+                    base, every = find(x or "", field)
+                    counts = [sum(y[1] == i for y in base) for i in range(4)]
+                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every), None if x is None or not mask else masked(x, every)))
+                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *[pa.array(c, ty) for c, ty in zip(zip(*rows), types)]], names=[*(f"__c{i}" for i in range(n)), *(f"__v{i}" for i in range(len(names)))])
 
-    schema = ", ".join([f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [SCHEMA])
-    got = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__t")).mapInArrow(lean(run), schema)
-    return got.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(keep)})
+    schema = ", ".join([f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"__v{i} {f.split()[1]}" for i, f in enumerate(SCHEMA.split(", "))])
+    got = docs.select(*[F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(keep)], F.col(quoted(text)).cast("string").alias("__t")).mapInArrow(lean(run), schema)
+    return got.toDF(*keep, *(prefix + c for c in names))
+
+
+def without_pii(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """docs with personal data in the text replaced by its kind in angle brackets, and the size following the text.
+
+    A null text stays null, and a text without spans stays as it is, with its size. Other columns stay as they are,
+    whatever their names; repeated rows each stay; an empty table gives an empty one.
+    """
+    own = free_prefix(docs)
+    got = pii(docs, text, tuple(docs.columns), prefix=own)
+    changed, new = F.col(own + "n_spans") > 0, F.col(own + "masked")
+    return got.withColumns({text: F.when(changed, new).otherwise(F.col(quoted(text))), size: F.when(changed, F.char_length(new).cast("long")).otherwise(F.col(quoted(size)))}).select(*map(quoted, docs.columns))
 
 
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans' counts and digest, and all spans, of every document."""
     return pii(documents(spark, sf_dir), mask=False).drop("masked")

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +43,46 @@ def test_fixed_cases():
     assert P.base_spans("9" * 50_000 + "a@" * 2_000) == []  # no quadratic time
 
 
+def test_long_runs_of_digits():
+    assert P.base_spans("1.2.3." + "0" * 5000) == [(0, 1, 5006)] and P.base_spans("1.2.3." + "0" * 5000 + "256") == []
+    assert P.base_spans("1.2.3.000000255") == plain("1.2.3.000000255")
+
+
+def test_time_is_in_proportion():
+    field, rng = P.trained(), random.Random(1)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    began = time.perf_counter()
+    P.find(hexes(1_000_000), field)
+    P.find(" ".join(hexes(40) for _ in range(25_000)), field)
+    P.find("@" * 200_000, field)
+    assert time.perf_counter() - began < 30
+
+
+def test_recall_and_precision_by_kind():
+    """On generated sentences that the field has not learned from."""
+    field, right, found, there = P.trained(), Counter(), Counter(), Counter()
+    based = Counter()
+    for text, spans in P._sentences(random.Random(999), 1500):
+        gold = {(s, y - 1, e) for s, y, e in spans}
+        base, every = P.find(text, field)
+        for k in range(4):
+            of = lambda xs: {x for x in xs if x[1] == k}  # noqa: B023, E731
+            right[k] += len(of(every) & of(gold))
+            based[k] += len(of(base) & of(gold))
+            found[k] += len(of(every))
+            there[k] += len(of(gold))
+    for k in range(4):
+        assert right[k] >= 0.97 * there[k] and right[k] >= 0.95 * found[k]
+    assert right[0] > 1.5 * based[0] and right[3] > 1.3 * based[3]  # what the patterns alone do not see
+
+
+def test_planted_documents():
+    """Personal data that the test tables have is found by its own kind."""
+    field = P.trained()
+    for text, kind in (("Reach x.y@example.com now", 0), ("from 10.1.2.3 port", 1), ("card 4111 1111 1111 1111 ok", 2), ("dial +1 (743) 555-3824 x", 3)):
+        assert [k for _, k, _ in P.find(text, field)[1]] == [kind]
+
+
 def test_field_adds_and_spares():
     field = P.trained()
     added = lambda t: [(P.KINDS[k], t[s:e]) for s, k, e in P.find(t, field)[1] if (s, k, e) not in P.find(t, field)[0]]
@@ -84,7 +127,7 @@ def test_operator(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[1] == k for x in base) for k in range(4))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
         assert set(filter(None, ",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e in base).split(","))) <= set(r.spans.split(","))
-        assert (r.masked is None) == (r.text is None)
+        assert (r.masked is None) == (r.text is None) and r.n_spans == len(list(filter(None, r.spans.split(","))))
     assert next(r.masked for r in got if r.doc_id == 100) == "mail <EMAIL>, or <IP>"
     assert P.pii(no_rows(spark)).collect() == []
 
