@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import chunks, lean, quoted
 
 BUDGET, HISTORY = 1024, 256
 #: Turns held at once; a longer conversation passes through in blocks.
@@ -44,6 +44,10 @@ def _head(role: str) -> str:
     return f"<turn {_IN_ROLE.sub(lambda m: f'%{ord(m[0]):02X}', role)}>\n"
 
 
+def _formatted(role: str, text: str) -> str:
+    return _head(role) + escape(text) + "\n</turn>\n"
+
+
 def read_turns(window: str) -> list[tuple[str, str]]:
     """(role, text) of all turns of a formatted window."""
     role = lambda r: re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), r)
@@ -60,7 +64,8 @@ def bpe_counter(path: str) -> Callable[[list[str]], list[int]]:
         if (t := _LOADED.get(path)) is None:
             t = _LOADED[path] = Tokenizer.from_file(path)
             t.encode_special_tokens = True
-        return [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        # a few at a time: their tokens are not held together
+        return [len(e.ids) for at in range(0, len(texts), 256) for e in t.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
 
     return count
 
@@ -130,7 +135,8 @@ def format_conversations(turns: DataFrame, count: Callable[[list[str]], list[int
     Turns go by their number, equal numbers by role and text; null numbers first. A null role or text is empty. Rows
     of a null conversation id are one conversation. A turn over the budget has a window of its own, marked
     over_budget. Only the first turn counts as the system turn. An empty table gives an empty one, other columns are
-    left aside. One shuffle by conversation; tasks stream, so a long conversation is never held whole.
+    left aside. Tokens are counted where the rows are read; one shuffle then brings conversations
+    together, whose tasks only cut windows and stream, so a long conversation is never held whole.
     """
     kind = turns.schema[conv].dataType
     name = kind.simpleString()
@@ -149,31 +155,34 @@ def format_conversations(turns: DataFrame, count: Callable[[list[str]], list[int
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], ty) for n, ty in zip(names, types)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, roles = part.column(0).to_pylist(), part.column(1).to_pylist()
-                formatted = [_head(r) + escape(t) + "\n</turn>\n" for r, t in zip(roles, part.column(2).to_pylist())]
-                for c, r, f, n in zip(ids, roles, formatted, count(formatted)):
-                    if now is None or c != now.conv:
-                        if now is not None:
-                            out += now.take(True)
-                        now = Windows(c, budget, history)
-                    now.add(r, f, n)
-                    if len(now.turns) - now.begin >= BLOCK:
-                        out += now.take(False)
-                size = sum(len(r["text"]) for r in out)
+            for c, r, t, n in zip(*(x.to_pylist() for x in batch.columns)):
+                if now is None or c != now.conv:
+                    if now is not None:
+                        out += now.take(True)
+                    now = Windows(c, budget, history)
+                now.add(r, _formatted(r, t), n)
+                if len(now.turns) - now.begin >= BLOCK:
+                    out += now.take(False)
+                    size = sum(len(w["text"]) for w in out)
                 if size > 4_000_000 or len(out) > 2000:
                     yield batch_of(out)
-                    out = []
+                    out, size = [], 0
         if now is not None:
             out += now.take(True)
         if out:
             yield batch_of(out)
 
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                n = count([_formatted(r, t) for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], names=["conv", "turn", "role", "text", "n"])
+
+    empty = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
+    rows = turns.select(F.col(quoted(conv)).alias("conv"), F.col(quoted(turn)).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
+    rows = rows.mapInArrow(lean(counted), f"conv {name}, turn {turns.schema[turn].dataType.simpleString()}, role string, text string, n long")
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return rows.select("conv", "role", "text").mapInArrow(lean(run), f"conv {name}, {SCHEMA}").withColumnRenamed("conv", conv)
+    return rows.select("conv", "role", "text", "n").mapInArrow(lean(run), f"conv {name}, {SCHEMA}").withColumnRenamed("conv", conv)
 
 
 def digests(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -226,6 +235,7 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """What a reader finds in the windows of every conversation, and of PROBE; a conversation -7 of the table has PROBE's turns too."""
     if tokenizer is None:
         import public_tokenizers
 

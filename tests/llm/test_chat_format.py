@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from fieldsonar.llm import chat_format as C
 from tests.llm.util import DATA, prose
@@ -21,6 +23,17 @@ def test_escape_round_trip(text):
     assert C.read_turns(C._head(text) + C.escape(text) + "\n</turn>\n") == [(text, text)]
 
 
+def test_tokens_are_the_tokenizers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, counter = Tokenizer.from_file(path), C.bpe_counter(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(4)
+    texts = ["", " ", "a", " a b  c", "it's  a's 's x", "a \u00a0b \u2003 c", "<|endoftext|> x <|endoftext|>", "x\ty \n z", "漢 字 é é", prose(rng, 30)]
+    texts += ["".join(rng.choice("abé 's. \n\t12#<|>\u00a0漢") for _ in range(60)) for _ in range(300)]
+    assert counter(texts) == [len(plain.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert counter([]) == [] and counter(texts) == counter(texts)
+
+
 def digest(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
