@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, bytes_of, chunks, documents, in_task, lean, quoted, remove, text_column, within, written
+from .common import PUNCTUATION, Words, bytes_of, chunks, documents, in_task, lean, quoted, remove, span_hashes, text_column, written
 
 LABELLED = 6_000
 ROUNDS, EXCHANGED = 3, 300
@@ -39,7 +39,7 @@ TAUGHT_ROWS, TAUGHT_RIGHT, TAUGHT_LIFT = 10, 0.8, 0.3
 TELLING, LEAST_DOCS = 400, 4
 #: First bytes of longer words that count as words of their own.
 STEMS = (4, 5)
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Slots of sources and languages, and of each logarithm of a size or of a length of lines.
 SOURCES, LANGS, SIZES = 64, 16, 32
 #: Sizes that the metadata view takes: characters, and what layout() gives.
@@ -47,42 +47,42 @@ SIZE_KINDS = 6
 META = SOURCES + LANGS + SIZE_KINDS * SIZES
 THRESHOLD = 0.5
 
-_CLASSES = (
-    np.array([chr(b) in "#*$%&|<>" for b in range(256)]),
-    np.array([65 <= b <= 90 for b in range(256)]),
-    np.array([48 <= b <= 57 for b in range(256)]),
-    np.array([chr(b) in "|" for b in range(256)]),
-    np.array([chr(b) in "!?" for b in range(256)]),
-    np.array([chr(b) in ".," for b in range(256)]),
-    np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)]),
-)
+#: Classes of bytes whose shares the content view takes; a byte is in the first that has it.
+_CLASSES = ("|", "#*$%&<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", ".,", "\t\n\x0b\x0c\r ")
+_CLASS = np.array([next((i for i, c in enumerate(_CLASSES) if chr(b) in c), len(_CLASSES)) for b in range(256)], np.uint8)
 CONTENT = len(_CLASSES) + 3
 
 
-def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares of each text's content, and its distinct words: (shares, text of each word, bucket of each word)."""
-    w = Words(texts, separators=PUNCTUATION)
-    size = np.maximum(np.diff(w.bounds), 1)
-    shares = [within(c[w.raw], w.bounds) / size for c in _CLASSES]
+def content(texts: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of each text's content, and its distinct words (or those in chosen): (shares, text of each word, bucket of each word).
+
+    A word counts by itself, and a longer one also by its first bytes, which its other forms share.
+    """
+    raw, bounds = bytes_of(texts)
+    n = len(bounds) - 1
+    size = np.diff(bounds)
+    kinds = len(_CLASSES) + 1
+    count = np.bincount(np.repeat(np.arange(n) * kinds, size) + _CLASS[raw], minlength=n * kinds).reshape(n, kinds)
+    w = Words(texts, lower=True, separators=PUNCTUATION)
+    length = w.ends - w.starts
+    stems = [np.flatnonzero(length > k) for k in STEMS]
+    hashes = span_hashes(w.raw, (w.starts, w.ends), *((w.starts[some], w.starts[some] + k) for some, k in zip(stems, STEMS)))
+    pairs = pc.unique(pa.array(w.doc << 40 | (hashes[0] >> np.uint64(24)).astype(np.int64))).to_numpy()
+    different = np.bincount(pairs >> 40, minlength=n)
     words = np.maximum(w.counts, 1)
-    letters = np.bincount(w.doc, weights=w.ends - w.starts, minlength=w.n_docs)
-    low = Words(texts, lower=True, separators=PUNCTUATION)
-    ids, distinct = low.ids()
-    # a word, and for longer ones their first bytes: forms of a word share them
-    distinct = distinct.to_pylist()
-    digest = lambda x: xxhash.xxh3_64_intdigest(x) & (BUCKETS - 1)
-    buckets = [np.fromiter(map(digest, distinct), np.int64, len(distinct))]
-    for n in STEMS:
-        cut = [x[:n] if len(x) > n else b"" for x in distinct]
-        first = {x: digest(b"%d " % n + x) for x in set(cut)}
-        first[b""] = -1
-        buckets.append(np.fromiter(map(first.__getitem__, cut), np.int64, len(cut)))
-    pairs = [(low.doc * np.int64(BUCKETS) + b[ids])[b[ids] >= 0] for b in buckets]
-    pairs = np.unique(np.concatenate(pairs))
-    doc, bucket = np.divmod(pairs, BUCKETS)
-    different = np.bincount(doc, minlength=w.n_docs)
-    shares += [letters / words / 10, different / words, np.log2(1 + w.counts) / 16]
-    return np.stack(shares, axis=1).astype(np.float32), doc, bucket
+    letters = np.bincount(w.doc, weights=length, minlength=n)
+    shares = np.column_stack([count[:, :-1] / np.maximum(size, 1)[:, None], letters / words / 10, different / words, np.log2(1 + w.counts) / 16])
+
+    keys = []
+    wanted = np.full(BUCKETS, chosen is None)
+    wanted[chosen if chosen is not None else []] = True
+    for doc, own, k in zip((w.doc, *(w.doc[some] for some in stems)), hashes, (0, *STEMS)):
+        # other bits of the hash for each kind: a short word is not the beginning of a longer one
+        bucket = (own >> np.uint64(4 * k) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        hit = wanted[bucket]
+        keys.append(doc[hit] * BUCKETS + bucket[hit])
+    doc, bucket = np.divmod(np.sort(pc.unique(pa.array(np.concatenate(keys))).to_numpy()), BUCKETS)
+    return shares.astype(np.float32), doc, bucket
 
 
 def layout(texts: pa.Array) -> np.ndarray:
@@ -313,10 +313,10 @@ def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values))
 
 
-def _views(part: pa.RecordBatch, text: int, meta: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shares, text of each word, words and slots of a batch's rows."""
+def _views(part: pa.RecordBatch, text: int, meta: tuple[int, int, int], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shares, text of each word, words (all, or those in chosen) and slots of a batch's rows."""
     texts = part.column(text)
-    return *content(texts), metadata(*(part.column(i).to_pylist() for i in meta), layout(texts))
+    return *content(texts, chosen), metadata(*(part.column(i).to_pylist() for i in meta), layout(texts))
 
 
 def features(rows: DataFrame, chosen: np.ndarray | None = None) -> DataFrame:
@@ -325,10 +325,7 @@ def features(rows: DataFrame, chosen: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "t"):
-                shares, doc, bucket, slots = _views(part, 2, (3, 4, 5))
-                if chosen is not None:
-                    mine = np.isin(bucket, chosen)
-                    doc, bucket = doc[mine], bucket[mine]
+                shares, doc, bucket, slots = _views(part, 2, (3, 4, 5), chosen)
                 n = np.arange(part.num_rows + 1)
                 lists = [_lists(shares.ravel(), n * CONTENT), _lists(bucket.astype(np.int32), np.searchsorted(doc, n)), _lists(slots.astype(np.int32).ravel(), n * slots.shape[1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists, part.column(6), part.column(7)], names=["o", "k", "shares", "words", "slots", "y", "held"])
@@ -445,7 +442,7 @@ def classify(docs: DataFrame, model: Model | None, extra: list[str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "__t"):
-                shares, doc, bucket, slots = _views(part, n, (n + 1, n + 2, n + 3))
+                shares, doc, bucket, slots = _views(part, n, (n + 1, n + 2, n + 3), model.words if model is not None else None)
                 if model is None:
                     t = m = np.full(part.num_rows, 30.0)
                     p = np.ones(part.num_rows)
