@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch, but for a single longer row.
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -189,13 +192,18 @@ _ROLL = 0x9E3779B97F4A7C15
 
 
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word, from differences of one rolling sum over all bytes."""
-    n = 1 << max(20, len(w.raw).bit_length())
+    """A 64-bit hash of each word."""
+    return span_hashes(w.raw, (w.starts, w.ends))[0]
+
+
+def span_hashes(raw: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of the bytes of spans (starts, ends), from differences of one rolling sum over all bytes."""
+    n = 1 << max(20, len(raw).bit_length())
     power, inverse = _powers(n)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(w.raw) + 1, np.uint64)
-        np.cumsum((w.raw + np.uint64(1)) * power[: len(w.raw)], out=total[1:])
-        return mixed((total[w.ends] - total[w.starts]) * inverse[w.starts] + (w.ends - w.starts).astype(np.uint64))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=total[1:])
+        return [mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)) for start, end in spans]
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, int]:
@@ -302,7 +310,13 @@ def tidy() -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same pass over batches; when a task ends, its worker, which serves later tasks, keeps no memory of it."""
+    """The same pass over batches; when a task ends, its worker, which serves later tasks, keeps no memory of it.
+
+    The session's Arrow batches are bounded to BATCH_BYTES: as many rows as Spark sends by default may be any size.
+    """
+    conf = SparkSession.active().conf
+    if int(conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
