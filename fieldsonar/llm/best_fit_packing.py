@@ -2,8 +2,12 @@
 
 Documents are tokenised, cut into pieces of at most the sequence length, and dealt into shards of bounded size. Each
 shard is packed by several islands: a chromosome is a list of bins, crossover injects whole well-filled bins of one
-parent into the other, removes the bins that hold the same documents and best-fits the documents so displaced. After
-each round the islands' elites migrate to the next island. An island stops where a lower bound proves it optimal.
+parent into the other, removes the bins that hold the same documents and best-fits the documents so displaced. Mutation
+empties the least filled bins and some others and refills them one by one as full as their documents allow. After each
+round the islands' elites migrate to the next island. An island stops where a lower bound proves it optimal.
+
+What the shards' least filled bins hold is dealt into shards again, until one shard is left, so that no shard keeps a
+half-empty last bin to itself.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bytes_of, chunks, documents, lean, mixed, text_column, written
+from .common import Words, bytes_of, chunks, documents, lean, mixed, quoted, remove, text_column, written
 
 CAPACITY = 2048
 #: The id that ends each document.
 END_ID = 0
 #: Pieces in a shard, on average; every shard packs by itself.
 SHARD = 4096
-ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 2, 2, 4, 6, 2
+ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 3, 2, 6, 8, 2
+#: A shard gives back at most this share of its pieces, of its least filled bins, where less than that of a bin is full.
+GIVEN_BACK, FULL = 1 / 8, 0.97
+#: Bins that a mutation empties.
+MIXED = 48
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
-ENCODED = 4_000_000
+ENCODED = 2_000_000
 
 PIECE = "doc {kind}, piece int, start long, length int, ids_crc32 long, salt long"
 
@@ -175,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         encode.forget()
 
-    return docs.select(F.col(key).alias("k"), text_column(docs, text).alias("t")).mapInArrow(lean(run), schema)
+    return docs.select(F.col(quoted(key)).alias("k"), text_column(docs, text).alias("t")).mapInArrow(lean(run), schema)
 
 
 class Shard:
@@ -244,12 +253,43 @@ class Shard:
                 out += [i for i in x if i not in inside]
         return self.fill(stay, sorted(out, key=lambda i: -self.size[i]))
 
-    def shaken(self, a: list[list[int]], rng: random.Random) -> list[list[int]]:
-        """Empties the least filled bins and some others, and best-fits what they held."""
-        order = sorted(a, key=lambda x: sum(map(self.size.__getitem__, x)))
-        drop = {id(x) for x in order[: max(1, len(a) // 20)] + rng.sample(a, max(1, len(a) // 20))}
-        out = [i for x in a if id(x) in drop for i in x]
-        return self.fill([list(x) for x in a if id(x) not in drop], sorted(out, key=lambda i: -self.size[i] * rng.uniform(0.9, 1)))
+    def fullest(self, items: list[int], room: int) -> list[int]:
+        """Of items, in descending size, some that fill a room as far as any do: subset sums as bits of a number."""
+        mask, reach = (1 << room + 1) - 1, [1]
+        for i in items:
+            reach.append(reach[-1] | reach[-1] << self.size[i] & mask)
+            if reach[-1] >> room:
+                break
+        at, out = reach[-1].bit_length() - 1, []
+        for k in range(len(reach) - 1, 0, -1):
+            if at and not reach[k - 1] >> at & 1:  # only with this item
+                out.append(items[k - 1])
+                at -= self.size[items[k - 1]]
+        return out
+
+    def refilled(self, a: list[list[int]], rng: random.Random) -> list[list[int]]:
+        """Empties the least filled bins and some others, and fills bins with what they held, each as full as can be."""
+        order = sorted(range(len(a)), key=lambda b: sum(map(self.size.__getitem__, a[b])))
+        some = max(2, min(len(a), MIXED) // 2)
+        drop = {*order[:some], *rng.sample(range(len(a)), min(len(a), some))}
+        out = sorted((i for b in drop for i in a[b]), key=lambda i: -self.size[i])
+        kept = [list(x) for b, x in enumerate(a) if b not in drop]
+        while out:
+            first = out[0]
+            rest = out[1:]
+            if rng.random() < 0.5:  # not always the largest that fit: another order gives another packing
+                part = rest[:]
+                rng.shuffle(part)
+                part = sorted(part[: max(8, len(part) // 2)], key=lambda i: -self.size[i])
+                mine = self.fullest(part, self.capacity - self.size[first])
+                if self.size[first] + sum(map(self.size.__getitem__, mine)) < self.capacity:
+                    mine = self.fullest(rest, self.capacity - self.size[first])
+            else:
+                mine = self.fullest(rest, self.capacity - self.size[first])
+            kept.append([first, *mine])
+            gone = {first, *mine}
+            out = [i for i in out if i not in gone]
+        return kept
 
     def evolve(self, elites: list[list[list[int]]], seed: int) -> list[list[list[int]]]:
         """The best packings after some generations, best first."""
@@ -267,7 +307,7 @@ class Shard:
             if len(crowd[0]) <= self.bound:
                 break
             a, b = rng.sample(crowd, 2)
-            young = [self.crossed(a, b, rng), self.shaken(self.crossed(b, a, rng), rng)]
+            young = [self.crossed(a, b, rng), self.refilled(self.crossed(b, a, rng), rng), self.refilled(crowd[0], rng)]
             crowd = sorted(crowd + young, key=self.fitness, reverse=True)[:POPULATION]
         return crowd[:ELITES]
 
@@ -305,43 +345,86 @@ def _round(shards: DataFrame, number: int, capacity: int) -> DataFrame:
     return shards.mapInArrow(lean(run), "shard long, island int, bins int, elites array<array<int>>")
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """Places for the pieces of a written table (columns doc, piece, start, length, ids_crc32, salt): sequence_id, offset.
+def given_back(lengths: list[int], labels: list[int], capacity: int, share: float) -> set[int]:
+    """The least filled bins that a shard gives back: less than FULL, and with such a share of its pieces at most."""
+    fill, held = Counter(), Counter()
+    for n, b in zip(lengths, labels):
+        if b >= 0:
+            fill[b] += n
+            held[b] += 1
+    out, room = set(), int(share * len(lengths))
+    for b in sorted(fill, key=lambda b: (fill[b], b)):
+        if fill[b] >= FULL * capacity or held[b] > room:
+            break
+        out.add(b)
+        room -= held[b]
+    return out
 
-    Every piece is placed once; sequences hold at most `capacity` ids and have no gaps. Rows of one document, or equal
-    rows, spread over all shards by their salt, so that no key makes a shard large. An empty table gives an empty one.
-    """
-    shards = max(1, math.ceil(cut.count() / shard))
-    rows = cut.withColumn("shard", F.pmod("salt", F.lit(shards)).cast("long"))
+
+def _packed_shards(cut: DataFrame, shards: int, level: int, capacity: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Every piece with sequence_id and offset, null where its shard gives it back; and the tables that this has written."""
+    spark = cut.sparkSession
     item = F.struct("salt", "doc", "piece", "start", "length", "ids_crc32")
-    grouped = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items")), "pack-shards")
+    grouped = written(cut.withColumn("shard", F.pmod("salt", F.lit(shards)).cast("long")).groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items")), "pack-shards")
+    made = [grouped]
     problem = grouped.select("shard", F.col("items.length").alias("lengths"))
     none = F.array().cast("array<array<int>>")
     state = problem.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), none.alias("elites"))
+    tasks = min(shards * ISLANDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8))
     for number in range(ROUNDS):
-        n = min(shards * ISLANDS, max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8))
-        elites = written(_round(state.select("shard", "island", "lengths", "elites").repartition(n, "shard", "island"), number, capacity), "pack-elites")
+        elites = written(_round(state.select("shard", "island", "lengths", "elites").repartition(tasks, "shard", "island"), number, capacity), "pack-elites")
+        made.append(elites)
         # ring migration: each island goes on with its own elites and the best of the island before it
         near = elites.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elites", 1, 1).alias("guest"))
         state = elites.join(near, ["shard", "island"]).join(problem, "shard").select("shard", "island", "lengths", F.concat("elites", "guest").alias("elites"))
     best = elites.groupBy("shard").agg(F.min_by(F.col("elites")[0], F.struct("bins", "island")).alias("labels"))
+    share = 0.0 if shards == 1 else GIVEN_BACK
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lengths, labels, number in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
                 used, offset, sequence = {}, [], []
+                back = given_back(lengths, labels, capacity, share)
                 alone = max(labels, default=-1) + 1
                 for n, b in zip(lengths, labels):
+                    if b in back:
+                        offset.append(None)
+                        sequence.append(None)
+                        continue
                     if b < 0:  # a whole sequence by itself
                         b, alone = alone, alone + 1
                     offset.append(used.get(b, 0))
                     used[b] = offset[-1] + n
-                    sequence.append((number << 32) + b)
+                    sequence.append(level << 58 | number << 24 | b)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sequence], pa.list_(pa.int64())), pa.array([offset], pa.list_(pa.int64()))], names=["shard", "sequence_id", "offset"])
 
     placed = problem.join(best, "shard").select("lengths", "labels", "shard").mapInArrow(lean(place), "shard long, sequence_id array<long>, offset array<long>")
     rows = grouped.join(placed, "shard").select(F.explode(F.arrays_zip("items", "sequence_id", "offset")).alias("x"))
-    return rows.select("x.items.doc", "x.items.piece", "x.items.start", F.col("x.items.length").cast("long").alias("length"), "x.items.ids_crc32", "x.sequence_id", "x.offset")
+    return rows.select("x.items.doc", "x.items.piece", "x.items.start", "x.items.length", "x.items.ids_crc32", "x.items.salt", "x.sequence_id", "x.offset"), made
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """Places for the pieces of a written table (columns doc, piece, start, length, ids_crc32, salt): sequence_id, offset.
+
+    Every piece is placed once; sequences hold at most `capacity` ids and have no gaps. Rows of one document, or equal
+    rows, spread over all shards by their salt, so that no key makes a shard large. Levels go on while there is more
+    than one shard; each has at most GIVEN_BACK of the pieces of the one before. An empty table gives an empty one.
+    """
+    out, level = None, 0
+    while True:
+        count = cut.count()
+        if level and not count:
+            break
+        shards = max(1, math.ceil(count / shard))
+        rows, made = _packed_shards(cut, shards, level, capacity)
+        rows = written(rows, "packed")
+        remove(cut.sparkSession, *made)
+        here = rows.where("sequence_id is not null")
+        out = here if out is None else out.unionByName(here)
+        if shards == 1:
+            break
+        cut, level = rows.where("sequence_id is null").drop("sequence_id", "offset"), level + 1
+    return out.select("doc", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:
@@ -357,4 +440,5 @@ def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", t
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 ids, and their places in sequences of that length."""
     return packed(documents(spark, sf_dir))

@@ -74,7 +74,7 @@ def test_algorithm():
         assert sorted(i for b in best for i in b) == s.items and all(sum(lengths[i] for i in b) <= 100 for b in best)
         assert s.bound <= len(best) <= len(first)
         a, b = (s.fill([], rng.sample(s.items, len(s.items))) for _ in range(2))
-        for child in (s.crossed(a, b, rng), s.shaken(a, rng)):
+        for child in (s.crossed(a, b, rng), s.refilled(a, rng)):
             assert sorted(i for x in child for i in x) == s.items and all(sum(lengths[i] for i in x) <= 100 for x in child)
 
 
@@ -82,3 +82,65 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     n, total = check(B.op8_best_fit_packing(spark, str(DATA)).collect(), docs, 2048)
     assert n <= -(-total // 2048) + 1
+
+
+def triplets(rng, n, capacity=2048):
+    """Pieces that fill n sequences whole, three by three, where the best fit in descending order does not find it."""
+    out = []
+    for _ in range(n):
+        a = rng.randrange(capacity * 3 // 8, capacity // 2)
+        b = rng.randrange((capacity - a) // 2 - 100, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_search_beats_best_fit():
+    rng = random.Random(3)
+    for n in (20, 40, 83):
+        s = B.Shard(triplets(rng, n), 2048)
+        first = s.fill([], sorted(s.items, key=lambda i: -s.size[i]))
+        best = s.evolve([], 1)[0]
+        assert sorted(i for b in best for i in b) == s.items and max(sum(s.size[i] for i in b) for b in best) <= 2048
+        assert len(first) >= 1.07 * n and len(best) <= n + 1
+
+
+def least_bins(sizes, capacity):
+    """The exact optimum, by sums over subsets."""
+    n, best = len(sizes), {0: (0, capacity)}
+    best = [(0, capacity)] + [(99, 0)] * ((1 << n) - 1)  # bins and fill of the last one
+    for mask in range(1 << n):
+        bins, fill = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                new = (bins, fill + sizes[i]) if fill + sizes[i] <= capacity and bins else (bins + 1, sizes[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], new)
+    return best[-1][0]
+
+
+def test_small_instances_against_the_optimum():
+    rng = random.Random(12)
+    for _ in range(25):
+        sizes = [rng.randrange(15, 75) for _ in range(rng.randrange(4, 11))]
+        assert len(B.Shard(sizes, 100).evolve([], 2)[0]) == least_bins(sizes, 100)
+
+
+def test_fullest():
+    rng = random.Random(2)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 60) for _ in range(9)]
+        s = B.Shard(sizes, 100)
+        got = s.fullest(sorted(range(9), key=lambda i: -sizes[i]), 100)
+        sums = {sum(sizes[i] for i in range(9) if m >> i & 1) for m in range(512)}
+        assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == max(x for x in sums if x <= 100)
+
+
+def test_shards_give_back_their_last_bins(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 12)), "en", "s", 1) for i in range(300)]
+    docs = [(r[0], r[1]) for r in rows]
+    counts = {}
+    for share in (0, 1 / 4):
+        monkeypatch.setattr(B, "SHARD", 32)
+        monkeypatch.setattr(B, "GIVEN_BACK", share)
+        counts[share], total = check(B.pack(B.written(B.pieces(frame(spark, rows), B.default_tokenizer(), 256), "t"), 256, 32).withColumnRenamed("doc", "doc_id").collect(), docs, 256)
+    assert counts[1 / 4] < counts[0] and counts[1 / 4] <= total / 256 * 1.03 + 1
