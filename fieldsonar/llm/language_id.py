@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counting is distributed: each task adds up its own (language, bucket) counts before anything is shuffled, and the
-model has a fixed number of buckets for each language. The log-probability matrix (buckets x languages floats) is
-the only thing that is broadcast; its size is checked.
+Counting is distributed: each task adds up its own counts of a language's buckets before anything is shuffled, in blocks,
+and the model has a fixed number of buckets for each language. The log-probability matrix (buckets x languages floats)
+is the only thing that is broadcast; its size is checked.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, lean
+from .common import chunks, documents, lean, quoted, summed_by
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -39,7 +39,6 @@ def _letters() -> np.ndarray:
     return table
 
 
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams, how many each text has, and which texts have a letter.
 
@@ -76,36 +75,31 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log-probabilities (buckets x languages, the last row the priors).
 
-    Counts cover every labelled row with text and language; at most MAX_LANGUAGES x BUCKETS sums reach the driver.
+    Counts cover every labelled row with text and language, repeated ones too; a null in either is no labelled row. The
+    sums of at most MAX_LANGUAGES languages reach the driver, in blocks of bytes. Without rows there is no language.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in chunks(batch, "t"):
-                langs = part.column(1).to_pylist()
-                bucket, owner, _ = features(part.column(0).to_pylist())
-                names = sorted(set(langs))
-                if len(sums.keys() | set(names)) > MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
-                which = np.array([names.index(x) for x in langs])
-                got = np.bincount(which[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for i, x in enumerate(names):
-                    mine = sums.setdefault(x, np.zeros(BUCKETS + 1, np.int64))
-                    mine[:BUCKETS] += got[i]
-                    mine[BUCKETS] += int((which == i).sum())
-        for x, v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["lang", "bucket", "n"])
-
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
-    sums = rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES}")
+    def count(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+        langs = part.column(1).to_pylist()
+        bucket, owner, _ = features(part.column(0).to_pylist())
+        names = sorted(set(langs))
+        if len(names) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        number = {x: i for i, x in enumerate(names)}
+        which = np.array([number[x] for x in langs])
+        got = np.bincount(which[owner] * (BUCKETS + 1) + bucket, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), BUCKETS + 1)
+        got[:, BUCKETS] = np.bincount(which, minlength=len(names))
+        return dict(zip(names, got))
+
+    rows = labelled.where(F.col(quoted(text)).isNotNull() & F.col(quoted(lang)).isNotNull()).select(F.col(quoted(text)).cast("string").alias("t"), F.col(quoted(lang)).cast("string").alias("l"))
+    if len(found := rows.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r[0] for r in found)
+    sums = summed_by(rows, count, BUCKETS + 1)
     table = np.zeros((BUCKETS + 1, len(langs)))
-    table[got["bucket"].to_numpy(), np.searchsorted(langs, got["lang"].to_numpy(dtype=str))] = got["n"].to_numpy()
+    for i, x in enumerate(langs):
+        if x in sums:
+            table[:, i] = sums.pop(x)
     if not langs:
         return [], table.astype(np.float32)
     grams, docs = table[:BUCKETS] + SMOOTHING, table[BUCKETS:] + 1
@@ -144,7 +138,7 @@ def language_id(docs: DataFrame, langs: list[str], table: np.ndarray, key: str =
                 pred, p = score([x or "" for x in part.column(1).to_pylist()], names, matrix)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(p, pa.float64())], names=["k", "lang_pred", "score"])
 
-    got = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(lean(run), f"k {kind}, lang_pred string, score double")
+    got = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).cast("string").alias("t")).mapInArrow(lean(run), f"k {kind}, lang_pred string, score double")
     return got.withColumnRenamed("k", key)
 
 
@@ -154,6 +148,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those that are not held out."""
     docs = documents(spark, sf_dir)
     langs, table = train(docs.where(~held_out()))
     return language_id(docs, langs, table).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
