@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A run is several consecutive sentences: from each sentence on, and up to each sentence, the fewest that have
-MIN_WORDS words (one sentence of LONG_SENTENCE words, which is as many, is a run by itself). All runs are hashed and
-counted over all documents; sentences inside a run that was there before, in a document with a lesser key or earlier
-in the same document, are removed.
+MIN_WORDS words (one sentence of LONG_SENTENCE words, which is as many, is a run by itself). All runs are hashed, to two
+numbers of 64 bits from different hashes of their words, and counted over all documents; sentences inside a run that was
+there before, in a document with a lesser key or earlier in the same document, are removed.
 """
 
 from __future__ import annotations
@@ -16,27 +16,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, code_points, documents, lean, mixed, text_column, written
+from .common import Words, chunks, code_points, documents, free_prefix, lean, mixed, quoted, text_column, written
 
 MIN_WORDS = LONG_SENTENCE = 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Odd bases of the two polynomials.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, _BASE, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(out)
 
 
-def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each text: hash, start and end (code points) of its runs, whether the run was earlier in the text, and its sentences."""
+def _run_hashes(code: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the words from a to b: one polynomial over all words, of which a run's value is a difference of two prefixes."""
+    n = len(code)
+    with np.errstate(over="ignore"):
+        power, back = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(code * power[:n], out=total[1:])
+        return mixed((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+
+
+def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each text: both hashes, start and end (code points) of its runs, whether the run was earlier in the text, and its sentences."""
     w = Words(texts, lower=True)
     n = len(w.starts)
     ids, words = w.ids()
-    code = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words.to_pylist()), np.uint64, len(words))[ids]
+    codes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), np.uint64).reshape(-1, 2)[ids]
     # a sentence begins with a text, after a word that ends in a stop, and after a line break
     breaks = np.zeros(len(w.raw) + 1, np.int64)
     np.cumsum(w.raw == 0x0A, out=breaks[1:])
@@ -59,17 +70,8 @@ def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     e = np.concatenate([end[fits], own[back] + 1])
     s, e = np.divmod(np.unique(s * (m + 1) + e), m + 1)
 
-    # one polynomial over all words; a run's value is a difference of two prefixes
-    with np.errstate(over="ignore"):
-        power = _powers(n)
-        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-        back_power = np.full(n + 1, inverse, np.uint64)
-        back_power[0] = 1
-        back_power = np.multiply.accumulate(back_power)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(code * power[:n], out=total[1:])
-        a, b = at[s], at[e]
-        value = mixed((total[b] - total[a]) * back_power[a] + (b - a).astype(np.uint64))
+    a, b = at[s], at[e]
+    value, other = (_run_hashes(np.ascontiguousarray(codes[:, k]), a, b, base) for k, base in enumerate(_BASES))
     points = np.zeros(len(w.raw) + 1, np.int64)
     np.cumsum(code_points(w.raw), out=points[1:])
     base = points[w.bounds[:-1]]
@@ -82,7 +84,7 @@ def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndar
         v = value[x:y]
         again = np.ones(y - x, dtype=bool)
         again[np.unique(v, return_index=True)[1]] = False
-        out.append((v.view(np.int64), start[x:y], stop[x:y], again, int(first[i + 1] - first[i])))
+        out.append((v.view(np.int64), other[x:y].view(np.int64), start[x:y], stop[x:y], again, int(first[i + 1] - first[i])))
     return out
 
 
@@ -94,8 +96,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives an empty one; other columns are left aside.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc {kind}, text_hash long, n_sentences int, runs array<struct<run:long,start:int,end:int,again:boolean>>"
-    fields = pa.struct([("run", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())])
+    schema = f"doc {kind}, text_hash long, n_sentences int, runs array<struct<run:long,other:long,start:int,end:int,again:boolean>>"
+    fields = pa.struct([("run", pa.int64()), ("other", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,46 +105,65 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 got = sentence_runs(part.column(2))
                 bounds = np.zeros(len(got) + 1, np.int32)
                 np.cumsum([len(x[0]) for x in got], out=bounds[1:])
-                cols = [np.concatenate([x[k] for x in got]) for k in range(4)]
-                structs = pa.StructArray.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, bool))], fields=list(fields))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[4] for x in got], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), structs)], names=["doc", "text_hash", "n_sentences", "runs"])
+                cols = [np.concatenate([x[k] for x in got]) for k in range(5)]
+                structs = pa.StructArray.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32, bool))], fields=list(fields))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[5] for x in got], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), structs)], names=["doc", "text_hash", "n_sentences", "runs"])
 
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), text_column(docs, text).alias("t"))
+    rows = docs.select(F.col(quoted(key)).alias("doc"), F.xxhash64(F.col(quoted(text))).alias("text_hash"), text_column(docs, text).alias("t"))
     table = written(rows.mapInArrow(lean(run), schema), "runs")
     flat = table.select("doc", "text_hash", "n_sentences", F.explode("runs").alias("r")).select("doc", "text_hash", "n_sentences", "r.*")
     # map-side sums first, so a run that a third of all documents have costs one row a task
-    seen = flat.groupBy("run").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1").select("run", "first_doc")
+    seen = flat.groupBy("run", "other").agg(F.count("*").alias("times"), F.min("doc").alias("first_doc")).where("times > 1").select("run", "other", "first_doc")
     # written, so that both sides of the join are plain exchanges and the planner can split a run that very many have
     seen = written(seen, "repeated-runs")
-    again = flat.join(seen, "run").where(~F.col("doc").eqNullSafe(F.col("first_doc")) | F.col("again"))
+    again = flat.join(seen, ["run", "other"]).where(~F.col("doc").eqNullSafe(F.col("first_doc")) | F.col("again"))
     spans = again.groupBy("doc", "text_hash").agg(F.min("n_sentences").alias("n_sentences"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (x["start"] <= last["end"])
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(x)))
-
-    merged = F.aggregate("found", F.array().cast("array<struct<start:int,end:int>>"), step)
-    return spans.select("doc", "text_hash", "n_sentences", merged.alias("spans"), "first_docs")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(3)
+            cut = found.offsets.to_numpy()
+            flat = found.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            start, end = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+            # rows lie apart on one line, so a row's spans never reach the next
+            far = np.maximum.accumulate((row << 32) + end)
+            opens = np.ones(len(row), bool)
+            opens[1:] = (row[1:] << 32) + start[1:] > far[:-1]
+            at = np.flatnonzero(opens)
+            last = np.append(at[1:], len(row))[: len(at)] - 1
+            spans = pa.StructArray.from_arrays([pa.array(start[at].astype(np.int32)), pa.array((far[last] - (row[last] << 32)).astype(np.int32))], names=["start", "end"])
+            bounds = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(bounds), spans), batch.column(4)], names=["doc", "text_hash", "n_sentences", "spans", "first_docs"])
+
+    return spans.select("doc", "text_hash", "n_sentences", "found", "first_docs").mapInArrow(lean(merge), f"doc {kind}, text_hash long, n_sentences int, spans array<struct<start:int,end:int>>, first_docs array<{kind}>")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the repeated spans cut out of the text; all other columns and rows stay as they are."""
-    spans = repeated_spans(docs, key, text).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    t = F.col(text)
-
-    def step(acc, x):
-        return F.struct(x["end"].alias("at"), F.concat(acc["text"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"])).alias("text"))
+    """The rows of docs with the repeated spans cut out of the text; all other columns and rows stay as they are, whatever the columns' names."""
+    own = free_prefix(docs)
+    spans = repeated_spans(docs, key, text).select(F.col("doc").alias(own + "doc"), F.col("text_hash").alias(own + "hash"), F.col("spans").alias(own + "spans"))
+    t = F.col(quoted(text))
+    got = docs.join(spans, F.col(quoted(key)).eqNullSafe(F.col(own + "doc")) & (F.xxhash64(t) == F.col(own + "hash")), "left")
+    n, at = len(docs.columns), docs.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for x, gone in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
+                if gone:
+                    edges = [0, *(e for s in gone for e in (s["start"], s["end"])), len(x)]
+                    x = "".join(x[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                texts.append(x)
+            cols = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(n)])
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["text"], F.substring(t, acc["at"] + 1, F.char_length(t))))
-    got = docs.join(spans, docs[key].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left")
-    return got.withColumn(text, F.when(F.col("__spans").isNotNull(), clean).otherwise(t)).drop("__doc", "__hash", "__spans")
+    names = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns))
+    return got.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(own + "spans").alias("spans")).mapInArrow(lean(cut), names).toDF(*docs.columns)
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses sentences: how many spans and characters, which, and the documents that keep them."""
     got = repeated_spans(documents(spark, sf_dir))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     chars = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from fieldsonar.llm import substring_dedup as D
 from tests.llm.util import frame, no_rows, odd_rows, prose
 
@@ -110,3 +112,28 @@ def test_passage_in_mid_sentence(spark):
         got = {r.doc: [texts[r.doc][s:e] for s, e in r.spans] for r in D.repeated_spans(frame(spark, rows)).collect()}
         # the sentences that are cut by the host stay
         assert got == {1: [middle], 2: [middle]}
+
+
+def test_runs_need_both_hashes(spark, monkeypatch):
+    """Texts that one hash confuses keep their words."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 8), "en", "s", 1) for i in range(6)]
+    real = D.sentence_runs
+
+    def clashing(texts):
+        return [(v * 0 + 7, *rest) for v, *rest in real(texts)]
+
+    one, both = real(pa.array([rows[0][1]]))[0][:2]
+    assert len(one) and not set(one.tolist()) & set(both.tolist())
+    monkeypatch.setattr(D, "sentence_runs", clashing)
+    got = D.repeated_spans(frame(spark, rows + [(9, rows[0][1], "en", "s", 1)]))
+    assert got.count() <= 1
+
+
+def test_many_spans_merge_in_proportion(spark):
+    line = "a b c d e f g h i j k l m n o p q r s t u v w x {}. "
+    text = "".join(line.format(i % 50) + f"z{i} own words here. " for i in range(20_000))
+    got = D.repeated_spans(frame(spark, [(1, text, "en", "s", 1)])).collect()
+    assert len(got) == 1 and len(got[0].spans) == 20_000 - 50 and all(a.end < b.start for a, b in zip(got[0].spans, got[0].spans[1:]))
+    clean = D.without_repeats(frame(spark, [(1, text, "en", "s", 1)])).first().text
+    assert len(clean) == len(text) - sum(s.end - s.start for s in got[0].spans)
