@@ -234,8 +234,8 @@ def within(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, block: int = 1 << 12) -> np.ndarray:
-    """Sums of the arrays of `size` counters that count() gives for bounded slices of rows (text column t).
+def summed(rows: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], size: int, block: int = 1 << 12) -> np.ndarray:
+    """Sums of `size` counters, to which count() adds what bounded slices of rows (text column t) have.
 
     Each task adds up its own; blocks of counters are then added in the executors, in a stream. The driver gets
     size / block rows of bytes, however large the table.
@@ -246,7 +246,7 @@ def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for part in chunks(batch, "t"):
-                total += count(part)
+                count(part, total)
         for at in range(0, size, block):
             if (own := total[at : at + block]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], names=["block", "counts"])

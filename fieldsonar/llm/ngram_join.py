@@ -117,10 +117,9 @@ def heat(docs: DataFrame, width: int) -> np.ndarray:
     size; one that stands out of it is the count of a frequent n-gram of that sign. Errors cost time and change nothing.
     """
 
-    def count(part: pa.RecordBatch) -> np.ndarray:
-        grams = np.concatenate(shingle_sets(part.column(0), width, distinct=False))
-        both = np.bincount(_cell(grams), minlength=2 * COUNTERS)
-        return both[1::2] - both[::2]
+    def count(part: pa.RecordBatch, total: np.ndarray) -> None:
+        cell = _cell(np.concatenate(shingle_sets(part.column(0), width, distinct=False)))
+        np.add.at(total, cell >> 1, 2 * (cell & 1) - 1)
 
     total = summed(docs.select(text_column(docs).alias("t")), count, COUNTERS)
     noise = float(np.median(np.abs(total))) / 0.6745
