@@ -33,7 +33,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a shard, on average; every shard packs by itself.
 SHARD = 4096
-ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 3, 2, 6, 8, 2
+ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 3, 2, 6, 6, 2
 #: A shard gives back at most this share of its pieces, of its least filled bins, where less than that of a bin is full.
 GIVEN_BACK, FULL = 1 / 8, 0.97
 #: Bins that a mutation empties.
@@ -41,7 +41,7 @@ MIXED = 48
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
-ENCODED = 2_000_000
+ENCODED = 4_000_000
 
 PIECE = "doc {kind}, piece int, start long, length int, ids_crc32 long, salt long"
 
