@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import mapped_rank
 from ..settings import MAX_EVENTS_PER_BLOCK, MIN_SITES_PER_EVENT
+from .numbering import numbered
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -66,10 +67,8 @@ def best_candidates(members: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, exclus
 
 
 def event_ids(best: DataFrame) -> DataFrame:
-    """Candidates with dense ids from 0, by block and candidate: a running sum over one row a block, then its places."""
-    sizes = best.groupBy("block").agg(F.count("*").alias("size"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    """Candidates with dense ids from 0, by block and candidate: a running sum over blocks in ranges, then its places."""
+    start = numbered(best.groupBy("block").agg(F.count("*").alias("size")), "block", "start", "size").drop("size")
     return best.join(start, "block").withColumn("event_id", (F.col("start") + F.col("candidate_id")).cast("long")).drop("start")
 
 

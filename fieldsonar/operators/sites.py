@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..settings import CLUSTER_MAX_RADIUS_M, CLUSTER_MIN_RADIUS_M, CLUSTER_STEP_M
+from ..storage import remove, written
+from .components import components
+from .numbering import numbered
 
 
 def site_summary(detections: DataFrame) -> DataFrame:
@@ -42,83 +48,143 @@ def near_pairs(points: DataFrame, radius: float, id_column: str = "id", x: str =
     return here.join(there, ["cx", "cy"]).where("a < b").withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("distance"))
 
 
-def clusters(points: DataFrame, radius: float, id_column: str = "id", x: str = "x", y: str = "y", most_rounds: int = 60) -> DataFrame:
-    """Connected components under a radius: id and label, numbered from 0 by least member.
-
-    Least labels spread along the pairs, each round also following the label's own label, so that chains shorten by
-    half. Every round is checkpointed where the session has a checkpoint folder.
-    """
+def clusters(points: DataFrame, radius: float, id_column: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """Connected components under a radius: id and cluster, numbered from 0 by least member. Points without a place are alone."""
     pairs = near_pairs(points, radius, id_column, x, y).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    labels = points.select(F.col(id_column).alias("id"), F.col(id_column).alias("label"))
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("next"), F.col("label").alias("old"))
-        jump = low.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = low.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("label"), "old")
-        new = _cut(new)
-        changed = not new.where("label != old").isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            break
-    both.unpersist()
-    # one label for each component: numbering them in one window is bounded by their count, not by the points
-    names = labels.select("label").distinct().withColumn("cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
-    return labels.join(names, "label").select("id", "cluster")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    conf = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    return df.checkpoint() if conf else df.persist()
+    ids = points.select(F.col(id_column).alias("id"))
+    labels = ids.join(components(pairs).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    names = numbered(labels.select("label").distinct(), "label", "cluster")
+    return labels.join(names, "label").select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
+#: Cells of a level on each side of one of the next.
+COARSER = 8
+_EDGES = "a {t}, b {t}, distance double, ea {t}, eb {t}, ax long, ay long, bx long, by long"
 
 
 def radius_sweep(points: DataFrame, target: int, id_column: str = "id", x: str = "x", y: str = "y", low: float = CLUSTER_MIN_RADIUS_M, high: float = CLUSTER_MAX_RADIUS_M, step: float = CLUSTER_STEP_M) -> DataFrame:
     """For each radius of the sweep, how many clusters it makes: radius_m, n_clusters.
 
     Clusters under a radius are the points less the edges of a minimum spanning forest that are no longer than it, so
-    one forest (of the pairs within the largest radius) answers the whole sweep.
+    one forest (of the pairs within the largest radius) answers the whole sweep: its edges are counted by the step that
+    they first count in, and the counts added up over the steps.
     """
+    spark = points.sparkSession
     steps = int(round((high - low) / step))
-    radii = points.sparkSession.range(steps + 1).select((F.col("id") * step + low).alias("radius_m"))
-    forest = spanning_forest(points, high, id_column, x, y)
-    n = points.count()
-    counts = radii.join(forest, F.col("distance") <= F.col("radius_m"), "left").groupBy("radius_m").agg(F.count("distance").alias("joined"))
-    return counts.select("radius_m", (F.lit(n) - F.col("joined")).alias("n_clusters"))
+    first = F.greatest(F.ceil((F.col("distance") - low) / step), F.lit(0)).cast("int")
+    # the quotient may round to either side of a step: the comparison with the radius itself decides
+    first = F.when((first > 0) & (F.col("distance") <= (first - 1) * step + low), first - 1).when(F.col("distance") > first * step + low, first + 1).otherwise(first)
+    counts = spanning_forest(points, high, id_column, x, y).select(first.alias("k")).groupBy("k").agg(F.count("*").alias("joined"))
+    n = points.agg(F.count("*").alias("points"))
+    radii = spark.range(steps + 1).select(F.col("id").cast("int").alias("k"))
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # one row a radius
+    sums = radii.join(counts, "k", "left").select("k", F.sum(F.coalesce("joined", F.lit(0))).over(upto).alias("joined"))
+    return sums.crossJoin(n).select((F.col("k") * step + low).alias("radius_m"), (F.col("points") - F.col("joined")).alias("n_clusters"))
 
 
 def spanning_forest(points: DataFrame, radius: float, id_column: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """Edges of a minimum spanning forest of the pairs within a radius, by Boruvka's rounds of least outgoing edges."""
-    pairs = near_pairs(points, radius, id_column, x, y).persist()
-    names = points.select(F.col(id_column).alias("id"), F.col(id_column).alias("part"))
-    chosen = None
-    for _ in range(40):
-        a = names.select(F.col("id").alias("a"), F.col("part").alias("pa"))
-        b = names.select(F.col("id").alias("b"), F.col("part").alias("pb"))
-        out = pairs.join(a, "a").join(b, "b").where("pa != pb")
-        edge = F.struct("distance", "a", "b")
-        both = out.select(F.col("pa").alias("p"), edge.alias("e")).unionByName(out.select(F.col("pb").alias("p"), edge.alias("e")))
-        best = _cut(both.groupBy("p").agg(F.min("e").alias("e")).select("e.*").distinct())
-        if best.isEmpty():
-            break
-        chosen = best if chosen is None else _cut(chosen.unionByName(best).distinct())
-        names = _cut(_components(points.select(F.col(id_column).alias("id")), chosen))
-    pairs.unpersist()
-    empty = pairs.where("false").select("distance", "a", "b")
-    return empty if chosen is None else chosen
-
-
-def _components(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    labels = ids.select("id", F.col("id").alias("part"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(60):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("part").alias("near"))
-        low = labels.join(near, "id", "left").select("id", F.least("part", F.coalesce("near", "part")).alias("next"), F.col("part").alias("old"))
-        jump = low.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = _cut(low.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("part"), "old"))
-        labels = new.select("id", "part")
-        if new.where("part != old").isEmpty():
-            break
-    return labels
+    """Edges (a, b, distance) of a minimum spanning forest of the pairs within a radius; equal lengths go by a and b.
+
+    The plane is cut into cells of COARSER radii, whose tasks take edges in ascending length. An edge between two parts of
+    which one has no edge out of the cell is the shortest that leaves that part, so it is in the forest; those between
+    two parts with edges out wait, unless they close a circle. Cells then grow by COARSER on each side until none is
+    left. What goes on to the next level is what touches the borders, so no task holds a whole plane of points.
+    """
+    spark = points.sparkSession
+    kind = points.schema[id_column].dataType.simpleString()
+    near = near_pairs(points, radius, id_column, x, y)
+    cell = lambda c: F.floor(F.col(c) / (COARSER * radius)).cast("long")
+    at = points.select(F.col(id_column).alias("id"), cell(x).alias("cx"), cell(y).alias("cy"))
+    here, there = (at.select(F.col("id").alias(c), F.col("cx").alias(c + "x"), F.col("cy").alias(c + "y")) for c in "ab")
+    edges = near.join(here, "a").join(there, "b").select("a", "b", "distance", F.col("a").alias("ea"), F.col("b").alias("eb"), "ax", "ay", "bx", "by")
+    edges = written(edges, "edges")
+    # cells are counted from the least one, so that all of them are one in the end, also those on two sides of zero
+    west, south = edges.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))).first()
+    edges = edges.withColumns({c: F.col(c) - F.lit(west if c[1] == "x" else south) for c in ("ax", "ay", "bx", "by")})
+    schema = f"{_EDGES.format(t=kind)}, kind int"
+    out = spark.createDataFrame([], f"a {kind}, b {kind}, distance double")
+    while True:
+        inside = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+        # an edge between cells goes to both, whose tasks give its end there its part's name
+        sides = edges.withColumn("kind", F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))).withColumn("kind", F.explode("kind"))
+        sides = sides.withColumns({"cx": F.when(F.col("kind") == 2, F.col("bx")).otherwise(F.col("ax")), "cy": F.when(F.col("kind") == 2, F.col("by")).otherwise(F.col("ay"))})
+        done = written(sides.repartition("cx", "cy").sortWithinPartitions("cx", "cy", "distance", "ea", "eb").mapInArrow(_contracted, schema), "contracted")
+        out = out.unionByName(done.where("kind = 0").select(F.col("ea").alias("a"), F.col("eb").alias("b"), "distance"))
+        waiting = done.where("kind = 3").drop("kind")
+        ends = done.where("kind = 1").drop("kind", "b").join(done.where("kind = 2").select("b", "ea", "eb"), ["ea", "eb"]).select(*waiting.columns)
+        coarser = {c: F.floor(F.col(c) / COARSER).cast("long") for c in ("ax", "ay", "bx", "by")}
+        last, edges = edges, written(waiting.unionByName(ends).withColumns(coarser), "edges")
+        remove(spark, last)
+        if edges.isEmpty():
+            return out
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each cell's edges after its pass (spanning_forest): kind 0 in the forest, 1 and 2 the ends of edges out, 3 waiting."""
+    names: list[str] = []
+    now, rows = None, []
+    for batch in batches:
+        names = names or batch.schema.names
+        kinds = batch.schema
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[-2:] != now:
+                if rows:
+                    yield _as_batch(_cell_pass(rows), kinds)
+                now, rows = row[-2:], []
+            rows.append(row)
+    if rows:
+        yield _as_batch(_cell_pass(rows), kinds)
+
+
+def _as_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    fields = list(kinds)[:10]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], names=[f.name for f in fields])
+
+
+def _cell_pass(rows: list[tuple]) -> list[tuple]:
+    """rows are (a, b, distance, ea, eb, ax, ay, bx, by, kind, cx, cy) in ascending length."""
+    up: dict = {}
+
+    def root(v: object) -> object:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
+
+    open_ = {r[0] if r[9] == 1 else r[1] for r in rows if r[9]}
+    forest, wait = [], []
+    for r in rows:
+        if r[9]:
+            continue
+        a, b = root(r[0]), root(r[1])
+        if a == b:
+            continue
+        if a in open_ and b in open_:
+            wait.append(r)
+            continue
+        up[b] = a
+        if b in open_:
+            open_.add(a)
+        forest.append((*r[:9], 0))
+    # those that wait join open parts; one that closes a circle of shorter ones is the longest of it and no forest's
+    out, joined = forest, up.copy()
+    up, own = joined.copy(), joined
+
+    def name(v: object) -> object:
+        while (w := own.get(v, v)) != v:
+            v = w
+        return v
+
+    for r in wait:
+        a, b = root(r[0]), root(r[1])
+        if a != b:
+            up[b] = a
+            out.append((name(r[0]), name(r[1]), *r[2:9], 3))
+    for r in rows:
+        if r[9] == 1:
+            out.append((name(r[0]), *r[1:10]))
+        elif r[9] == 2:
+            out.append((r[0], name(r[1]), *r[2:10]))
+    return out
 
 
 def chosen_radius(sweep: DataFrame, target: int) -> DataFrame:

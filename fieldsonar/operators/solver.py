@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import projection, scalars
-from .trust_region import minimise
+from .bearing_fit import Bearings, fit
 
 #: Branches double with each site; an event with more sites than this is an error, not a wait without end.
 MOST_SITES = 14
+#: Branches that are fitted at once.
+BRANCHES = 1 << 14
 
 
 def branches(members: DataFrame) -> DataFrame:
@@ -49,50 +51,65 @@ def branch_costs(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     return out.withColumns({"objective": cost, "rms_residual_deg": rms, "geometry_score": scalars.geometry_score(F.col("bearings"))}).drop("res", "px", "py")
 
 
-def _wrapped(deg: np.ndarray) -> np.ndarray:
-    return (deg + 180.0) % 360.0 - 180.0
-
-
 def weights_of(abs_tdoa_ms: np.ndarray) -> np.ndarray:
     share = (abs_tdoa_ms - S.TDOA_THRESHOLD_MS) / (S.TDOA_WEIGHT_HIGH_MS - S.TDOA_THRESHOLD_MS)
     return np.maximum(np.clip(share, 0.0, 1.0), S.MIN_WEIGHT)
 
 
-def locate(sx: np.ndarray, sy: np.ndarray, b1: np.ndarray, b2: np.ndarray, abs_tdoa_ms: np.ndarray) -> dict | None:
-    """The best branch of one event (arrays by site id), or None if none is acceptable.
+@dataclass
+class Located:
+    """Best branches of events, one entry an event; nothing is known of an event whose `found` is false."""
+
+    found: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    branch: np.ndarray
+    objective: np.ndarray
+    rms: np.ndarray
+    geometry: np.ndarray
+    margin: np.ndarray
+    #: Bearings that the branch takes, a row an event, by site.
+    bearings: np.ndarray
+
+
+def locate(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, abs_tdoa_ms: np.ndarray) -> Located:
+    """The best branches of events with equally many sites, each a row of the arrays (event, site).
 
-    Every branch starts at the mean of the sites, in a box about them. A fit that has not converged or lies too far
-    from a site is out; with two sites, fits that disagree leave no answer.
+    All branches of all events are one batch of fits. Each starts at the mean of its sites, in a box about them. Fits
+    that have not converged, or lie too far from a site, are out; so are all of an event of two sites whose fits
+    disagree. Of the others the least loss wins, the first branch of equal ones.
     """
-    n = len(sx)
+    events, n = sx.shape
     if n > MOST_SITES:
         raise ValueError(f"an event of {n} sites; at most {MOST_SITES}")
-    w = weights_of(abs_tdoa_ms)
-    start = np.array([sx.mean(), sy.mean()])
-    pad = S.MAX_DISTANCE_M
-    lo, hi = np.array([sx.min() - pad, sy.min() - pad]), np.array([sx.max() + pad, sy.max() + pad])
-    found = []
-    for bits in itertools.product((0, 1), repeat=n):
-        chosen = np.where(np.array(bits) == 0, b1, b2)
-
-        def residuals(p: np.ndarray, chosen: np.ndarray = chosen) -> np.ndarray:
-            bearing = (np.degrees(np.arctan2(p[0] - sx, p[1] - sy)) + 360.0) % 360.0
-            return np.sqrt(w) * (_wrapped(chosen - bearing) / S.ORIENTATION_SIGMA_DEG)
-
-        fit = minimise(residuals, start, lo, hi)
-        if not fit.converged or (np.hypot(fit.x[0] - sx, fit.x[1] - sy) > S.MAX_DISTANCE_M).any():
-            continue
-        r = residuals(fit.x) * S.ORIENTATION_SIGMA_DEG / np.sqrt(w)
-        crossing = [abs(np.sin(np.radians(_wrapped(np.array(chosen[j] - chosen[i]))))) for i in range(n) for j in range(i + 1, n)]
-        found.append((fit.cost, "".join(map(str, bits)), fit.x, chosen, float(np.sqrt((w * r**2).sum() / w.sum())), float(min(crossing, default=0.0))))
-    if not found:
-        return None
-    if n == 2 and any(np.hypot(*(p[2] - q[2])) > S.UNIQUENESS_TOLERANCE_M for p, q in itertools.combinations(found, 2)):
-        return None
-    found.sort(key=lambda c: c[0])  # stable: equal costs stay in branch order
-    cost, bits, x, chosen, rms, geometry = found[0]
-    margin = found[1][0] - cost if len(found) > 1 else float("inf")
-    return {"x": float(x[0]), "y": float(x[1]), "bits": bits, "objective": cost, "rms": rms, "geometry": geometry, "margin": margin, "bearings": chosen.tolist()}
+    count = 1 << n
+    bit = np.arange(count)[:, None] >> np.arange(n - 1, -1, -1) & 1
+    spread = lambda m: np.repeat(m, count, axis=0)
+    chosen = np.where(bit[None] == 1, two[:, None], one[:, None]).reshape(-1, n)
+    weight = weights_of(abs_tdoa_ms)
+    problem = Bearings(spread(sx), spread(sy), spread(weight), chosen, S.ORIENTATION_SIGMA_DEG)
+    box = [np.stack([f(sx, axis=1) + pad, f(sy, axis=1) + pad], axis=1) for f, pad in ((np.min, -S.MAX_DISTANCE_M), (np.max, S.MAX_DISTANCE_M))]
+    at, cost, done = fit(problem, spread(np.stack([sx.mean(axis=1), sy.mean(axis=1)], axis=1)), spread(box[0]), spread(box[1]))
+    near = (np.hypot(at[:, :1] - problem.sx, at[:, 1:] - problem.sy) <= S.MAX_DISTANCE_M).all(axis=1)
+    ok = (done & near).reshape(events, count)
+    at, cost = at.reshape(events, count, 2), np.where(ok, cost.reshape(events, count), np.inf)
+    found = ok.any(axis=1)
+    if n == 2:
+        apart = np.hypot(*np.moveaxis(at[:, :, None] - at[:, None], 3, 0))
+        found &= ~((apart > S.UNIQUENESS_TOLERANCE_M) & ok[:, :, None] & ok[:, None]).any(axis=(1, 2))
+    branch = cost.argmin(axis=1)
+    row = np.arange(events)
+    least = cost[row, branch]
+    others = cost.copy()
+    others[row, branch] = np.inf
+    best, taken = at[row, branch], np.where(bit[branch] == 1, two, one)
+    off = Bearings(sx, sy, weight, taken, 1.0).off(best)
+    rms = np.sqrt((weight * off**2).sum(axis=1) / weight.sum(axis=1))
+    i, j = np.triu_indices(n, 1)
+    crossing = np.abs(np.sin(np.radians(taken[:, i] - taken[:, j]))).min(axis=1) if n > 1 else np.zeros(events)
+    with np.errstate(invalid="ignore"):
+        margin = others.min(axis=1) - least
+    return Located(found, best[:, 0], best[:, 1], branch, least, rms, crossing, margin, taken)
 
 
 _FIT = "solution_easting_m double, solution_northing_m double, branch_bits string, objective double, rms_residual_deg double, geometry_score double, branch_margin double, bearings array<double>"
@@ -117,15 +134,22 @@ def solve(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _FIT.split(", ")]
-        types = [pa.float64(), pa.float64(), pa.string(), *[pa.float64()] * 4, pa.list_(pa.float64())]
         for batch in batches:
-            rows = []
-            for sites in batch.column(4).to_pylist():
-                cols = [np.array([s[k] for s in sites], float) for k in ("canonical_easting_m", "canonical_northing_m", "bearing_1_deg", "bearing_2_deg", "abs_tdoa_ms")]
-                got = locate(*cols)
-                rows.append(list(got.values()) if got else [None] * 8)
-            order = [0, 1, 2, 3, 4, 5, 6, 7]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *[pa.array([r[k] for r in rows], t) for k, t in zip(order, types)]], names=[*lead, *names])
+            sites = batch.column(4)
+            flat, count = sites.flatten(), np.diff(sites.offsets.to_numpy())
+            first = sites.offsets.to_numpy()[:-1] - sites.offsets.to_numpy()[0]
+            values = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]
+            for n in np.unique(count).tolist():
+                rows = np.flatnonzero(count == n)
+                for lo in range(0, len(rows), max(1, BRANCHES >> n)):
+                    some = rows[lo : lo + max(1, BRANCHES >> n)]
+                    got = locate(*(v[first[some][:, None] + np.arange(n)] for v in values))
+                    none = ~got.found
+                    cols = [pa.array(v, pa.float64(), mask=none) for v in (got.x, got.y)]
+                    cols.append(pa.array([None if x else f"{b:0{n}b}" for x, b in zip(none, got.branch.tolist())], pa.string()))
+                    cols += [pa.array(v, pa.float64(), mask=none) for v in (got.objective, got.rms, got.geometry, got.margin)]
+                    cols.append(pa.array([None if x else b for x, b in zip(none, got.bearings.tolist())], pa.list_(pa.float64())))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(some)) for i in range(4)), *cols], names=[*lead, *names])
 
     fits = events.mapInArrow(run, f"{kinds}, {_FIT}")
     fits = projection.with_lon_lat(fits, F.col("solution_easting_m"), F.col("solution_northing_m"), "solution_lon_deg", "solution_lat_deg")

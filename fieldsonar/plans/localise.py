@@ -9,6 +9,10 @@ from .. import settings as S
 from ..operators import audio, events, mapping, sites, solver, timejoin
 from ..sources import ingest, sinks
 from ..sources.schemas import DIAGNOSTICS, METADATA_COLUMNS, OFFSETS, SOLUTIONS
+from ..storage import written
+
+#: Paths that are broadcast to the contents of recordings: some tens of MB at most.
+MOST_PATHS = 200_000
 
 
 def detect_calls(spark: SparkSession, root: str, detector: audio.Detector, species_list: str | None = None) -> DataFrame:
@@ -19,13 +23,14 @@ def detect_calls(spark: SparkSession, root: str, detector: audio.Detector, speci
     """
     listed = frozenset(r[0] for r in ingest.species(spark, species_list).collect()) if species_list else None
     files = ingest.recorder_files(spark, root, "*.[wW][aA][vV]")
-    named = ingest.named_recordings(ingest.metadata(spark, root))
-    found = ingest.present(named, files)
+    found = written(ingest.present(ingest.named_recordings(ingest.metadata(spark, root)), files), "recordings")
     wavs = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(root)
-    recordings = wavs.select("path", "content").join(found, "path")
-    windows = audio.agreed(audio.detect(recordings, detector, listed), ["recorder_folder", "wav_file"])
-    got = audio.delays(recordings, windows).where(~F.col("too_short")).drop("too_short")
-    meta = found.select("recorder_folder", "wav_file", *[F.col(f"`{c}`") for c in METADATA_COLUMNS])
+    wanted = found.select("path", "recorder_folder", "wav_file").distinct()
+    # a list of few paths goes to the contents; with more, the contents are dealt out by path
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_PATHS else wanted.hint("merge")
+    got = audio.calls(wavs.select("path", "content").join(wanted, "path"), detector, listed).drop("too_short")
+    others = sorted(r[0] for r in found.select(F.explode(F.map_keys("others"))).distinct().collect())
+    meta = found.select("recorder_folder", "wav_file", *[F.col(f"`{c}`") for c in METADATA_COLUMNS], *[F.col("others")[c].alias(c) for c in others if c not in got.columns])
     return sinks.union_by_name([got.join(meta, ["recorder_folder", "wav_file"])])
 
 
@@ -69,6 +74,28 @@ def diagnostics(raw: DataFrame, corrected: DataFrame, offsets: DataFrame, refere
     return out.select(*[F.col(f.name).cast(f.dataType) for f in DIAGNOSTICS.fields]).orderBy(F.desc("diagnostic_type"), "window_seconds", "other_site_id")
 
 
+def summary(rows: DataFrame, sites: DataFrame, members: DataFrame, solved: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The counts that a run reports, one row each: measure and value.
+
+    Detections kept, sites, candidate events, those of two, three and more sites, those located, those that pass, and
+    the share that passes of those located (null without any); and the offsets applied.
+    """
+    events_ = solved.agg(
+        F.count("*").alias("candidate_events"),
+        *[F.count_if(F.col("n_sites") == n).alias(f"events_of_{n}_sites") for n in (2, 3)],
+        F.count_if(F.col("n_sites") > 3).alias("events_of_more_sites"),
+        F.count_if("triangulation_success").alias("located"),
+        F.count_if(~F.col("triangulation_success")).alias("not_located"),
+        F.count_if("quality_pass").alias("quality_pass"),
+        F.try_divide(F.count_if("quality_pass"), F.count_if("triangulation_success")).alias("quality_share"),
+    )
+    counts = [df.agg(F.count("*").alias(name)) for name, df in (("detections", rows), ("sites", sites), ("event_members", members), ("pair_offsets", offsets))]
+    wide = events_
+    for one in counts:
+        wide = wide.crossJoin(one)  # of one row each
+    return wide.unpivot([], [F.col(c).cast("double").alias(c) for c in wide.columns], "measure", "value")
+
+
 def localise(spark: SparkSession, paths: list[str], out: str | None = None, calibrate: bool = False) -> dict[str, DataFrame]:
     """All tables of a run: sites, offsets, diagnostics, members, solutions; written as CSV, with a map, under `out`."""
     prepared = ingest.prepared(ingest.detections(spark, paths))
@@ -84,6 +111,7 @@ def localise(spark: SparkSession, paths: list[str], out: str | None = None, cali
         "members": members.drop("t", "block", "time_block", "row_id").orderBy("event_id", "corrected_event_time"),
         "solutions": solved.select(*SOLUTIONS.names),
     }
+    result["summary"] = summary(rows, table, members, solved, offsets)
     if out:
         for name, df in result.items():
             sinks.write_csv(df, f"{out}/{name}", one_file=True)

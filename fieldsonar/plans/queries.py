@@ -537,3 +537,31 @@ def gcc_phat_tdoa(spark, sf):
     return audio.delays(recordings, windows, ("rec",))
 
 
+
+
+def _known_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of three sites that measured the bearing of a place without error; the other bearing is its mirror image."""
+    k = F.col("s_suppkey")
+    place = lambda i: F.element_at(F.array(*[F.lit(views.SITE_POSITIONS[s][i]) for s in (1, 4, 5)]), F.col("site_id"))
+    rows = views.table(spark, sf, "supplier").select(k.cast("long").alias("event_id"), (405560 + k * 37 % 181).cast("double").alias("x"), (115700 + k * 91 % 173).cast("double").alias("y"))
+    rows = rows.withColumn("site_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rows = rows.withColumns({"canonical_easting_m": place(0), "canonical_northing_m": place(1)})
+    rows = rows.withColumn("bearing_1_deg", scalars.bearing_between(F.col("canonical_easting_m"), F.col("canonical_northing_m"), F.col("x"), F.col("y")))
+    return rows.withColumns({"bearing_2_deg": F.pmod(180 - F.col("bearing_1_deg"), F.lit(360.0)), "abs_tdoa_ms": F.lit(0.3), "event_time": F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("event_id") + F.col("site_id"))})
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS event_id, 3 AS n_sites, to_timestamp(1700000001 + 60 * s_suppkey) AT TIME ZONE 'UTC' AS event_time_min, to_timestamp(1700000003 + 60 * s_suppkey) AT TIME ZONE 'UTC' AS event_time_max,
+  true AS triangulation_success, '000' AS branch_bits, CAST(405560 + s_suppkey * 37 % 181 AS DOUBLE) AS easting, CAST(115700 + s_suppkey * 91 % 173 AS DOUBLE) AS northing, 0.0::DOUBLE AS objective, 0.0::DOUBLE AS rms_residual_deg FROM supplier""")
+def located_sources(spark, sf):
+    """Sources whose true bearings are known are found where they are, on the branch of the true bearings."""
+    got = solver.solve(_known_sources(spark, sf))
+    place = lambda c: rounded(F.col(c), 1).alias(c.split("_")[1])
+    small = lambda c: rounded(F.col(c), 3).alias(c)
+    return got.select("event_id", "n_sites", F.col("event_time_min").cast("timestamp_ntz").alias("event_time_min"), F.col("event_time_max").cast("timestamp_ntz").alias("event_time_max"), "triangulation_success", "branch_bits", place("solution_easting_m"), place("solution_northing_m"), small("objective"), small("rms_residual_deg"))
+
+
+@query("SELECT count(*) AS recordings, count(*) AS measured, true AS nearly_all_right FROM supplier")
+def known_lags(spark, sf):
+    """How many recordings have the lag that they were made with, to the nearest sample: whitening loses a weak call now and then."""
+    got = gcc_phat_tdoa(spark, sf).select((F.round("lag_samples").cast("long") == F.col("rec") % 41 - 20).alias("right"), "too_short")
+    return got.agg(F.count("*").alias("recordings"), F.count_if(~F.col("too_short")).alias("measured"), (F.count_if("right") >= 0.97 * F.count("*")).alias("nearly_all_right"))

@@ -44,7 +44,7 @@ class MapStyle:
     min_zoom: int = 3
     max_latitude: float = 85.05112878
     label_prefix: str = "Recorder"
-    title: str = "Pheasant recorder locations"
+    title: str = "Recorder locations"
 
 
 MAP = MapStyle()

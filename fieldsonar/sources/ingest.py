@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+import io
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +40,28 @@ def _plain(column):
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of all info.txt files with their recorder_folder; a byte order mark is dropped, every value is text.
+    """Rows of all info.txt files: recorder_folder, row_no, the listed columns, and `others`, all further columns by name.
 
-    Columns go by their names in each file's header, so files may order them differently or lack some.
+    A file is read as a CSV reader does: quoted values may hold commas, quotes and line breaks; a byte order mark and
+    blank lines are dropped; every value is text, an empty one null. Columns go by their names in each file's header, so files may order
+    them differently, lack some or have any number of others. A row with fewer values than the header has nulls.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "info.txt").option("recursiveFileLookup", "true").load(root)
-    text = _plain(F.decode("content", "UTF-8"))
-    lines = F.filter(F.split(text, "\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    rows = raw.select(_folder(F.col("path")).alias("recorder_folder"), lines.alias("lines")).where(F.col("recorder_folder").startswith("Recorder"))
-    cells = lambda c: F.split(c, ",", -1)
-    rows = rows.where(F.size("lines") > 1).select("recorder_folder", cells(F.element_at("lines", 1)).alias("header"), F.posexplode(F.slice(F.col("lines"), F.lit(2), F.size("lines"))).alias("row_no", "line"))
-    rows = rows.withColumn("cells", F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(40))), {"mode": "PERMISSIVE"}))
-    value = F.array(*[F.col(f"cells.c{i}") for i in range(40)])
-    out = [F.try_element_at(value, F.nullif(F.array_position(F.transform("header", lambda h: F.trim(F.replace(h, F.lit('"'), F.lit("")))), F.lit(c)).cast("int"), F.lit(0))).alias(c) for c in METADATA_COLUMNS]
-    return rows.select("recorder_folder", "row_no", *out)
+    found = raw.select(_folder(F.col("path")).alias("recorder_folder"), "content").where(F.col("recorder_folder").startswith("Recorder"))
+    kinds = ", ".join(f"`{c}` string" for c in METADATA_COLUMNS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, content in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = (r for r in csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline="")) if any(x.strip() for x in r))
+                header = [h.strip() for h in next(lines, [])]
+                rows = [dict(zip(header, r)) for r in lines]
+                if rows:
+                    others = [[(k, r[k] or None) for k in dict.fromkeys(header) if k in r and k not in METADATA_COLUMNS] for r in rows]
+                    cols = [pa.array([folder] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), *(pa.array([r.get(c) or None for r in rows], pa.string()) for c in METADATA_COLUMNS), pa.array(others, pa.map_(pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["recorder_folder", "row_no", *METADATA_COLUMNS, "others"])
+
+    return found.mapInArrow(read, f"recorder_folder string, row_no int, {kinds}, others map<string,string>")
 
 
 def folders_without_metadata(files: DataFrame, meta: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldsonar.operators.numbering import numbered
 from fieldsonar.operators import events, mapping, sites, timejoin
 
 
@@ -213,3 +214,37 @@ def test_maps(spark):
         assert 0 <= r.canvas_x <= c.canvas_width and 0 <= r.canvas_y <= c.canvas_height
     same = mapping.bounds(rec.where("site_id = 1")).first()
     assert same.lon_max - same.lon_min == pytest.approx(5e-5)
+
+
+def test_forest_over_many_cells(spark):
+    """The sweep against union-find at every radius, where clusters reach over cells of several levels."""
+    rng = np.random.default_rng(6)
+    chain = [(float(i) * 1.7, 3.0 * (i % 2)) for i in range(400)]
+    cloud = [tuple(map(float, p)) for p in rng.uniform(0, 300, (250, 2)).round(1)]
+    points = list(enumerate([*chain, *cloud, (0.0, 0.0), (0.0, 0.0), (-500.0, 900.0)]))
+    df = spark.createDataFrame([(i, *p) for i, p in points], "id long, x double, y double")
+    got = {r.radius_m: r.n_clusters for r in sites.radius_sweep(df, 3, low=1.0, high=9.0, step=0.5).collect()}
+    at = np.array([p for _, p in points])
+    apart = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))
+    for radius, n in got.items():
+        up = list(range(len(at)))
+
+        def root(i, up=up):
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j in zip(*np.nonzero(apart <= radius)):
+            up[root(int(i))] = root(int(j))
+        assert n == len({root(i) for i in range(len(at))}), radius
+
+
+def test_numbers_in_order(spark):
+    keys = spark.range(1000).selectExpr("id * 7 % 1000 AS k", "id % 3 AS s").repartition(7)
+    got = numbered(keys, "k", "at").collect()
+    assert sorted((r.k, r["at"]) for r in got) == [(i, i) for i in range(1000)]
+    sums, total = {r.k: r.before for r in numbered(keys, "k", "before", "s").collect()}, 0
+    for r in sorted(keys.collect(), key=lambda r: r.k):
+        assert sums[r.k] == total
+        total += r.s
+    assert numbered(keys.limit(0), "k", "at").collect() == []

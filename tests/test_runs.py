@@ -116,3 +116,22 @@ def test_stream_of_sessions(spark, tmp_path):
     want = sorted((r.anchor, r.n) for r in events.anchored_sessions(batch, "w").groupBy("anchor").agg(F.count("*").alias("n")).collect())
     epoch = int(start.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
     assert [(int((r.anchor - start).total_seconds() * 1e6) + epoch, r.n_detections) for r in got] == want
+
+
+def test_metadata_as_a_csv_reader_has_it(spark, tmp_path):
+    d = tmp_path / "Recorder 5"
+    d.mkdir()
+    many = [f"X{i}" for i in range(60)]
+    head = ",".join(["FILE", "NOTE", *many])
+    rows = ["a.wav,\"two\nlines, \"\"quoted\"\"\"," + ",".join(map(str, range(60))), "", "b.wav,short"]
+    (d / "info.txt").write_bytes(("\ufeff" + "\r\n".join([head, *rows])).encode())
+    got = {r.FILE: r for r in ingest.metadata(spark, str(tmp_path)).collect()}
+    assert got["a.wav"].NOTE == 'two\nlines, "quoted"' and got["a.wav"].others == {f"X{i}": str(i) for i in range(60)}
+    assert got["b.wav"].NOTE == "short" and got["b.wav"].others == {} and got["b.wav"].DATE is None
+
+
+def test_summary(spark):
+    solved = spark.createDataFrame([(0, 2, True, True), (1, 3, True, False), (2, 2, False, False), (3, 5, True, True)], "event_id long, n_sites int, triangulation_success boolean, quality_pass boolean")
+    got = {r.measure: r.value for r in localise.summary(spark.range(7), spark.range(4), spark.range(12), solved, spark.range(0)).collect()}
+    assert got == {"candidate_events": 4, "events_of_2_sites": 2, "events_of_3_sites": 1, "events_of_more_sites": 1, "located": 3, "not_located": 1, "quality_pass": 2, "quality_share": 2 / 3, "detections": 7, "sites": 4, "event_members": 12, "pair_offsets": 0}
+    assert {r.measure: r.value for r in localise.summary(*[spark.range(0)] * 3, solved.limit(0), spark.range(0)).collect()}["quality_share"] is None

@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 from fieldsonar import settings as S
 from fieldsonar.functions import projection, scalars
 from fieldsonar.operators import solver
-from fieldsonar.operators.trust_region import huber_cost, minimise
+from fieldsonar.operators.bearing_fit import Bearings, fit, huber
 from tests.fixtures import sites, solved
 
 PLACES = sites()
 
 
+def one(*rows):
+    """The best branch of one event, as a dictionary, or None."""
+    got = solver.locate(*(np.array([r]) for r in rows))
+    names = ("x", "y", "objective", "rms", "geometry", "margin")
+    return {"bits": f"{got.branch[0]:0{len(rows[0])}b}", **{k: float(getattr(got, k)[0]) for k in names}} if got.found[0] else None
+
+
 @pytest.mark.parametrize("event", solved(), ids=lambda e: str(e["event_id"]))
 def test_recorded_events(event):
     at = np.array([PLACES[s][2:4] for s in event["sites"]])
-    got = solver.locate(at[:, 0], at[:, 1], event["b1"], event["b2"], event["abs_tdoa_ms"])
+    got = one(at[:, 0], at[:, 1], event["b1"], event["b2"], event["abs_tdoa_ms"])
     if event["event_id"] == 33 and got["bits"] != event["bits"]:  # two branches 2e-5 apart, less than where a fit stops
         assert event["margin"] < 1e-4 and got["margin"] < 1e-4 and got["objective"] == pytest.approx(event["objective"], abs=5e-4)
         return
@@ -61,14 +68,46 @@ def test_known_source_is_found():
     at = np.array([PLACES[s][2:4] for s in (1, 2, 3, 5)])
     x, y = 405700.0, 115760.0
     bearing = np.degrees(np.arctan2(x - at[:, 0], y - at[:, 1])) % 360
-    got = solver.locate(at[:, 0], at[:, 1], bearing, (180 - bearing) % 360, np.full(4, 0.3))
+    got = one(at[:, 0], at[:, 1], bearing, (180 - bearing) % 360, np.full(4, 0.3))
     assert got["bits"] == "0000" and got["objective"] < 1e-12 and abs(got["x"] - x) < 1e-3 and abs(got["y"] - y) < 1e-3
 
 
-def test_minimise_at_a_bound():
-    fit = minimise(lambda p: np.array([p[0] - 3.0, p[1] - 0.5]), np.array([0.5, 0.5]), np.array([0.0, 0.0]), np.array([1.0, 1.0]))
-    assert fit.converged and fit.x[0] == pytest.approx(1.0, abs=1e-4) and fit.x[1] == pytest.approx(0.5, abs=1e-4)
-    assert huber_cost(np.array([2.0])) == pytest.approx(1.5)
+def test_events_together_as_alone():
+    """A batch of events gives what each gives by itself."""
+    for n in (2, 3, 4):
+        events = [e for e in solved() if len(e["sites"]) == n]
+        at = [np.array([PLACES[s][2:4] for s in e["sites"]]) for e in events]
+        rows = [np.array(x) for x in ([a[:, 0] for a in at], [a[:, 1] for a in at], [e["b1"] for e in events], [e["b2"] for e in events], [e["abs_tdoa_ms"] for e in events])]
+        got = solver.locate(*rows)
+        for k in range(len(events)):
+            alone = one(*(r[k] for r in rows))
+            assert got.found[k] == (alone is not None)
+            if alone:
+                assert f"{got.branch[k]:0{n}b}" == alone["bits"] and got.objective[k] == pytest.approx(alone["objective"], abs=1e-12) and got.x[k] == pytest.approx(alone["x"], abs=1e-9)
+
+
+def test_fits_are_least_against_a_grid():
+    """No point of a fine grid in the box near a converged fit has a smaller loss."""
+    rng = np.random.default_rng(4)
+    sx, sy = rng.uniform(0, 200, (40, 3)), rng.uniform(0, 200, (40, 3))
+    target = rng.uniform(-300, 500, (40, 2))
+    bearing = np.degrees(np.arctan2(target[:, :1] - sx, target[:, 1:] - sy)) + rng.normal(0, 4, (40, 3))
+    p = Bearings(sx, sy, np.ones((40, 3)), bearing, 10.0)
+    lo, hi = np.full((40, 2), -400.0), np.full((40, 2), 600.0)
+    x, cost, done = fit(p, np.full((40, 2), 100.0), lo, hi)
+    assert done.mean() > 0.9 and (x >= lo).all() and (x <= hi).all()
+    assert cost == pytest.approx(huber(p.residuals(x)))
+    for dx in np.linspace(-2, 2, 9):
+        for dy in np.linspace(-2, 2, 9):
+            there = huber(p.residuals(np.clip(x + [dx, dy], lo, hi)))
+            assert (there[done] >= cost[done] - 1e-6).all()
+
+
+def test_fit_at_a_bound():
+    # both lines cross far outside: the fit goes to the edge of the box
+    p = Bearings(np.array([[0.0, 10.0]]), np.array([[0.0, 0.0]]), np.ones((1, 2)), np.array([[10.0, 9.0]]), 10.0)
+    x, _, done = fit(p, np.array([[5.0, 1.0]]), np.array([[-100.0, -100.0]]), np.array([[110.0, 100.0]]))
+    assert done[0] and x[0, 1] == pytest.approx(100, abs=1) and huber(np.array([2.0])) == pytest.approx(1.5)
 
 
 def test_projection_of_sites(spark):
