@@ -1,4 +1,4 @@
-"""Shared helpers: the folder all executors see, bounded Arrow chunks and vectorised word splitting."""
+"""Shared helpers: bounded Arrow chunks, sums over tasks, fits in a task and vectorised word splitting."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import made, new_path, remove, shared_dir, swept, written  # noqa: F401  for the operators
+
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 CHUNK_BYTES = 2_000_000
 #: Bytes of an Arrow batch, but for a single longer row.
@@ -29,12 +30,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse where it is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fieldsonar").rstrip("/")
-
-
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever signs it has."""
     return "`" + name.replace("`", "``") + "`"
@@ -48,50 +43,6 @@ def free_prefix(*frames: DataFrame) -> str:
     return prefix
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Folders of all tables that written() has made, in order.
-_MADE: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, so that a lost executor costs a reread and no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def remove(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files behind tables made by written(), once nothing reads them any more."""
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(spark, folder)
-
-
-def made() -> int:
-    """How many tables written() has made so far: a mark for swept()."""
-    return len(_MADE)
-
-
-def swept(spark: SparkSession, since: int, keep: DataFrame) -> DataFrame:
-    """keep, a table made by written(); all other tables made since a mark are deleted, as nothing reads them any more."""
-    mine = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
-    for folder in _MADE[since:]:
-        if folder.rsplit("/", 1)[-1] not in mine:
-            _delete(spark, folder)
-    _MADE[since:] = [f for f in _MADE[since:] if f.rsplit("/", 1)[-1] in mine]
-    return keep
-
-
 def in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """What fit() makes of all rows, in one task: for numerical work on bounded rows, so that the driver holds the result alone.
 

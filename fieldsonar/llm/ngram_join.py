@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Words, chunks, documents, free_prefix, lean, mixed, quoted, remove, summed, text_column, written
-from .components import components
 
 #: Signed counters for the frequency of n-grams; a table of two bytes for each is broadcast.
 COUNTERS = 1 << 20

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from fieldsonar.llm import ngram_join as J
-from fieldsonar.llm.components import components
+from fieldsonar.operators.components import components
 from tests.llm.util import frame, no_rows, odd_rows, prose, words
 
 
