@@ -99,7 +99,7 @@ class WordTokenizer:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, self.kind)
-        self.bounds = np.zeros(1, np.int64)
+        self.bounds = np.zeros(1, np.int32)
 
     def _learn(self, words: list[bytes]) -> None:
         """Parts of one kind go in groups, split again at the end marks; others one by one."""
@@ -126,7 +126,7 @@ class WordTokenizer:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[at : at + len(new)] = new
         self.known.update(zip(order, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(order))))
-        self.bounds = np.concatenate([self.bounds, at + np.cumsum(n)])
+        self.bounds = np.concatenate([self.bounds, (at + np.cumsum(n)).astype(np.int32)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's bounds in them."""
@@ -137,10 +137,12 @@ class WordTokenizer:
             self.forget()
         self._learn([x for x in words if x not in self.known])
         slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        # 32 bits hold the places in a chunk and in what is remembered
         begin, size = self.bounds[slot][number], (self.bounds[slot + 1] - self.bounds[slot])[number]
-        total = np.zeros(len(size) + 1, np.int64)
+        total = np.zeros(len(size) + 1, np.int32)
         np.cumsum(size, out=total[1:])
-        at = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        at = np.repeat(begin - total[:-1], size)
+        at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], total[w.first]
 
 
@@ -296,20 +298,21 @@ class Shard:
         if not self.items:
             return [[]]
         rng = random.Random(seed)
-        crowd = list(elites)
+        rated = lambda bins: (self.fitness(bins), bins)
+        crowd = [rated(x) for x in elites]
         while len(crowd) < POPULATION:
             spread = 0 if not crowd else 0.3
-            crowd.append(self.fill([], sorted(self.items, key=lambda i: -self.size[i] * (1 - spread * rng.random()))))
-            if len(crowd[-1]) <= self.bound:
-                return [crowd[-1]]
-        crowd.sort(key=self.fitness, reverse=True)
+            crowd.append(rated(self.fill([], sorted(self.items, key=lambda i: -self.size[i] * (1 - spread * rng.random())))))
+            if len(crowd[-1][1]) <= self.bound:
+                return [crowd[-1][1]]
+        crowd.sort(key=lambda x: x[0], reverse=True)
         for _ in range(GENERATIONS):
-            if len(crowd[0]) <= self.bound:
+            if len(crowd[0][1]) <= self.bound:
                 break
-            a, b = rng.sample(crowd, 2)
-            young = [self.crossed(a, b, rng), self.refilled(self.crossed(b, a, rng), rng), self.refilled(crowd[0], rng)]
-            crowd = sorted(crowd + young, key=self.fitness, reverse=True)[:POPULATION]
-        return crowd[:ELITES]
+            (_, a), (_, b) = rng.sample(crowd, 2)
+            young = [self.crossed(a, b, rng), self.refilled(self.crossed(b, a, rng), rng), self.refilled(crowd[0][1], rng)]
+            crowd = sorted(crowd + [rated(x) for x in young], key=lambda x: x[0], reverse=True)[:POPULATION]
+        return [bins for _, bins in crowd[:ELITES]]
 
 
 def _labels(bins: list[list[int]], n: int) -> list[int]:
