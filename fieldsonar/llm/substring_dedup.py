@@ -1,45 +1,40 @@
 """Substring dedup by sliding sentence spans.
 
 A run is several consecutive sentences: from each sentence on, and up to each sentence, the fewest that have
-MIN_WORDS words (one sentence of LONG_SENTENCE words, which is as many, is a run by itself). All runs are hashed, to two
-numbers of 64 bits from different hashes of their words, and counted over all documents; sentences inside a run that was
+MIN_WORDS words (one sentence of LONG_SENTENCE words, which is as many, is a run by itself). All runs are hashed, to
+128 bits of a cryptographic digest, and counted over all documents; sentences inside a run that was
 there before, in a document with a lesser key or earlier in the same document, are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, code_points, documents, free_prefix, lean, mixed, quoted, text_column, written
+from .common import Words, chunks, code_points, documents, free_prefix, lean, quoted, text_column, written
 
 MIN_WORDS = LONG_SENTENCE = 20
-#: Odd bases of the two polynomials.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _run_hashes(code: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of the words from a to b: one polynomial over all words, of which a run's value is a difference of two prefixes."""
-    n = len(code)
-    with np.errstate(over="ignore"):
-        power, back = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(code * power[:n], out=total[1:])
-        return mixed((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+def _run_hashes(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A digest of 128 bits, as two numbers, of the words from a to b: of their own digests in order.
+
+    A cryptographic hash, as texts are cut where digests agree: with polynomials modulo 2^64 patterned pages that differ
+    had equal values under every base.
+    """
+    data = memoryview(np.ascontiguousarray(codes)).cast("B") if len(codes) else b""
+    return np.frombuffer(b"".join(_digest(data[16 * x : 16 * y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64).reshape(-1, 2)
 
 
 def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -47,7 +42,7 @@ def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     w = Words(texts, lower=True)
     n = len(w.starts)
     ids, words = w.ids()
-    codes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), np.uint64).reshape(-1, 2)[ids]
+    codes = np.frombuffer(b"".join(map(_digest, words.to_pylist())), np.uint64).reshape(-1, 2)[ids]
     # a sentence begins with a text, after a word that ends in a stop, and after a line break
     breaks = np.zeros(len(w.raw) + 1, np.int64)
     np.cumsum(w.raw == 0x0A, out=breaks[1:])
@@ -71,20 +66,21 @@ def sentence_runs(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     s, e = np.divmod(np.unique(s * (m + 1) + e), m + 1)
 
     a, b = at[s], at[e]
-    value, other = (_run_hashes(np.ascontiguousarray(codes[:, k]), a, b, base) for k, base in enumerate(_BASES))
+    digests = _run_hashes(codes, a, b)
+    value, other = map(np.ascontiguousarray, digests.T)
     points = np.zeros(len(w.raw) + 1, np.int64)
     np.cumsum(code_points(w.raw), out=points[1:])
     base = points[w.bounds[:-1]]
     doc = owner[s]
+    same = pa.Array.from_buffers(pa.binary(16), len(s), [None, pa.py_buffer(digests)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    again = np.ones(len(s), dtype=bool)
+    again[np.unique(doc * (len(s) + 1) + same, return_index=True)[1]] = False
     start, stop = points[w.starts[a]] - base[doc], points[w.ends[b - 1]] - base[doc]
     cut = np.searchsorted(doc, np.arange(w.n_docs + 1))
     out = []
     for i in range(w.n_docs):
         x, y = cut[i], cut[i + 1]
-        v = value[x:y]
-        again = np.ones(y - x, dtype=bool)
-        again[np.unique(v, return_index=True)[1]] = False
-        out.append((v.view(np.int64), other[x:y].view(np.int64), start[x:y], stop[x:y], again, int(first[i + 1] - first[i])))
+        out.append((value[x:y].view(np.int64), other[x:y].view(np.int64), start[x:y], stop[x:y], again[x:y], int(first[i + 1] - first[i])))
     return out
 
 
