@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup
+from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, periodic_runs, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup
 
 QUERIES = {
     "op1_chat_windows": chat_format.op1_chat_windows,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL}
