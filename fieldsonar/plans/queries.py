@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import maps, projection, scalars
 from ..operators import audio, events, mapping, sites, solver, timejoin
+from ..storage import settled
 from . import views
 from .views import rounded, usable
 
@@ -24,11 +24,7 @@ _HEAD = f"WITH RECURSIVE {views.SQL}"
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
+        run = QUERIES[f.__name__] = settled(f)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return run
