@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, periodic_runs, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup
+from ..storage import settled
+from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, periodic_runs, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup, warc
 
 QUERIES = {
     "op1_chat_windows": chat_format.op1_chat_windows,
@@ -16,6 +17,9 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_warc_writer": warc.op12_warc_writer,
 }
+#: What operators write on the way is gone when a query returns.
+QUERIES = {name: settled(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL, "op12_warc_writer": warc.SQL}
