@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..storage import settled
-from . import best_fit_packing, chat_format, language_id, latent_decontamination, ngram_join, periodic_runs, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup, warc
+from . import best_fit_packing, chat_format, chat_repair, language_id, latent_decontamination, ngram_join, periodic_runs, pii_crf, quality_classifier, quality_rules, secret_ledger, substring_dedup, warc
 
 QUERIES = {
     "op1_chat_windows": chat_format.op1_chat_windows,
@@ -18,8 +18,9 @@ QUERIES = {
     "op10_secret_ledger": secret_ledger.op10_secret_ledger,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_warc_writer": warc.op12_warc_writer,
+    "op13_chat_repair": chat_repair.op13_chat_repair,
 }
 #: What operators write on the way is gone when a query returns.
 QUERIES = {name: settled(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL, "op12_warc_writer": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": secret_ledger.SQL, "op12_warc_writer": warc.SQL, "op13_chat_repair": chat_repair.SQL}
