@@ -263,12 +263,17 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                     fs.move(f"{top}/{was}", f"{top}/{name}")
             yield batch
 
-    meant.repartition("shard").mapInArrow(lean(publish), MANIFEST).drop("written_as").write.parquet(f"{folder}/manifest")
+    meant.repartition(_tasks(meant), "shard").mapInArrow(lean(publish), MANIFEST).drop("written_as").write.parquet(f"{folder}/manifest")
     remove(spark, narrow, seen, meant)
     _drop_temporary(spark, folder)
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _tasks(files: DataFrame) -> int:
+    """Tasks that handle files: stated, as adaptive execution would merge them by the few bytes of their names."""
+    return max(1, min(files.count(), 8 * files.sparkSession.sparkContext.defaultParallelism))
+
+
 def _drop_temporary(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -322,7 +327,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
             yield batch_of(rows)
 
     files = spark.read.parquet(f"{folder}/manifest").select("file", "records")
-    return files.repartition("file").mapInArrow(lean(run), schema)
+    return files.repartition(_tasks(files), "file").mapInArrow(lean(run), schema)
 
 
 def op12_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
