@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import projection, scalars
 from .bearing_fit import Bearings, fit
+from .branch_search import best_two
 
-#: Branches double with each site; an event with more sites than this is an error, not a wait without end.
-MOST_SITES = 14
+#: Up to so many sites all branches are fitted, many events at once; beyond, a search finds the two best ones.
+FITTED_WHOLE = 8
 #: Branches that are fitted at once.
 BRANCHES = 1 << 14
 
@@ -63,6 +64,7 @@ class Located:
     found: np.ndarray
     x: np.ndarray
     y: np.ndarray
+    #: The branch, a row an event: 0 or 1 a site.
     branch: np.ndarray
     objective: np.ndarray
     rms: np.ndarray
@@ -72,26 +74,48 @@ class Located:
     bearings: np.ndarray
 
 
-def locate(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, abs_tdoa_ms: np.ndarray) -> Located:
+def locate(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, abs_tdoa_ms: np.ndarray, whole: int = FITTED_WHOLE) -> Located:
     """The best branches of events with equally many sites, each a row of the arrays (event, site).
 
-    All branches of all events are one batch of fits. Each starts at the mean of its sites, in a box about them. Fits
-    that have not converged, or lie too far from a site, are out; so are all of an event of two sites whose fits
-    disagree. Of the others the least loss wins, the first branch of equal ones.
+    Each fit starts at the mean of its sites, in a box about them. Fits that have not converged, or lie too far from a
+    site, are out; so are all of an event of two sites whose fits disagree. Of the others the least loss wins, the first
+    branch of equal ones. Events of up to `whole` sites have all branches of all events in one batch of fits; those of
+    more are searched one by one, with the same result.
     """
     events, n = sx.shape
-    if n > MOST_SITES:
-        raise ValueError(f"an event of {n} sites; at most {MOST_SITES}")
+    weight = weights_of(abs_tdoa_ms)
+    if n > max(whole, 2):
+        each = [_searched(*rows) for rows in zip(sx, sy, one, two, weight)]
+        found, bits, best, least, following = (np.array([e[k] for e in each]) for k in range(5))
+    else:
+        found, bits, best, least, following = _all_fitted(sx, sy, one, two, weight)
+    taken = np.where(bits == 1, two, one)
+    off = Bearings(sx, sy, weight, taken, 1.0).off(best)
+    rms = np.sqrt((weight * off**2).sum(axis=1) / weight.sum(axis=1))
+    i, j = np.triu_indices(n, 1)
+    crossing = np.abs(np.sin(np.radians(taken[:, i] - taken[:, j]))).min(axis=1) if n > 1 else np.zeros(events)
+    with np.errstate(invalid="ignore"):
+        margin = following - least
+    return Located(found, best[:, 0], best[:, 1], bits, least, rms, crossing, margin, taken)
+
+
+def _fits(sx: np.ndarray, sy: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Point, loss, and whether the fit holds, of problems with given bearings."""
+    problem = Bearings(sx, sy, weight, chosen, S.ORIENTATION_SIGMA_DEG)
+    low, high = (np.stack([f(sx, axis=1) + pad, f(sy, axis=1) + pad], axis=1) for f, pad in ((np.min, -S.MAX_DISTANCE_M), (np.max, S.MAX_DISTANCE_M)))
+    at, cost, done = fit(problem, np.stack([sx.mean(axis=1), sy.mean(axis=1)], axis=1), low, high)
+    return at, cost, done & (np.hypot(at[:, :1] - sx, at[:, 1:] - sy) <= S.MAX_DISTANCE_M).all(axis=1)
+
+
+def _all_fitted(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """found, bits, point, cost and next cost of events, from fits of all branches."""
+    events, n = sx.shape
     count = 1 << n
     bit = np.arange(count)[:, None] >> np.arange(n - 1, -1, -1) & 1
     spread = lambda m: np.repeat(m, count, axis=0)
     chosen = np.where(bit[None] == 1, two[:, None], one[:, None]).reshape(-1, n)
-    weight = weights_of(abs_tdoa_ms)
-    problem = Bearings(spread(sx), spread(sy), spread(weight), chosen, S.ORIENTATION_SIGMA_DEG)
-    box = [np.stack([f(sx, axis=1) + pad, f(sy, axis=1) + pad], axis=1) for f, pad in ((np.min, -S.MAX_DISTANCE_M), (np.max, S.MAX_DISTANCE_M))]
-    at, cost, done = fit(problem, spread(np.stack([sx.mean(axis=1), sy.mean(axis=1)], axis=1)), spread(box[0]), spread(box[1]))
-    near = (np.hypot(at[:, :1] - problem.sx, at[:, 1:] - problem.sy) <= S.MAX_DISTANCE_M).all(axis=1)
-    ok = (done & near).reshape(events, count)
+    at, cost, holds = _fits(spread(sx), spread(sy), spread(weight), chosen)
+    ok = holds.reshape(events, count)
     at, cost = at.reshape(events, count, 2), np.where(ok, cost.reshape(events, count), np.inf)
     found = ok.any(axis=1)
     if n == 2:
@@ -100,16 +124,19 @@ def locate(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, abs
     branch = cost.argmin(axis=1)
     row = np.arange(events)
     least = cost[row, branch]
-    others = cost.copy()
-    others[row, branch] = np.inf
-    best, taken = at[row, branch], np.where(bit[branch] == 1, two, one)
-    off = Bearings(sx, sy, weight, taken, 1.0).off(best)
-    rms = np.sqrt((weight * off**2).sum(axis=1) / weight.sum(axis=1))
-    i, j = np.triu_indices(n, 1)
-    crossing = np.abs(np.sin(np.radians(taken[:, i] - taken[:, j]))).min(axis=1) if n > 1 else np.zeros(events)
-    with np.errstate(invalid="ignore"):
-        margin = others.min(axis=1) - least
-    return Located(found, best[:, 0], best[:, 1], branch, least, rms, crossing, margin, taken)
+    cost[row, branch] = np.inf
+    return found, bit[branch], at[row, branch], least, cost.min(axis=1)
+
+
+def _searched(sx: np.ndarray, sy: np.ndarray, one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> tuple:
+    """As _all_fitted(), of one event, by a search."""
+
+    def fitted(choices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        same = lambda v: np.repeat(v[None], len(choices), axis=0)
+        return _fits(same(sx), same(sy), same(weight), np.where(choices == 1, two, one))
+
+    got = best_two(sx, sy, one, two, weight, fitted)
+    return (True, *got) if got else (False, np.zeros(len(sx), np.int8), np.zeros(2), np.inf, np.inf)
 
 
 _FIT = "solution_easting_m double, solution_northing_m double, branch_bits string, objective double, rms_residual_deg double, geometry_score double, branch_margin double, bearings array<double>"
@@ -119,7 +146,7 @@ def solve(members: DataFrame) -> DataFrame:
     """One row an event with the columns of the solutions table and the array `bearings`; failures keep only their id,
     number of sites and the two flags.
 
-    Events are gathered as arrays of their sites first (bounded by MOST_SITES), so solving is a narrow pass and any
+    Events are gathered as arrays of their sites first (one row a site), so solving is a narrow pass and any
     number of events shares a batch.
     """
     site = F.struct("site_id", "canonical_easting_m", "canonical_northing_m", "bearing_1_deg", "bearing_2_deg", "abs_tdoa_ms")
@@ -141,12 +168,13 @@ def solve(members: DataFrame) -> DataFrame:
             values = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]
             for n in np.unique(count).tolist():
                 rows = np.flatnonzero(count == n)
-                for lo in range(0, len(rows), max(1, BRANCHES >> n)):
-                    some = rows[lo : lo + max(1, BRANCHES >> n)]
+                together = max(1, BRANCHES >> min(n, FITTED_WHOLE))
+                for lo in range(0, len(rows), together):
+                    some = rows[lo : lo + together]
                     got = locate(*(v[first[some][:, None] + np.arange(n)] for v in values))
                     none = ~got.found
                     cols = [pa.array(v, pa.float64(), mask=none) for v in (got.x, got.y)]
-                    cols.append(pa.array([None if x else f"{b:0{n}b}" for x, b in zip(none, got.branch.tolist())], pa.string()))
+                    cols.append(pa.array([None if x else "".join(map(str, b)) for x, b in zip(none, got.branch.tolist())], pa.string()))
                     cols += [pa.array(v, pa.float64(), mask=none) for v in (got.objective, got.rms, got.geometry, got.margin)]
                     cols.append(pa.array([None if x else b for x, b in zip(none, got.bearings.tolist())], pa.list_(pa.float64())))
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(some)) for i in range(4)), *cols], names=[*lead, *names])

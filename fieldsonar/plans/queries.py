@@ -556,6 +556,27 @@ def located_sources(spark, sf):
     return got.select("event_id", "n_sites", F.col("event_time_min").cast("timestamp_ntz").alias("event_time_min"), F.col("event_time_max").cast("timestamp_ntz").alias("event_time_max"), "triangulation_success", "branch_bits", place("solution_easting_m"), place("solution_northing_m"), small("objective"), small("rms_residual_deg"))
 
 
+def _many_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of 24 sites that measured the bearing of a place without error; in every third event one site's two bearings are the same."""
+    k, i = F.col("s_suppkey"), F.col("site_id")
+    rows = views.table(spark, sf, "supplier").select(k.cast("long").alias("event_id"), (405560 + k * 37 % 181).cast("double").alias("x"), (115700 + k * 91 % 173).cast("double").alias("y"))
+    rows = rows.withColumn("site_id", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    rows = rows.withColumns({"canonical_easting_m": (405300.5 + i * 137 % 23 * 25).cast("double"), "canonical_northing_m": (115500.25 + i * 89 % 29 * 20).cast("double"), "abs_tdoa_ms": F.lit(0.3), "event_time": F.timestamp_seconds(F.lit(1_700_000_000) + i)})
+    rows = rows.withColumn("bearing_1_deg", scalars.bearing_between(F.col("canonical_easting_m"), F.col("canonical_northing_m"), F.col("x"), F.col("y")))
+    mirrored = F.pmod(180 - F.col("bearing_1_deg"), F.lit(360.0))
+    return rows.withColumn("bearing_2_deg", F.when((F.col("event_id") % 3 == 0) & (i == 7), F.col("bearing_1_deg")).otherwise(mirrored))
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS event_id, 24 AS n_sites, true AS triangulation_success, repeat('0', 24) AS branch_bits, CAST(405560 + s_suppkey * 37 % 181 AS DOUBLE) AS easting, CAST(115700 + s_suppkey * 91 % 173 AS DOUBLE) AS northing,
+  0.0::DOUBLE AS objective, CASE WHEN s_suppkey % 3 = 0 THEN 0.0::DOUBLE END AS tied_margin, s_suppkey % 3 <> 0 AS clear FROM supplier""")
+def many_site_events(spark, sf):
+    """Events of 24 sites, 2^24 branches each: the true branch, and a margin of zero where a bearing is its own mirror image."""
+    got = solver.solve(_many_sites(spark, sf))
+    place = lambda c: rounded(F.col(c), 1).alias(c.split("_")[1])
+    tied = F.when(F.col("event_id") % 3 == 0, rounded(F.col("branch_margin"), 6))
+    return got.select("event_id", "n_sites", "triangulation_success", "branch_bits", place("solution_easting_m"), place("solution_northing_m"), rounded(F.col("objective"), 3).alias("objective"), tied.alias("tied_margin"), (F.col("branch_margin") > 1e-6).alias("clear"))
+
+
 @query("SELECT count(*) AS recordings, count(*) AS measured, true AS nearly_all_right FROM supplier")
 def known_lags(spark, sf):
     """How many recordings have the lag that they were made with, to the nearest sample: whitening loses a weak call now and then."""
