@@ -1,17 +1,15 @@
-"""Events: candidates by rank within a block, their ranking and ids, and anchored sessions of fixed span."""
+"""Events: candidates by rank within a block, their ranking and ids, and what anchored sessions tell of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mapped_rank
 from ..settings import MAX_EVENTS_PER_BLOCK, MIN_SITES_PER_EVENT
 from .numbering import numbered
+from .sessions import anchored_sessions, multi_site_events
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -85,74 +83,18 @@ def strongest(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def islands(rows: DataFrame, by: list[str], width_us: str, t: str = "t", bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Rows with the start of their island: a stretch in which no two successive times are further apart than the width.
-
-    Windows run over buckets of time; between buckets only one row each is carried on.
-    """
-    cut = rows.withColumn("bucket", F.floor(F.col(t) / F.lit(bucket_us)))
-    key = [*by, "bucket"]
-    inside = Window.partitionBy(*key).orderBy(t)
-    line = Window.partitionBy(*by).orderBy("bucket")
-    last = cut.groupBy(*key).agg(F.max(t).alias("last_t")).withColumn("carried", F.lag("last_t").over(line)).drop("last_t")
-    cut = cut.join(last, key)
-    gap = F.col(t) - F.coalesce(F.lag(t).over(inside), F.col("carried"))
-    cut = cut.withColumn("start", F.when(gap.isNull() | (gap > F.col(width_us)), F.col(t)))
-    starts = cut.groupBy(*key).agg(F.max("start").alias("last_start"))
-    carried = starts.select(*key, F.last("last_start", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    own = F.last("start", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.withColumn("own", own).join(carried, key).withColumn("island", F.coalesce("own", "open")).drop("bucket", "carried", "start", "own", "open")
-
-
-def anchored_sessions(rows: DataFrame, width_us: str, by: list[str] | None = None, t: str = "t") -> DataFrame:
-    """Rows with their session's anchor time: a session begins at the first time more than the width after the last anchor.
-
-    Sessions cannot cross a gap wider than the width, so the islands between such gaps are independent; only within one
-    is the scan sequential, and it streams.
-    """
-    by = by or []
-    cut = islands(rows, by, width_us, t)
-    keys = [*by, "island"]
-    cut = cut.repartition(*keys).sortWithinPartitions(*keys, t)
-    cols = cut.columns
-    at, wide = cols.index(t), cols.index(width_us)
-    own = [cols.index(k) for k in keys]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, anchor = None, 0
-        for batch in batches:
-            key = list(zip(*(batch.column(i).to_pylist() for i in own)))
-            out = []
-            for k, when, width in zip(key, batch.column(at).to_pylist(), batch.column(wide).to_pylist()):
-                if k != now or when - anchor > width:
-                    now, anchor = k, when
-                out.append(anchor)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*cols, "anchor"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return cut.mapInArrow(run, schema + ", anchor long").drop("island")
-
-
-def multi_site_events(rows: DataFrame, width_us: str, by: list[str] | None = None, min_sites: int = MIN_SITES_PER_EVENT) -> DataFrame:
-    """How many anchored sessions have so many sites, per group."""
-    by = by or []
-    sessions = anchored_sessions(rows.select(*by, width_us, "site_id", "t"), width_us, by)
-    sites = sessions.groupBy(*by, "anchor").agg(F.count_distinct("site_id").alias("n_sites"))
-    return sites.groupBy(*by).agg(F.count_if(F.col("n_sites") >= min_sites).alias("n_events"))
-
-
 def window_sweep(rows: DataFrame, widths_s: tuple[float, ...], raw: str, corrected: str, min_sites: int = MIN_SITES_PER_EVENT) -> DataFrame:
-    """Multi-site events for each width, by raw and by corrected times, and their difference."""
-    width = F.explode(F.array(*[F.lit(float(w)) for w in widths_s]))
-    both = rows.select("site_id", F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col(raw).alias("t")), F.struct(F.lit("corrected").alias("kind"), F.col(corrected).alias("t")))).alias("x"))
-    both = both.select("site_id", "x.*", width.alias("window_seconds")).withColumn("width_us", (F.col("window_seconds") * 1e6).cast("long"))
-    counts = multi_site_events(both, "width_us", ["window_seconds", "kind"], min_sites)
-    wide = counts.groupBy("window_seconds").pivot("kind", ["raw", "corrected"]).agg(F.max("n_events"))
-    return wide.select("window_seconds", F.col("raw").alias("multi_site_events_raw"), F.col("corrected").alias("multi_site_events_offset_corrected"), (F.col("corrected") - F.col("raw")).alias("improvement"))
+    """Multi-site events for each width, by raw and by corrected times, and their difference. Rows are sorted once by each time, for all widths."""
+    both = rows.select("site_id", F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col(raw).alias("t")), F.struct(F.lit("corrected").alias("kind"), F.col(corrected).alias("t")))).alias("x")).select("site_id", "x.*")
+    widths = {int(w * 1e6): float(w) for w in widths_s}
+    counts = multi_site_events(both, tuple(widths), ["kind"], min_sites)
+    wide = counts.groupBy("width_us").pivot("kind", ["raw", "corrected"]).agg(F.max("n_events"))
+    seconds = F.create_map(*[F.lit(x) for pair in widths.items() for x in pair])[F.col("width_us")]
+    return wide.select(seconds.alias("window_seconds"), F.col("raw").alias("multi_site_events_raw"), F.col("corrected").alias("multi_site_events_offset_corrected"), (F.col("corrected") - F.col("raw")).alias("improvement"))
 
 
-def provisional_events(rows: DataFrame, width_us: str, most: int = 10) -> DataFrame:
+def provisional_events(rows: DataFrame, width_us: int, most: int = 10) -> DataFrame:
     """The sessions with most sites: anchor, n_sites, sites, first_t, last_t; ties by anchor."""
-    sessions = anchored_sessions(rows.select(width_us, "site_id", "t"), width_us)
+    sessions = anchored_sessions(rows.select("site_id", "t"), width_us)
     each = sessions.groupBy("anchor").agg(F.count_distinct("site_id").alias("n_sites"), F.array_sort(F.collect_set("site_id")).alias("sites"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     return each.orderBy(F.desc("n_sites"), "anchor").limit(most)

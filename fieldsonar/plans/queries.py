@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import maps, projection, scalars
-from ..operators import audio, events, mapping, sites, solver, timejoin
+from ..operators import audio, events, mapping, sessions, sites, solver, timejoin
 from ..storage import settled
 from . import views
 from .views import rounded, usable
@@ -328,8 +328,7 @@ def strongest_per_site(spark, sf):
 se AS (SELECT block, min(t) AS anchor FROM ti GROUP BY block UNION ALL SELECT nx.block, nx.nt FROM se JOIN nx ON nx.block = se.block AND nx.t = se.anchor WHERE nx.nt IS NOT NULL)
 SELECT row_id, anchor FROM good ASOF JOIN se ON good.block = se.block AND good.t >= se.anchor""")
 def anchored_sessions(spark, sf):
-    d = usable(spark, sf).select("row_id", "block", "t").withColumn("width_us", F.lit(int(S.EVENT_WINDOW_SECONDS * 1e6)))
-    return events.anchored_sessions(d, "width_us", ["block"]).select("row_id", "anchor")
+    return sessions.anchored_sessions(usable(spark, sf).select("row_id", "block", "t"), int(S.EVENT_WINDOW_SECONDS * 1e6), ["block"]).select("row_id", "anchor")
 
 
 _SWEEP = f"""wi AS (SELECT unnest([{', '.join(map(str, S.WINDOW_SWEEP_SECONDS))}])::DOUBLE AS w), kinds AS (SELECT 'raw' AS kind, row_id, site_id, t FROM good UNION ALL SELECT 'fixed', row_id, site_id, t + CAST(round_even(coalesce(-m, 0) * 1e6, 0) AS BIGINT) FROM good LEFT JOIN clock ON o = site_id),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldsonar.operators.numbering import numbered
-from fieldsonar.operators import events, mapping, sites, timejoin
+from fieldsonar.operators import events, mapping, sessions, sites, timejoin
 
 
 def rows_of(seed, n=400, blocks=5, span=3000):
@@ -148,17 +151,75 @@ def plain_anchors(times, width):
 def test_anchored_sessions(spark, width_s):
     rng = random.Random(int(width_s))
     rows = [(i, rng.randrange(1, 5), 0, rng.choice((rng.randrange(40_000), 90_000 + rng.randrange(200))) * 300_000, 0.0, 0.1) for i in range(500)]
-    df = frame(spark, rows).withColumn("w", F.lit(int(width_s * 1e6)))
-    want = plain_anchors({r[3] for r in rows}, int(width_s * 1e6))
-    assert {(r.row_id, r.anchor) for r in events.anchored_sessions(df, "w").collect()} == {(r[0], want[r[3]]) for r in rows}
+    df, width = frame(spark, rows), int(width_s * 1e6)
+    want = plain_anchors({r[3] for r in rows}, width)
+    assert {(r.row_id, r.anchor) for r in events.anchored_sessions(df, width).collect()} == {(r[0], want[r[3]]) for r in rows}
     sites_of = defaultdict(set)
     for r in rows:
         sites_of[want[r[3]]].add(r[1])
-    assert events.multi_site_events(df, "w").first().n_events == sum(len(s) >= 2 for s in sites_of.values())
-    top = events.provisional_events(df, "w", 3).collect()
+    assert events.multi_site_events(df, (width,), []).first().n_events == sum(len(s) >= 2 for s in sites_of.values())
+    top = events.provisional_events(df, width, 3).collect()
     assert [(r.n_sites, r.anchor) for r in top] == [(n, a) for n, a in sorted(((len(s), a) for a, s in sites_of.items()), key=lambda x: (-x[0], x[1]))[:3]]
 
 
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.integers(0, 12), st.data())
+@settings(max_examples=300, deadline=None)
+def test_anchor_maps_compose(times, width, data):
+    """Pieces' maps, composed in any grouping, give the anchors of the whole."""
+    times = np.array(sorted(times), np.int64)
+    want = plain_anchors(times.tolist(), width)
+    cuts = sorted({0, len(times), *data.draw(st.lists(st.integers(0, len(times)), max_size=5))})
+    whole, anchor = sessions.AnchorMap(width), sessions.BEFORE
+    for a, b in itertools.pairwise(cuts):
+        assert sessions.anchors_of(times[a:b], width, anchor).tolist() == [want[t] for t in times[a:b].tolist()]
+        piece = sessions.AnchorMap.of_times(width, times[a:b])
+        whole = whole.then(piece)
+        anchor = int(piece(np.array([anchor]))[0])
+        assert anchor == want[times[b - 1]] == int(whole(np.array([sessions.BEFORE]))[0])
+
+
+@pytest.mark.parametrize("width_s, ranges", [(0.5, 9), (30.0, 9), (30.0, 1), (4000.0, 9)])
+def test_sessions_over_ranges(spark, monkeypatch, width_s, ranges):
+    """One dense stretch and many small groups, in small pieces and many tasks."""
+    monkeypatch.setattr(sessions, "PIECE_ROWS", 37)
+    rng, width = random.Random(3), int(width_s * 1e6)
+    rows = [(i, "dense", rng.randrange(1, 5), rng.randrange(9_000_000) * 1000) for i in range(1500)] + [(9000 + i, None, 1, i * 7_000_000) for i in range(60)]
+    rows += [(2000 + i, f"g{i % 150}", rng.randrange(1, 5), rng.randrange(3000) * 500_000) for i in range(900)] + [(9999, "dense", 1, None)]
+    df = spark.createDataFrame(rows, "row_id long, block string, site_id int, t long").repartition(5)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(ranges)}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.row_id: r.anchor for r in events.anchored_sessions(df, width, ["block"]).collect()}
+        counts = {(r.block, r.width_us): r.n_events for r in events.multi_site_events(df, (width, 2 * width), ["block"]).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want, sites = {}, defaultdict(set)
+    for block in {r[1] for r in rows}:
+        for w in (width, 2 * width):
+            anchors = plain_anchors({r[3] for r in rows if r[1] == block and r[3] is not None}, w)
+            for r in rows:
+                if r[1] == block and r[3] is not None:
+                    sites[block, w, anchors[r[3]]].add(r[2])
+                    if w == width:
+                        want[r[0]] = anchors[r[3]]
+    assert got == want
+    n_events = {(block, w): sum(len(s) >= 2 for (b, v, _), s in sites.items() if (b, v) == (block, w)) for block, w, _ in sites}
+    assert counts == n_events
+
+
+def test_long_stretch_in_seconds():
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.integers(0, 10**9, 2_000_000))
+    pieces = [t[i : i + 20_000] for i in range(0, len(t), 20_000)]
+    whole = sessions.AnchorMap(5_000_000)
+    for p in pieces:
+        whole = whole.then(sessions.AnchorMap.of_times(5_000_000, p))
+    assert int(whole(np.array([sessions.BEFORE]))[0]) == sessions.anchors_of(t, 5_000_000, sessions.BEFORE)[-1] and len(whole.entry) <= 11_000
+
+
 def points_of(seed, n=90):
     rng = random.Random(seed)
     return [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(n)]

@@ -112,8 +112,8 @@ def test_stream_of_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = sorted(spark.table("sessions").collect(), key=lambda r: r.anchor)
-    batch = spark.createDataFrame([(r[2], r[1]) for r in rows], "event_time timestamp, site_id int").select(F.unix_micros("event_time").alias("t"), "site_id", F.lit(30_000_000).alias("w"))
-    want = sorted((r.anchor, r.n) for r in events.anchored_sessions(batch, "w").groupBy("anchor").agg(F.count("*").alias("n")).collect())
+    batch = spark.createDataFrame([(r[2], r[1]) for r in rows], "event_time timestamp, site_id int").select(F.unix_micros("event_time").alias("t"), "site_id")
+    want = sorted((r.anchor, r.n) for r in events.anchored_sessions(batch, 30_000_000).groupBy("anchor").agg(F.count("*").alias("n")).collect())
     epoch = int(start.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
     assert [(int((r.anchor - start).total_seconds() * 1e6) + epoch, r.n_detections) for r in got] == want
 
