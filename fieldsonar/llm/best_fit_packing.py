@@ -33,12 +33,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a shard, on average; every shard packs by itself.
 SHARD = 4096
-ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 3, 2, 6, 6, 2
+ISLANDS, ROUNDS, POPULATION, GENERATIONS, ELITES = 3, 2, 6, 8, 2
 #: A shard gives back at most this share of its pieces, of its least filled bins, where less than that of a bin is full.
 GIVEN_BACK, FULL = 1 / 8, 0.97
 #: Bins that a mutation empties.
 MIXED = 48
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, from task to task.
 CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
 ENCODED = 4_000_000
@@ -184,7 +184,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        encode.forget()
 
     return docs.select(F.col(quoted(key)).alias("k"), text_column(docs, text).alias("t")).mapInArrow(lean(run), schema)
 
