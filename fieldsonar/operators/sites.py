@@ -13,16 +13,17 @@ from ..settings import CLUSTER_MAX_RADIUS_M, CLUSTER_MIN_RADIUS_M, CLUSTER_STEP_
 from ..storage import remove, written
 from .components import components
 from .numbering import numbered
+from .quantiles import quantiles
 
 
 def site_summary(detections: DataFrame) -> DataFrame:
     """Per site: rows, different placements (a null coordinate is a value) and median position, also in degrees."""
-    out = detections.groupBy("site_id").agg(
-        F.count("*").alias("n_detections"),
-        F.count_distinct(F.struct("LON", "LAT")).alias("n_unique_locations"),
-        F.median("easting_m").alias("canonical_easting_m"),
-        F.median("northing_m").alias("canonical_northing_m"),
-    )
+    out = detections.groupBy("site_id").agg(F.count("*").alias("n_detections"), F.count_distinct(F.struct("LON", "LAT")).alias("n_unique_locations"))
+    axis = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("at")) for c in ("easting_m", "northing_m")]))
+    middle = quantiles(detections.select("site_id", axis.alias("x")).select("site_id", "x.*"), ["site_id", "axis"], "at", {"middle": 0.5})
+    places = [F.max(F.when(F.col("axis") == c, F.col("middle"))).alias(f"canonical_{c}") for c in ("easting_m", "northing_m")]
+    middle = middle.groupBy(F.col("site_id").alias("site")).agg(*places)
+    out = out.join(middle, F.col("site_id").eqNullSafe(F.col("site")), "left").drop("site")
     return projection.with_lon_lat(out, F.col("canonical_easting_m"), F.col("canonical_northing_m"), "canonical_lon_deg", "canonical_lat_deg")
 
 

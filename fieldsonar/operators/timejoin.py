@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import MAX_PAIR_DELTA_SECONDS
+from ..storage import written
+from .quantiles import quantiles
 
 
 def micros(ts: Column) -> Column:
@@ -44,19 +52,106 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], tolerance_s: float, t: st
     return found.select("a.*", F.col("b.t").alias("t_b"), (F.col("b.t") - F.col("at")).alias("delta_us"), *[F.col(f"b.{c}").alias(f"{c}_b") for c in payload])
 
 
-def by_pairs(rows: DataFrame, site: str = "site_id") -> tuple[DataFrame, DataFrame]:
-    """Rows once for each unordered pair of sites, as the pair's lesser and as its greater site."""
-    sites = rows.select(F.col(site).alias("s")).distinct()
-    a = rows.join(sites, F.col(site) < F.col("s")).withColumns({"site_a": F.col(site), "site_b": F.col("s")}).drop("s")
-    b = rows.join(sites, F.col(site) > F.col("s")).withColumns({"site_a": F.col("s"), "site_b": F.col(site)}).drop("s")
-    return a, b
+#: Rows whose partners are looked for at once, in one pass over a bucket.
+SWEPT_ROWS = 100_000
+
+
+def pairs_within(rows: DataFrame, tolerance_s: float, payload: list[str] | None = None, site: str = "site_id", t: str = "t") -> DataFrame:
+    """Each row with the nearest row of every greater site that has one within the tolerance (inclusive).
+
+    The columns of rows but the site, site_a and site_b, t_b, delta_us (b less a) and the other row's payload, `<name>_b`.
+    Of two equally near the earlier is taken; of equal times that with the least payload. Rows without a site or time
+    have no partners.
+
+    All pairs of sites meet in one sweep: rows are dealt once into buckets of time, and those within the tolerance of
+    an edge also into the next bucket, to be found but not to look. A bucket streams in order of time; what is held is
+    the stretch that is looked at and a tolerance on both sides of it, whatever the number of sites.
+    """
+    payload, reach = payload or [], int(round(tolerance_s * 1e6))
+    width = max(4 * reach, 1)
+    names = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    columns = list(names.values())
+    at, of_site, pay = columns.index(names[t]), columns.index(names[site]), [columns.index(names[c]) for c in payload]
+    plain = rows.where(F.col(t).isNotNull() & F.col(site).isNotNull()).toDF(*columns)
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    when = F.col(names[t])
+    dealt = plain.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(when), bucket(when - reach), bucket(when + reach)))))
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", names[t], *[names[c] for c in payload])
+    spec = ", ".join([*(f"{c} {kinds[c]}" for c in columns), f"site_b {kinds[names[site]]}", "t_b long", *(f"p{i} {kinds[columns[i]]}" for i in pay)])
+
+    def look(table: pa.Table, own: slice) -> Iterator[pa.RecordBatch]:
+        """The partners of some rows of a table in order of time."""
+        batch = table.combine_chunks().to_batches()[0]
+        times, coded = batch.column(at).to_numpy(), batch.column(of_site).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        sites = coded.dictionary
+        order = np.argsort(pc.array_sort_indices(sites).to_numpy())  # a site's place in the order of sites
+        place = order[code]
+        mine, my_times, my_place = np.arange(own.start, own.stop), times[own], place[own]
+        for b in range(1, len(sites)):
+            there = np.flatnonzero(place == b)
+            there = there[np.append(True, np.diff(times[there]) > 0)]  # of equal times the first has the least payload
+            looking = np.flatnonzero(my_place < b)
+            if not len(looking):
+                continue
+            theirs, now = times[there], my_times[looking]
+            after = np.searchsorted(theirs, now)
+            before = np.where((after < len(theirs)) & (theirs[np.minimum(after, len(theirs) - 1)] == now), after, after - 1)
+            far = np.iinfo(np.int64).max
+            gap_before = np.where(before >= 0, now - theirs[np.maximum(before, 0)], far)
+            gap_after = np.where(after < len(theirs), theirs[np.minimum(after, len(theirs) - 1)] - now, far)
+            partner = there[np.where(gap_before <= gap_after, np.maximum(before, 0), np.minimum(after, len(theirs) - 1))]
+            near = np.flatnonzero(np.minimum(gap_before, gap_after) <= reach)
+            if len(near):
+                left, right = batch.take(pa.array(mine[looking[near]])), batch.take(pa.array(partner[near]))
+                cols = [*(left.column(i) for i in range(len(columns))), right.column(of_site), right.column(at), *(right.column(i) for i in pay)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*columns, "site_b", "t_b", *(f"p{i}" for i in pay)])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # of one bucket: rows within reach of those that are still to look
+        now = None
+
+        def step(last: bool) -> Iterator[pa.RecordBatch]:
+            """Look from the rows whose partners are all here; keep what others may need."""
+            nonlocal held, looked
+            times = held.column(at).to_numpy()
+            # later rows may still come at the last time here
+            ready = len(times) if last else int(np.searchsorted(times, times[-1] - reach))
+            low, high = now * width, (now + 1) * width
+            begin, end = max(looked, int(np.searchsorted(times, low))), min(ready, int(np.searchsorted(times, high)))
+            for lo in range(begin, end, SWEPT_ROWS):
+                hi = min(end, lo + SWEPT_ROWS)
+                a, b = int(np.searchsorted(times, times[lo] - reach)), int(np.searchsorted(times, times[hi - 1] + reach, side="right"))
+                yield from look(held.slice(a, b - a), slice(lo - a, hi - a))
+            done = max(looked, ready)
+            keep = int(np.searchsorted(times, times[min(done, len(times) - 1)] - reach)) if not last else len(times)
+            held, looked = held.slice(keep), done - keep
+
+        looked = 0
+        for batch in batches:
+            key = batch.column(len(columns)).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if now is not None and int(key[a]) != now:
+                    yield from step(True)
+                    held, looked = None, 0
+                now = int(key[a])
+                piece = pa.Table.from_batches([batch.slice(a, b - a).select(columns)])
+                held = piece if held is None else pa.concat_tables([held, piece])
+                if held.num_rows - looked >= 2 * SWEPT_ROWS:
+                    yield from step(False)
+        if now is not None:
+            yield from step(True)
+
+    found = dealt.select(*columns, "bucket").mapInArrow(sweep, spec)
+    keep = [F.col(names[c]).alias(c) for c in rows.columns if c != site]
+    return found.select(*keep, F.col(names[site]).alias("site_a"), "site_b", "t_b", (F.col("t_b") - F.col(names[t])).alias("delta_us"), *[F.col(f"p{i}").alias(f"{c}_b") for i, c in zip(pay, payload)])
 
 
 def pair_candidates(rows: DataFrame, max_delta_s: float = MAX_PAIR_DELTA_SECONDS, payload: list[str] | None = None, site: str = "site_id") -> DataFrame:
     """For each pair of sites, the lesser site's rows with the greater site's nearest row and the absolute seconds between."""
-    a, b = by_pairs(rows, site)
-    got = nearest(a, b, ["site_a", "site_b"], max_delta_s, payload=payload)
-    return got.withColumn("delta_s", F.abs("delta_us") / 1e6)
+    return pairs_within(rows, max_delta_s, payload, site).withColumn("delta_s", F.abs("delta_us") / 1e6)
 
 
 def pair_alignment(rows: DataFrame, max_delta_s: float = MAX_PAIR_DELTA_SECONDS, site: str = "site_id") -> DataFrame:
@@ -64,8 +159,8 @@ def pair_alignment(rows: DataFrame, max_delta_s: float = MAX_PAIR_DELTA_SECONDS,
 
     No match at all gives an empty table.
     """
-    got = pair_candidates(rows.select(site, "t"), max_delta_s, site=site)
-    stats = got.groupBy("site_a", "site_b").agg(F.count("*").alias("n_matches"), F.median("delta_s").alias("median_delta_s"), F.max("delta_s").alias("max_delta_s"), F.min("delta_s").alias("min_delta_s"))
+    got = written(pair_candidates(rows.select(site, "t"), max_delta_s, site=site).select("site_a", "site_b", F.abs("delta_us").alias("us")), "pair-deltas")
+    stats = quantiles(got, ["site_a", "site_b"], "us", {"median_delta_s": 0.5, "max_delta_s": 1.0, "min_delta_s": 0.0}, 1e6).withColumnRenamed("n", "n_matches")
     return stats.orderBy(F.desc("n_matches"), "median_delta_s", "site_a", "site_b")
 
 
@@ -77,11 +172,16 @@ def pair_matrix(alignment: DataFrame, sites: list[int]) -> DataFrame:
     return base.join(wide, "site_a", "left").na.fill(0).withColumnRenamed("site_a", "site_id")
 
 
-def robust_spread(deltas: DataFrame, by: list[str], value: str = "delta_s") -> DataFrame:
-    """Per group: n_matches, median, median absolute deviation, 10th and 90th percentile (linear interpolation)."""
-    median = deltas.groupBy(*by).agg(F.count("*").alias("n_matches"), F.median(value).alias("median_delta_s_other_minus_ref"), F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    spread = deltas.join(median.select(*by, "median_delta_s_other_minus_ref"), by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median_delta_s_other_minus_ref"))).alias("mad_delta_s"))
-    return median.join(spread, by).select(*by, "n_matches", "median_delta_s_other_minus_ref", "mad_delta_s", F.col("p")[0].alias("p10_delta_s"), F.col("p")[1].alias("p90_delta_s"))
+def robust_spread(deltas: DataFrame, by: list[str], value: str = "delta_us", unit: float = 1e6) -> DataFrame:
+    """Per group: n_matches, median, median absolute deviation, 10th and 90th percentile (linear interpolation), of a value in units (integers) or doubles."""
+    names = {"median_delta_s_other_minus_ref": 0.5, "p10_delta_s": 0.1, "p90_delta_s": 0.9}
+    deltas = written(deltas.select(*by, value), "deltas")
+    median = quantiles(deltas, by, value, names, unit)
+    center = median.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("median_delta_s_other_minus_ref").alias("center"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by])
+    off = deltas.join(center, same).select(*by, F.abs(F.col(value) / F.lit(unit) - F.col("center")).alias("off"))
+    spread = quantiles(off, by, "off", {"mad_delta_s": 0.5}).drop("n")
+    return median.join(spread, by).select(*by, F.col("n").alias("n_matches"), "median_delta_s_other_minus_ref", "mad_delta_s", "p10_delta_s", "p90_delta_s")
 
 
 def clock_offsets(rows: DataFrame, block: str = "time_block", max_delta_s: float = MAX_PAIR_DELTA_SECONDS) -> DataFrame:
@@ -98,8 +198,7 @@ def clock_offsets(rows: DataFrame, block: str = "time_block", max_delta_s: float
     here = marked.where("site_id != reference_site_id").select(F.col("site_id").alias("other_site_id"), "time_block", "t")
     blocks = here.select("other_site_id", "time_block").distinct()
     base = marked.where("site_id = reference_site_id").select("time_block", "t").join(blocks, "time_block")
-    deltas = nearest(base, here, ["other_site_id", "time_block"], max_delta_s).withColumn("delta_s", F.col("delta_us") / 1e6)
-    stats = robust_spread(deltas, ["other_site_id"])
+    stats = robust_spread(nearest(base, here, ["other_site_id", "time_block"], max_delta_s), ["other_site_id"])
     out = others.join(stats, "other_site_id", "left")
     median = F.coalesce("median_delta_s_other_minus_ref", F.lit(0.0))
     return out.select("reference_site_id", "other_site_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), median.alias("median_delta_s_other_minus_ref"), "mad_delta_s", "p10_delta_s", "p90_delta_s", (F.lit(0.0) - median).alias("applied_correction_s"))

@@ -220,6 +220,52 @@ def test_long_stretch_in_seconds():
     assert int(whole(np.array([sessions.BEFORE]))[0]) == sessions.anchors_of(t, 5_000_000, sessions.BEFORE)[-1] and len(whole.entry) <= 11_000
 
 
+@pytest.mark.parametrize("swept", [100_000, 16])
+def test_pairs_within(spark, monkeypatch, swept):
+    """All pairs of sites in one sweep, also in small steps; equal times, ties, empty stretches, and a bucket with most rows."""
+    monkeypatch.setattr(timejoin, "SWEPT_ROWS", swept)
+    rng = random.Random(swept)
+    rows = [(i, rng.choice("abcdef"), rng.choice((rng.randrange(-40, 4000), rng.randrange(400, 460))) * 500_000) for i in range(700)] + [(9000, None, 5), (9001, "a", None)]
+    df = spark.createDataFrame(rows, "row_id long, s string, t long").repartition(4)
+    got = sorted((r.row_id, r.site_a, r.site_b, r.t, r.row_id_b, r.t_b, r.delta_us) for r in timejoin.pairs_within(df, 10.0, ["row_id"], "s").collect())
+    of = defaultdict(list)
+    for i, s, t in rows:
+        if s and t is not None:
+            of[s].append((t, i))
+    want = []
+    for i, s, t in rows:
+        for other in sorted(of):
+            if s and t is not None and other > s:
+                gap, when, row = min((abs(u - t), u, j) for u, j in of[other])
+                if gap <= 10_000_000:
+                    want.append((i, s, other, t, row, when, when - t))
+    assert got == sorted(want)
+    assert timejoin.pairs_within(df.limit(0), 10.0, ["row_id"], "s").collect() == []
+
+
+@pytest.mark.parametrize("bins", [1 << 18, 64])
+def test_quantiles(spark, monkeypatch, bins):
+    """Groups of all sizes and signs, one with most rows; few counts a round make many rounds."""
+    from fieldsonar.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "BINS", bins)
+    rng = random.Random(bins)
+    groups = {"hot": [rng.gauss(405_640, 30) for _ in range(3000)], "one": [7.5], None: [0.0, -0.0, 3.0], "same": [2.0] * 50, "wide": [rng.choice((-1, 1)) * 10.0 ** rng.randrange(-300, 300) for _ in range(200)], "two": [-1e-9, 1e-9], "far": [float("-inf"), 1.0, 2.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("none", None), ("nan", float("nan")), ("one", float("nan"))]
+    rng.shuffle(rows)
+    shares = {"middle": 0.5, "tenth": 0.1, "ninth": 0.9, "low": 0.0, "high": 1.0}
+    got = {r.g: r for r in Q.quantiles(spark.createDataFrame(rows, "g string, x double").repartition(4), ["g"], "x", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert got[g].n == len(xs)
+        for name, share in shares.items():
+            with np.errstate(invalid="ignore"):
+                assert got[g][name] == pytest.approx(np.quantile(xs, share), rel=1e-12) or np.isnan(np.quantile(xs, share))
+    whole = [(i % 5, rng.randrange(-10**12, 10**12)) for i in range(2000)]
+    got = {r.g: r.middle for r in Q.quantiles(spark.createDataFrame(whole, "g int, x long"), ["g"], "x", {"middle": 0.5}, 1e6).collect()}
+    assert got == {g: pytest.approx(np.median([x for h, x in whole if h == g]) / 1e6, rel=1e-12) for g in range(5)}
+
+
 def points_of(seed, n=90):
     rng = random.Random(seed)
     return [(i, rng.uniform(-80, 80), rng.uniform(-80, 80)) for i in range(n)]
