@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mapped_rank
 from ..settings import MAX_EVENTS_PER_BLOCK, MIN_SITES_PER_EVENT
+from ..storage import remove, written
 from .numbering import numbered
 from .sessions import anchored_sessions, multi_site_events
 
@@ -40,7 +40,7 @@ def best_candidates(members: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, exclus
     """The first candidates of each block: block, anchor_idx, candidate_id, score, first_t.
 
     By sites, then summed delay (to nine decimals, so that the order of adding cannot matter), then time, then anchor.
-    Exclusive: a candidate with a row that a better one has is passed over; that choice is sequential in a block.
+    Exclusive: a candidate with a row that a better chosen one has is passed over.
     """
     score = F.round(F.sum("abs_tdoa_ms"), 9)
     each = members.groupBy("block", "anchor_idx").agg(F.max("n_sites").alias("n_sites"), score.alias("score"), F.min("t").alias("first_t"), F.sort_array(F.collect_list("row_id")).alias("ids"))
@@ -49,19 +49,37 @@ def best_candidates(members: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, exclus
     if not exclusive:
         return each.where(F.col("place") < most).select("block", "anchor_idx", F.col("place").alias("candidate_id"), "n_sites", "score", "first_t")
 
-    def choose(block: pd.DataFrame) -> pd.DataFrame:
-        used, taken = set(), []
-        for i, ids in zip(block.sort_values("place").index, block.sort_values("place")["ids"]):
-            if used.isdisjoint(ids):
-                used.update(ids)
-                taken.append(i)
-                if len(taken) == most:
-                    break
-        out = block.loc[taken]
-        return out.assign(candidate_id=range(len(out)))[["block", "anchor_idx", "candidate_id", "n_sites", "score", "first_t"]]
-
-    kind = {f.name: f.dataType.simpleString() for f in each.schema.fields}
-    return each.groupBy("block").applyInPandas(choose, f"block {kind['block']}, anchor_idx int, candidate_id int, n_sites int, score double, first_t {kind['first_t']}")
+    each = written(each, "candidates")
+    chosen = exclusive_choice(each.select("block", "place", F.explode("ids").alias("row_id")), most)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
+    got = each.join(chosen, ["block", "place"]).withColumn("candidate_id", place)
+    return got.where(F.col("candidate_id") < most).select("block", "anchor_idx", "candidate_id", "n_sites", "score", "first_t")
+
+
+def exclusive_choice(claims: DataFrame, most: int) -> DataFrame:
+    """Which claims (block, place; a row for each row_id they need) hold when each in turn, by place, is passed over if a row is taken: block, place.
+
+    In turn is what rounds side by side give as well: a claim that is first for every row it needs holds, whatever else
+    does, and then those it shares a row with fall. A block's places after its `most`-th held one are left out.
+    """
+    spark, claims, held = claims.sparkSession, written(claims, "claims"), None
+    while True:
+        first = F.min("place").over(Window.partitionBy("block", "row_id"))
+        holds = F.min((F.col("first") == F.col("place")).cast("int")).over(Window.partitionBy("block", "place"))
+        # a claim falls if a row of it is held by another
+        marked = claims.withColumn("first", first).withColumn("holds", holds)
+        falls = F.max("holds").over(Window.partitionBy("block", "row_id"))
+        marked = written(marked.withColumn("falls", falls), "claims-marked")
+        new = marked.where("holds = 1").select("block", "place").distinct()
+        held = written(new if held is None else held.unionByName(new), "claims-held")
+        last = held.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("place"))).where(F.col("n") == most).select("block", F.col("place").alias("last"))
+        fallen = marked.where("falls = 1").select("block", "place").distinct()
+        left = marked.select("block", "place", "row_id").join(fallen, ["block", "place"], "left_anti").join(last, "block", "left").where(F.col("last").isNull() | (F.col("place") < F.col("last"))).drop("last")
+        remaining = written(left, "claims")
+        remove(spark, claims, marked)
+        claims = remaining
+        if claims.isEmpty():
+            return held
 
 
 def event_ids(best: DataFrame) -> DataFrame:

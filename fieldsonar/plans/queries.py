@@ -314,7 +314,14 @@ def event_members(spark, sf):
     return events.build_events(usable(spark, sf)).select("event_id", "site_id", "row_id", F.round("abs_tdoa_ms", 6).alias("abs_tdoa_ms"))
 
 
-@query()
+_EXCLUSIVE = """al AS (SELECT block, anchor_idx, max(n_sites) AS n_sites, round(sum(abs_tdoa_ms), 9) AS score, min(t) AS first_t, list(row_id) AS ids FROM me GROUP BY ALL),
+ap AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n_sites DESC, score DESC, first_t, anchor_idx) AS place FROM al),
+gr AS (SELECT block, 0::BIGINT AS place, CAST([] AS BIGINT[]) AS used, false AS taken FROM ap GROUP BY block
+  UNION ALL SELECT ap.block, ap.place, CASE WHEN list_has_any(used, ids) THEN used ELSE list_concat(used, ids) END, NOT list_has_any(used, ids) FROM gr JOIN ap ON ap.block = gr.block AND ap.place = gr.place + 1),
+ex AS (SELECT block, place, row_number() OVER (PARTITION BY block ORDER BY place) - 1 AS candidate_id FROM gr WHERE taken QUALIFY candidate_id < 10)"""
+
+
+@query(f"{_HEAD}, {_CANDIDATES}, {_EXCLUSIVE} SELECT block, CAST(anchor_idx AS INTEGER) AS anchor_idx, CAST(candidate_id AS INTEGER) AS candidate_id, score FROM ex JOIN ap USING (block, place)")
 def exclusive_candidates(spark, sf):
     return events.best_candidates(events.candidates(usable(spark, sf)), exclusive=True).select("block", "anchor_idx", "candidate_id", "score")
 
