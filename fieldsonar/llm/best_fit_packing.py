@@ -39,7 +39,7 @@ GIVEN_BACK, FULL = 1 / 8, 0.97
 #: Bins that a mutation empties.
 MIXED = 48
 #: Words whose ids a worker remembers, from task to task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text that are encoded at once.
 ENCODED = 4_000_000
 
