@@ -83,14 +83,15 @@ def exclusive_choice(claims: DataFrame, most: int) -> DataFrame:
 
 
 def event_ids(best: DataFrame) -> DataFrame:
-    """Candidates with dense ids from 0, by block and candidate: a running sum over blocks in ranges, then its places."""
+    """Candidates with dense ids from 0, by block and candidate: a running sum over blocks in ranges, then its places. best is written, and worked out once."""
+    best = written(best, "best-candidates")
     start = numbered(best.groupBy("block").agg(F.count("*").alias("size")), "block", "start", "size").drop("size")
     return best.join(start, "block").withColumn("event_id", (F.col("start") + F.col("candidate_id")).cast("long")).drop("start")
 
 
 def build_events(rows: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, min_sites: int = MIN_SITES_PER_EVENT, exclusive: bool = False) -> DataFrame:
     """Event members: the columns of rows, with event_id; one row an event and site."""
-    members = candidates(rows, min_sites)
+    members = written(candidates(rows, min_sites), "candidate-members")
     ids = event_ids(best_candidates(members, most, exclusive)).select("block", "anchor_idx", "event_id")
     return members.join(ids, ["block", "anchor_idx"]).select(*rows.columns, "event_id")
 

@@ -21,35 +21,37 @@ FITTED_WHOLE = 8
 BRANCHES = 1 << 14
 
 
-def branches(members: DataFrame) -> DataFrame:
-    """One row an event and branch: event_id, branch (number), branch_bits, bearings and the sites' arrays.
+def branch_costs(members: DataFrame, x: Column, y: Column) -> DataFrame:
+    """One row an event and branch: event_id, n_sites, branch, branch_bits, bearings, and its Huber cost, weighted RMS residual and geometry score at a point.
 
-    The sites of an event, by id, are the bits of the branch number, the first the highest; 0 takes bearing_1.
+    The sites of an event, by id, are the bits of the branch number, the first the highest; 0 takes bearing_1. The point
+    is given by columns of the members, alike for all of an event. Each site's two terms are worked out once; branches
+    grow site by site from those they share their first bits with, so a branch costs one addition and not one a site.
     """
-    site = F.struct("site_id", "canonical_easting_m", "canonical_northing_m", "bearing_1_deg", "bearing_2_deg", "abs_tdoa_ms")
-    events = members.groupBy("event_id").agg(F.sort_array(F.collect_list(site)).alias("sites"))
-    n = F.size("sites")
-    each = events.withColumn("branch", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), n).cast("int") - 1)))
-    bit = lambda i: F.floor(F.col("branch") / F.pow(F.lit(2.0), n - 1 - i)).cast("int") % 2
-    bits = F.array_join(F.transform("sites", lambda s, i: bit(i).cast("string")), "")
-    chosen = F.transform("sites", lambda s, i: F.when(bit(i) == 0, s["bearing_1_deg"]).otherwise(s["bearing_2_deg"]))
-    return each.select("event_id", "branch", bits.alias("branch_bits"), chosen.alias("bearings"), "sites")
-
-
-def branch_costs(rows: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Rows of branches() with the Huber cost, weighted RMS residual and geometry score at a given point."""
-    point = rows.withColumns({"px": x, "py": y})
-
-    def residual(s: Column, i: Column) -> Column:
-        predicted = scalars.bearing_between(s["canonical_easting_m"], s["canonical_northing_m"], F.col("px"), F.col("py"))
-        return F.struct(scalars.wrap_degrees(F.get("bearings", i) - predicted).alias("r"), scalars.tdoa_weight(s["abs_tdoa_ms"]).alias("w"))
-
-    out = point.withColumn("res", F.transform("sites", residual))
-    total = lambda f: F.aggregate("res", F.lit(0.0), lambda acc, e: acc + f(e))
-    z = lambda e: e["w"] * F.pow(e["r"] / S.ORIENTATION_SIGMA_DEG, 2)
-    cost = total(lambda e: F.when(z(e) <= 1, z(e)).otherwise(2 * F.sqrt(z(e)) - 1)) * 0.5
-    rms = F.sqrt(total(lambda e: e["w"] * e["r"] * e["r"]) / total(lambda e: e["w"]))
-    return out.withColumns({"objective": cost, "rms_residual_deg": rms, "geometry_score": scalars.geometry_score(F.col("bearings"))}).drop("res", "px", "py")
+    predicted = scalars.bearing_between(F.col("canonical_easting_m"), F.col("canonical_northing_m"), x, y)
+    weight = scalars.tdoa_weight(F.col("abs_tdoa_ms"))
+
+    def terms(bearing: str, bit: str) -> Column:
+        r = scalars.wrap_degrees(F.col(bearing) - predicted)
+        z = F.col("w") * F.pow(r / S.ORIENTATION_SIGMA_DEG, 2)
+        return F.struct(F.lit(bit).alias("bit"), F.col(bearing).alias("bearing"), (F.when(z <= 1, z).otherwise(2 * F.sqrt(z) - 1) * 0.5).alias("cost"), (F.col("w") * r * r).alias("square"))
+
+    site = F.struct("site_id", "w", F.array(terms("bearing_1_deg", "0"), terms("bearing_2_deg", "1")).alias("either"))
+    events = members.withColumn("w", weight).groupBy("event_id").agg(F.sort_array(F.collect_list(site)).alias("sites"), F.sum("w").alias("weight"))
+    root = F.array(F.struct(F.lit("").alias("bits"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("square"), F.lit(1.0).alias("apart"), F.array().cast("array<double>").alias("bearings")))
+
+    def grown(branch: Column, term: Column) -> Column:
+        least = F.aggregate(branch["bearings"], branch["apart"], lambda acc, b: F.least(acc, F.abs(F.sin(F.radians(term["bearing"] - b)))))
+        return F.struct(
+            F.concat(branch["bits"], term["bit"]).alias("bits"), (branch["cost"] + term["cost"]).alias("cost"), (branch["square"] + term["square"]).alias("square"), least.alias("apart"),
+            F.concat(branch["bearings"], F.array(term["bearing"])).alias("bearings"),
+        )
+
+    leaves = F.aggregate("sites", root, lambda acc, s: F.flatten(F.transform(acc, lambda branch: F.transform(s["either"], lambda term: grown(branch, term)))))
+    each = events.select("event_id", F.size("sites").alias("n_sites"), "weight", F.posexplode(leaves).alias("branch", "b"))
+    rms = F.sqrt(F.col("b.square") / F.col("weight"))
+    apart = F.when(F.col("n_sites") > 1, F.col("b.apart")).otherwise(0.0)
+    return each.select("event_id", "n_sites", "branch", F.col("b.bits").alias("branch_bits"), F.col("b.bearings").alias("bearings"), F.col("b.cost").alias("objective"), rms.alias("rms_residual_deg"), apart.alias("geometry_score"))
 
 
 def weights_of(abs_tdoa_ms: np.ndarray) -> np.ndarray:

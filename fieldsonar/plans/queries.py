@@ -388,7 +388,7 @@ co AS (SELECT event_id, branch, string_agg(CAST(bit AS VARCHAR), '' ORDER BY i)
 
 
 def _costs(spark: SparkSession, sf: str) -> DataFrame:
-    return solver.branch_costs(solver.branches(events.build_events(usable(spark, sf))), F.lit(405640.0), F.lit(115750.0))
+    return solver.branch_costs(events.build_events(usable(spark, sf)), F.lit(405640.0), F.lit(115750.0))
 
 
 @query(f"{_HEAD}, {_CANDIDATES}, {_COSTS} SELECT event_id, bits AS branch_bits, {_r('cost', 5)} AS objective, {_r('rms', 5)} AS rms_residual_deg FROM co")
@@ -404,7 +404,7 @@ def geometry_score(spark, sf):
 @query(f"{_HEAD}, {_CANDIDATES}, {_COSTS}, fl AS (SELECT event_id, bits, round(rms, 5) AS rms, round(coalesce(g, 0), 5) AS g, n FROM co LEFT JOIN ge USING (event_id, branch) JOIN bn USING (event_id)) SELECT event_id, bits AS branch_bits, rms <= 18 AND g >= sin(radians(10)) AND (n < 3 OR event_id % 5 / 10.0 >= 0.2) AS quality_pass FROM fl")
 def quality_flag(spark, sf):
     margin = F.col("event_id") % 5 / 10.0
-    return _costs(spark, sf).select("event_id", "branch_bits", scalars.quality_pass(F.round("rms_residual_deg", 5), F.round("geometry_score", 5), F.size("sites"), margin).alias("quality_pass"))
+    return _costs(spark, sf).select("event_id", "branch_bits", scalars.quality_pass(F.round("rms_residual_deg", 5), F.round("geometry_score", 5), F.col("n_sites"), margin).alias("quality_pass"))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_solve_keeps_failures_and_matches_costs(spark):
         r = got[e["event_id"]]
         assert r.triangulation_success and r.branch_bits == e["bits"] and r.quality_pass == e["quality"] and len(r.bearings) == len(e["sites"])
         # the closed form at the solution gives the same cost
-        costs = solver.branch_costs(solver.branches(members.where(f"event_id = {e['event_id']}")), F.lit(r.solution_easting_m), F.lit(r.solution_northing_m))
+        costs = solver.branch_costs(members.where(f"event_id = {e['event_id']}"), F.lit(r.solution_easting_m), F.lit(r.solution_northing_m))
         c = costs.where(F.col("branch_bits") == r.branch_bits).first()
         assert c.objective == pytest.approx(r.objective, abs=1e-9) and c.rms_residual_deg == pytest.approx(r.rms_residual_deg, abs=1e-7)
         assert c.geometry_score == pytest.approx(r.geometry_score, abs=1e-9)
