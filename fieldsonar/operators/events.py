@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mapped_rank
@@ -89,10 +89,13 @@ def event_ids(best: DataFrame) -> DataFrame:
     return best.join(start, "block").withColumn("event_id", (F.col("start") + F.col("candidate_id")).cast("long")).drop("start")
 
 
-def build_events(rows: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, min_sites: int = MIN_SITES_PER_EVENT, exclusive: bool = False) -> DataFrame:
-    """Event members: the columns of rows, with event_id; one row an event and site."""
+def build_events(rows: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, min_sites: int = MIN_SITES_PER_EVENT, exclusive: bool = False, seen: Observation | None = None) -> DataFrame:
+    """Event members: the columns of rows, with event_id; one row an event and site. `seen` gets how many blocks have events."""
     members = written(candidates(rows, min_sites), "candidate-members")
-    ids = event_ids(best_candidates(members, most, exclusive)).select("block", "anchor_idx", "event_id")
+    best = best_candidates(members, most, exclusive)
+    if seen is not None:
+        best = best.observe(seen, F.count_if(F.col("candidate_id") == 0).alias("blocks_with_events"))
+    ids = event_ids(best).select("block", "anchor_idx", "event_id")
     return members.join(ids, ["block", "anchor_idx"]).select(*rows.columns, "event_id")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maps, projection
 from ..settings import MAP, MapStyle
+from .numbering import numbered as numbers
 
 
 def site_records(sites: DataFrame, style: MapStyle = MAP) -> DataFrame:
@@ -16,17 +17,15 @@ def site_records(sites: DataFrame, style: MapStyle = MAP) -> DataFrame:
 def bearing_lines(detections: DataFrame) -> DataFrame:
     """Two rows a detection, one a bearing: det_id (from 1, by site and time), site_id, branch_index, bearing_deg, centre.
 
-    Time is corrected_event_time, or event_time where there is none. Numbers are places within a site, after the sites
-    before it, so no window spans all detections. Ties keep the order of row_id where there is one.
+    Time is corrected_event_time, or event_time where there is none. Numbers are added up over sorted ranges, so neither
+    all detections nor those of a site are one task. Ties keep the order of row_id where there is one.
     """
     time = next(c for c in ("corrected_event_time", "event_time", "t", "site_id") if c in detections.columns)
-    order = [time, *(["row_id"] if "row_id" in detections.columns else []), "bearing_1_deg"]
-    counts = detections.groupBy("site_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("site_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select("site_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = detections.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(*order))).join(start, "site_id")
+    order = list(dict.fromkeys(["site_id", time, *(["row_id"] if "row_id" in detections.columns else []), "bearing_1_deg"]))
+    rows = detections.select(*order, "bearing_2_deg", "canonical_easting_m", "canonical_northing_m")
+    numbered = numbers(rows, order, "place")
     numbered = projection.with_lon_lat(numbered, F.col("canonical_easting_m"), F.col("canonical_northing_m"), "center_lon", "center_lat")
-    rows = numbered.select((F.col("start") + F.col("place")).cast("long").alias("det_id"), "site_id", "center_lon", "center_lat", F.posexplode(F.array("bearing_1_deg", "bearing_2_deg")).alias("pos", "bearing_deg"))
+    rows = numbered.select((F.col("place") + 1).alias("det_id"), "site_id", "center_lon", "center_lat", F.posexplode(F.array("bearing_1_deg", "bearing_2_deg")).alias("pos", "bearing_deg"))
     return rows.select("det_id", "site_id", (F.col("pos") + 1).alias("branch_index"), "bearing_deg", "center_lon", "center_lat")
 
 

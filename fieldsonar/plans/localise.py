@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -34,11 +34,9 @@ def detect_calls(spark: SparkSession, root: str, detector: audio.Detector, speci
     return sinks.union_by_name([got.join(meta, ["recorder_folder", "wav_file"])])
 
 
-def with_places(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Detections with canonical positions and the operators' working columns, and the table of sites."""
-    table = sites.site_summary(prepared)
-    rows = sites.with_sites(prepared, table, check=False)
-    rows = rows.withColumns(
+def with_places(prepared: DataFrame, table: DataFrame) -> DataFrame:
+    """Detections with canonical positions, from the table of sites, and the operators' working columns."""
+    return sites.with_sites(prepared, table, check=False).withColumns(
         {
             "abs_tdoa_ms": F.abs("tdoa_ms"),
             "corrected_event_time": F.col("event_time"),
@@ -49,7 +47,6 @@ def with_places(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
             "row_id": F.xxhash64(*[F.col(c) for c in ("source_file", "recorder_folder", "wav_file", "birdnet_start_s", "birdnet_end_s", "peak_time_s", "tdoa_ms")]),
         }
     )
-    return rows, table
 
 
 def calibrated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,44 +71,54 @@ def diagnostics(raw: DataFrame, corrected: DataFrame, offsets: DataFrame, refere
     return out.select(*[F.col(f.name).cast(f.dataType) for f in DIAGNOSTICS.fields]).orderBy(F.desc("diagnostic_type"), "window_seconds", "other_site_id")
 
 
-def summary(rows: DataFrame, sites: DataFrame, members: DataFrame, solved: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The counts that a run reports, one row each: measure and value.
-
-    Detections kept, sites, candidate events, those of two, three and more sites, those located, those that pass, and
-    the share that passes of those located (null without any); and the offsets applied.
-    """
-    events_ = solved.agg(
-        F.count("*").alias("candidate_events"),
+def observed_solutions(solved: DataFrame, seen: Observation) -> DataFrame:
+    """The solutions, whose counts `seen` gets when they are written."""
+    return solved.observe(
+        seen,
+        F.count(F.lit(1)).alias("candidate_events"),
         *[F.count_if(F.col("n_sites") == n).alias(f"events_of_{n}_sites") for n in (2, 3)],
         F.count_if(F.col("n_sites") > 3).alias("events_of_more_sites"),
         F.count_if("triangulation_success").alias("located"),
         F.count_if(~F.col("triangulation_success")).alias("not_located"),
         F.count_if("quality_pass").alias("quality_pass"),
-        F.try_divide(F.count_if("quality_pass"), F.count_if("triangulation_success")).alias("quality_share"),
     )
-    counts = [df.agg(F.count("*").alias(name)) for name, df in (("detections", rows), ("sites", sites), ("event_members", members), ("pair_offsets", offsets))]
-    wide = events_
-    for one in counts:
-        wide = wide.crossJoin(one)  # of one row each
-    return wide.unpivot([], [F.col(c).cast("double").alias(c) for c in wide.columns], "measure", "value")
+
+
+def summary(spark: SparkSession, *seen: Observation) -> DataFrame:
+    """What a run reports, one row each: measure and value. The counts were taken while tables were written, so they cost no scan.
+
+    Also the share that passes of the located events, null without any.
+    """
+    counts: dict[str, float | None] = {k: float(v) for o in seen for k, v in o.get.items()}
+    if "located" in counts:
+        counts["quality_share"] = counts["quality_pass"] / counts["located"] if counts["located"] else None
+    return spark.createDataFrame(list(counts.items()), "measure string, value double")
 
 
 def localise(spark: SparkSession, paths: list[str], out: str | None = None, calibrate: bool = False) -> dict[str, DataFrame]:
-    """All tables of a run: sites, offsets, diagnostics, members, solutions; written as CSV, with a map, under `out`."""
-    prepared = ingest.prepared(ingest.detections(spark, paths))
-    rows, table = with_places(prepared)
-    rows = rows.persist()
+    """All tables of a run: sites, offsets, diagnostics, members, solutions, summary; written as CSV, with a map, under `out`.
+
+    Detections, sites, members and solutions are worked out and written once, in the shared folder, and read from there
+    by whatever needs them.
+    """
+    read, kept, of_sites, of_blocks, of_members, of_events = (Observation(n) for n in ("read", "kept", "sites", "blocks", "members", "events"))
+    count = F.count(F.lit(1))
+    scanned = ingest.detections(spark, paths).observe(read, count.alias("detections_read"))
+    prepared = written(ingest.prepared(scanned).observe(kept, count.alias("detections")), "detections")
+    table = written(sites.site_summary(prepared).observe(of_sites, count.alias("sites")), "sites")
+    rows = written(with_places(prepared, table), "placed")
     corrected, offsets = calibrated(rows) if calibrate else (rows, no_offsets(spark))
-    members = events.build_events(corrected).persist()
-    solved = solver.solve(members).orderBy("event_id")
+    offsets = written(offsets, "offsets")
+    members = written(events.build_events(corrected, seen=of_blocks).observe(of_members, count.alias("event_members")), "members")
+    solved = written(observed_solutions(solver.solve(members), of_events), "solutions").orderBy("event_id")
     result = {
         "sites": table.orderBy("site_id"),
         "offsets": offsets,
         "diagnostics": diagnostics(rows, corrected, offsets),
         "members": members.drop("t", "block", "time_block", "row_id").orderBy("event_id", "corrected_event_time"),
         "solutions": solved.select(*SOLUTIONS.names),
+        "summary": summary(spark, read, kept, of_sites, of_blocks, of_members, of_events),
     }
-    result["summary"] = summary(rows, table, members, solved, offsets)
     if out:
         for name, df in result.items():
             sinks.write_csv(df, f"{out}/{name}", one_file=True)

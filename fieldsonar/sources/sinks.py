@@ -36,15 +36,13 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False, skip_empty: bool
     return True
 
 
-#: Rows of any one layer that a page may hold; beyond it, a map is no use and the driver would be filled.
+#: Rows of any one layer that a page may hold; a larger layer is left out and named: a page of it would be no use.
 PAGE_ROWS = 200_000
 
 
-def _records(df: DataFrame) -> list[dict]:
+def _records(df: DataFrame) -> list[dict] | None:
     rows = df.limit(PAGE_ROWS + 1).toJSON().collect()
-    if len(rows) > PAGE_ROWS:
-        raise ValueError(f"a map layer has more than {PAGE_ROWS} rows; filter it first")
-    return [json.loads(r) for r in rows]
+    return [json.loads(r) for r in rows] if len(rows) <= PAGE_ROWS else None
 
 
 _PAGE = """<!DOCTYPE html>
@@ -74,22 +72,22 @@ slider.oninput = () => { document.getElementById('m').textContent = slider.value
 draw(100);
 L.control.layers(base, layers).addTo(map);
 for (const l of Object.values(layers)) l.addTo(map);
+for (const name of data.left_out) document.getElementById('bar').append(' Too many rows to draw: ' + name + '.');
 map.fitBounds(data.bounds, {padding: [30, 30]});
 </script></body></html>
 """
 
 
 def site_map_html(sites: DataFrame, bearings: DataFrame, calls: DataFrame, title: str = MAP.title) -> str:
-    """A page of recorders, bearing lines and located calls; no sites is an error."""
-    rows = _records(sites)
-    if not rows:
+    """A page of recorders, bearing lines and located calls; no sites is an error. A layer of over PAGE_ROWS rows is left out, which the page says."""
+    edge = sites.agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+    if edge[0] is None:
         raise ValueError("there are no sites to draw")
-    lons, lats = [r["lon"] for r in rows], [r["lat"] for r in rows]
+    layers = {"sites": _records(sites), "bearings": _records(bearings), "calls": _records(calls)}
     data = {
-        "sites": rows,
-        "bearings": _records(bearings),
-        "calls": _records(calls),
-        "bounds": [[min(lats), min(lons)], [max(lats), max(lons)]],
+        **{name: rows or [] for name, rows in layers.items()},
+        "left_out": [name for name, rows in layers.items() if rows is None],
+        "bounds": [[edge[0], edge[1]], [edge[2], edge[3]]],
         "sources": [{"name": n, "url": u, "attribution": a} for n, u, a in TILE_SOURCES.values()],
     }
     text = json.dumps(data).replace("</", "<\\/")

@@ -131,7 +131,40 @@ def test_metadata_as_a_csv_reader_has_it(spark, tmp_path):
 
 
 def test_summary(spark):
+    """Counts taken while a table is written."""
+    from pyspark.sql import Observation
+
     solved = spark.createDataFrame([(0, 2, True, True), (1, 3, True, False), (2, 2, False, False), (3, 5, True, True)], "event_id long, n_sites int, triangulation_success boolean, quality_pass boolean")
-    got = {r.measure: r.value for r in localise.summary(spark.range(7), spark.range(4), spark.range(12), solved, spark.range(0)).collect()}
-    assert got == {"candidate_events": 4, "events_of_2_sites": 2, "events_of_3_sites": 1, "events_of_more_sites": 1, "located": 3, "not_located": 1, "quality_pass": 2, "quality_share": 2 / 3, "detections": 7, "sites": 4, "event_members": 12, "pair_offsets": 0}
-    assert {r.measure: r.value for r in localise.summary(*[spark.range(0)] * 3, solved.limit(0), spark.range(0)).collect()}["quality_share"] is None
+    for rows, share in ((solved, 2 / 3), (solved.limit(0), None)):
+        seen = Observation()
+        localise.observed_solutions(rows, seen).write.format("noop").mode("overwrite").save()
+        got = {r.measure: r.value for r in localise.summary(spark, seen).collect()}
+        assert got["quality_share"] == share
+    seen = Observation()
+    localise.observed_solutions(solved, seen).write.format("noop").mode("overwrite").save()
+    got = {r.measure: r.value for r in localise.summary(spark, seen).collect()}
+    assert got == {"candidate_events": 4, "events_of_2_sites": 2, "events_of_3_sites": 1, "events_of_more_sites": 1, "located": 3, "not_located": 1, "quality_pass": 2, "quality_share": 2 / 3}
+
+
+def test_large_layers_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "PAGE_ROWS", 3)
+    place = spark.range(3).selectExpr("id AS site_id", "'Recorder ' || id AS label", "1L AS n_detections", "id / 10 AS lon", "double(50 + id) AS lat")
+    page = sinks.site_map_html(place, spark.range(4).selectExpr("id AS det_id"), spark.range(2).selectExpr("id AS event_id"))
+    assert '"left_out": ["bearings"]' in page and "Recorder 2" in page and '"bounds": [[50.0, 0.0], [52.0, 0.2]]' in page
+
+
+def test_command_line(spark, field, tmp_path, monkeypatch):
+    from fieldsonar import __main__ as command
+
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "own_detector.py").write_text("def detect(channel, rate, allowed, confidence, overlap):\n    return [(0.0, 3.0, 'bird', 0.8)]\n")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        command.main(["detect", str(field), "--detector", "own_detector:detect", "--out", f"{tmp_path}/found"], spark)
+        command.main(["localise", f"{tmp_path}/found", "--out", f"{tmp_path}/out"], spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert spark.read.csv(f"{tmp_path}/found", header=True).count() == 3 * len(SITES)
+    told = {r.measure: float(r.value) for r in spark.read.csv(f"{tmp_path}/out/summary", header=True).collect() if r.value}
+    assert told["detections_read"] == 3 * len(SITES) >= told["detections"] > 0 and told["sites"] == len(SITES) and told["blocks_with_events"] > 0
+    assert (tmp_path / "out" / "sites_map.html").exists()
