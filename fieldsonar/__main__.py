@@ -16,9 +16,13 @@ from .settings import FIELD_TIMEZONE
 from .sources import sinks
 
 
-def _detector(name: str):
+def _detector(spark: SparkSession, name: str):
+    """The function; a module that is a file by itself goes to the executors."""
     module, _, function = name.partition(":")
-    return getattr(importlib.import_module(module), function)
+    found = importlib.import_module(module)
+    if "." not in module and not hasattr(found, "__path__") and found.__file__:
+        spark.sparkContext.addPyFile(found.__file__)
+    return getattr(found, function)
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -36,7 +40,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("fieldsonar").getOrCreate()
     if given.run == "detect":
-        found = localise.detect_calls(spark, given.root, _detector(given.detector), given.species)
+        found = localise.detect_calls(spark, given.root, _detector(spark, given.detector), given.species)
         print("written" if sinks.write_csv(found, given.out, skip_empty=True) else "no calls were found; nothing is written")
         return
     spark.conf.set("spark.sql.session.timeZone", FIELD_TIMEZONE)
