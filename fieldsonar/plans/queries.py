@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import maps, projection, scalars
 from ..operators import audio, events, mapping, sessions, sites, solver, timejoin
-from ..storage import settled
+from ..sources import ingest, sinks
+from ..storage import new_path, owned, settled
 from . import views
 from .views import rounded, usable
 
@@ -502,9 +503,8 @@ def triangulate(spark, sf):
     return solver.solve(members).drop("bearings")
 
 
-@query()
-def gcc_phat_tdoa(spark, sf):
-    """Delays measured on stereo recordings that are made for every supplier: a burst, late in one channel by a known lag."""
+def _recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """Stereo recordings (rec, content) that are made for every supplier: a burst, late in one channel by a known lag."""
     import pyarrow as pa
 
     def record(batches):
@@ -534,11 +534,13 @@ def gcc_phat_tdoa(spark, sf):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary())], names=["rec", "content"])
 
     keys = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("rec")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    recordings = keys.mapInArrow(record, "rec long, content binary")
-    windows = keys.select("rec", F.lit(0.0).alias("start_s"), F.lit(3.0).alias("end_s"), F.lit("left,right").alias("detected_by"))
-    return audio.delays(recordings, windows, ("rec",))
+    return keys.mapInArrow(record, "rec long, content binary")
 
 
+@query()
+def gcc_phat_tdoa(spark, sf):
+    """Delays of one window of every made recording, in one narrow pass."""
+    return audio.calls(_recordings(spark, sf), lambda channel, rate, allowed, confidence, overlap: [(0.0, 3.0, "call", 1.0)], keys=("rec",))
 
 
 def _known_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -583,8 +585,70 @@ def many_site_events(spark, sf):
     return got.select("event_id", "n_sites", "triangulation_success", "branch_bits", place("solution_easting_m"), place("solution_northing_m"), rounded(F.col("objective"), 3).alias("objective"), tied.alias("tied_margin"), (F.col("branch_margin") > 1e-6).alias("clear"))
 
 
-@query("SELECT count(*) AS recordings, count(*) AS measured, true AS nearly_all_right FROM supplier")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS rec, CAST(s_suppkey % 41 - 20 AS BIGINT) AS lag, 'left,right' AS detected_by, 0.5::DOUBLE AS cut_s, false AS too_short FROM supplier")
 def known_lags(spark, sf):
-    """How many recordings have the lag that they were made with, to the nearest sample: whitening loses a weak call now and then."""
-    got = gcc_phat_tdoa(spark, sf).select((F.round("lag_samples").cast("long") == F.col("rec") % 41 - 20).alias("right"), "too_short")
-    return got.agg(F.count("*").alias("recordings"), F.count_if(~F.col("too_short")).alias("measured"), (F.count_if("right") >= 0.97 * F.count("*")).alias("nearly_all_right"))
+    """The lag of every made recording, to the nearest sample, by the frequencies that the filter passes, and the length of its cut."""
+    windows = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("rec"), F.lit(0.0).alias("start_s"), F.lit(3.0).alias("end_s"), F.lit("left,right").alias("detected_by"))
+    got = audio.delays(_recordings(spark, sf), windows, ("rec",), (S.BAND_LOW_HZ, S.BAND_HIGH_HZ))
+    return got.select("rec", F.round("lag_samples").cast("long").alias("lag"), "detected_by", F.round(F.col("gcc_end_s") - F.col("gcc_start_s"), 6).alias("cut_s"), "too_short")
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS event_id, 2 AS n_sites, false AS triangulation_success, false AS quality_pass, CAST(NULL AS VARCHAR) AS branch_bits, CAST(NULL AS DOUBLE) AS objective, true AS no_time FROM supplier""")
+def ambiguous_pairs(spark, sf):
+    """Events of two sites whose bearings cross at a place and, as far away, at its mirror image: none is located."""
+    k = F.col("s_suppkey")
+    rows = views.table(spark, sf, "supplier").select(k.cast("long").alias("event_id"), (405560 + k * 37 % 81).cast("double").alias("x"), (115750 + 40 + k * 91 % 173).cast("double").alias("y"))
+    rows = rows.withColumn("site_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = rows.withColumns({"canonical_easting_m": F.when(F.col("site_id") == 1, 405500.0).otherwise(405700.0), "canonical_northing_m": F.lit(115750.0), "abs_tdoa_ms": F.lit(0.3), "event_time": F.timestamp_seconds(F.lit(1_700_000_000))})
+    rows = rows.withColumn("bearing_1_deg", scalars.bearing_between(F.col("canonical_easting_m"), F.col("canonical_northing_m"), F.col("x"), F.col("y")))
+    got = solver.solve(rows.withColumn("bearing_2_deg", F.pmod(180 - F.col("bearing_1_deg"), F.lit(360.0))))
+    return got.select("event_id", "n_sites", "triangulation_success", "quality_pass", "branch_bits", "objective", F.col("event_time_min").isNull().alias("no_time"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(405560 + s_suppkey * 37 % 181 AS DOUBLE) AS e, CAST(115700 + s_suppkey * 91 % 173 AS DOUBLE) AS n FROM supplier), {_inverse_sql('p')}
+SELECT id AS event_id, 3 AS n_sites, round(lon, 4) AS lon, round(lat, 4) AS lat FROM ll""")
+def call_map_records(spark, sf):
+    """Map records of located calls, in degrees, through JSON and back."""
+    sources = _known_sources(spark, sf)
+    back = mapping.as_json(mapping.call_records(solver.solve(sources))).select(F.from_json("json", "event_id long, n_sites int, quality_pass boolean, lon double, lat double").alias("r"))
+    return back.select("r.event_id", "r.n_sites", F.round("r.lon", 4).alias("lon"), F.round("r.lat", 4).alias("lat"))
+
+
+@query("""SELECT event_id AS row_id, printf('%.3f|%.3f', (event_id * 37 % 2880) / 8.0::DOUBLE, (event_id * 91 % 2880) / 8.0::DOUBLE) AS joined FROM events""")
+def joined_bearings(spark, sf):
+    i = F.col("event_id")
+    return views.table(spark, sf, "events").select(i.alias("row_id"), scalars.joined_bearings(F.array((i * 37 % 2880) / 8.0, (i * 91 % 2880) / 8.0)).alias("joined"))
+
+
+@query(f"""{_HEAD} SELECT 'Recorder ' || site_id AS recorder_folder, count(*) AS n, count(*) FILTER (site_id <= 3) AS with_note, 2 AS files, {_r('sum(round(abs_tdoa_ms, 6))', 3)} AS sum_abs FROM good GROUP BY site_id, files""")
+def csv_files(spark, sf):
+    """Detections written as two CSV files with unlike columns and read back as one table with the file each came from."""
+    rows = usable(spark, sf).select(F.concat(F.lit("Recorder "), F.col("site_id").cast("string")).alias("recorder_folder"), F.round("abs_tdoa_ms", 6).alias("tdoa_ms"), "site_id")
+    paths = [owned(new_path(spark, f"csv-{half}")) for half in ("a", "b")]
+    sinks.write_csv(rows.where("site_id <= 3").select("recorder_folder", "tdoa_ms", F.lit("x").alias("NOTE")), paths[0], one_file=True)
+    sinks.write_csv(rows.where("site_id > 3").select("tdoa_ms", "recorder_folder"), paths[1], one_file=True)
+    back = ingest.detections(spark, paths)
+    files = back.select("source_file").distinct().agg(F.count("*").cast("int").alias("files"))
+    each = back.groupBy("recorder_folder").agg(F.count("*").alias("n"), F.count("NOTE").alias("with_note"), rounded(F.sum("tdoa_ms"), 3).alias("sum_abs"))
+    return each.crossJoin(files)  # of one row
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS site_id, 'Recorder ' || s_suppkey AS label, 1 AS pages FROM supplier")
+def map_page(spark, sf):
+    """The site map written as a page, and the records that a reader of it finds."""
+    folder = owned(new_path(spark, "page"))
+    places = _records(spark, sf).select("site_id", F.lit(1).alias("n_detections"), F.col("lon").alias("canonical_lon_deg"), F.col("lat").alias("canonical_lat_deg"))
+    calls = places.where("false").select(F.col("site_id").alias("event_id"))
+    sinks.write_text(spark, sinks.site_map_html(mapping.site_records(places), calls, calls), f"{folder}/map.html")
+    data = spark.read.text(f"{folder}/map.html", wholetext=True).select(F.regexp_extract("value", r"const data = (.*);\nconst map", 1).alias("json"))
+    sites_ = data.select(F.explode(F.from_json("json", "sites array<struct<site_id: long, label: string>>")["sites"]).alias("s"))
+    return sites_.select("s.site_id", "s.label", F.lit(1).alias("pages"))
+
+
+@query("SELECT DISTINCT lower(p_type) AS species FROM part WHERE p_type IS NOT NULL")
+def species_list(spark, sf):
+    """A list of names, one a line with blank lines between, written and read as an allow-list."""
+    path = owned(new_path(spark, "species"))
+    names = views.table(spark, sf, "part").select(F.lower("p_type").alias("value")).where("value IS NOT NULL").distinct()
+    names.unionByName(names.select(F.lit(" ").alias("value")).limit(1)).write.text(path)
+    return ingest.species(spark, path).toDF("species")
