@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import owned
 from .common import documents, new_path, text_column
 
 
@@ -139,7 +140,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scan(documents(spark, sf_dir), new_path(spark, "secret-ledger"))
+    got = scan(documents(spark, sf_dir), owned(new_path(spark, "secret-ledger")))
     spans = F.col("findings")
     base = F.filter(spans, lambda s: s["rank"] < len(BASE_RULES))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
