@@ -49,11 +49,55 @@ def near_pairs(points: DataFrame, radius: float, id_column: str = "id", x: str =
     return here.join(there, ["cx", "cy"]).where("a < b").withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("distance"))
 
 
+def cell_links(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """What clusters under a radius need of points (id, x, y), however dense: each point's cell by its least member
+    (id, cell), and the pairs of cells (a, b) that have points no further apart than the radius.
+
+    A cell's diagonal is at most the radius, so all of its points are together. Whether two cells touch is mostly
+    told by the eight outermost points of each; only where it is not are points of one near the other's bounds compared.
+    """
+    side = radius / 1.41422
+    cut = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = points.withColumns({"cx": cut("x"), "cy": cut("y")})
+    point = F.struct("x", "y")
+    ways = (F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y"))
+    outer = F.array(*[f(point, w) for w in ways for f in (F.min_by, F.max_by)])
+    cells = placed.groupBy("cx", "cy").agg(F.min("id").alias("cell"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), outer.alias("outer"))
+    cells = written(cells, "cells")
+    members = placed.join(cells.select("cx", "cy", "cell"), ["cx", "cy"]).select("id", "cell")
+    one, two = (cells.select(F.struct(*cells.columns).alias(c)) for c in "ab")
+    # half of the cells about each, so that a pair is met once
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]))
+    one = one.withColumn("to", around).select("a", (F.col("a.cx") + F.col("to.dx")).alias("cx"), (F.col("a.cy") + F.col("to.dy")).alias("cy"))
+    two = two.withColumns({"cx": F.col("b.cx"), "cy": F.col("b.cy")})
+    d2 = lambda p, q: F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)
+    apart = lambda low, high, v: F.greatest(low - v, v - high, F.lit(0.0))
+    gap = lambda c: F.greatest(F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.lit(0.0))
+    # bounds only leave out what is surely too far: the comparison of points decides
+    loose = F.lit(radius * radius * (1 + 1e-9))
+    met = one.join(two, ["cx", "cy"]).where(F.pow(gap("x"), 2) + F.pow(gap("y"), 2) <= loose)
+    touch = F.exists("a.outer", lambda p: F.exists("b.outer", lambda q: d2(p, q) <= radius * radius))
+    met = written(met.select("a", "b", touch.alias("touch")), "cell-pairs")
+    open_ = met.where("NOT touch")
+
+    def near_other(own: str, other: str) -> DataFrame:
+        """Points of a cell of an undecided pair that may be within reach of the other cell's bounds."""
+        rows = placed.join(open_.withColumns({"cx": F.col(f"{own}.cx"), "cy": F.col(f"{own}.cy")}), ["cx", "cy"])
+        dx, dy = (apart(F.col(f"{other}.{c}0"), F.col(f"{other}.{c}1"), F.col(c)) for c in "xy")
+        return rows.where(dx * dx + dy * dy <= loose).select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), point.alias(own + "_at"))
+
+    both = near_other("a", "b").join(near_other("b", "a"), ["a", "b"])
+    found = both.where(d2(F.col("a_at"), F.col("b_at")) <= radius * radius).select("a", "b").distinct()
+    return members, met.where("touch").select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b")).unionByName(found)
+
+
 def clusters(points: DataFrame, radius: float, id_column: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """Connected components under a radius: id and cluster, numbered from 0 by least member. Points without a place are alone."""
-    pairs = near_pairs(points, radius, id_column, x, y).select("a", "b")
-    ids = points.select(F.col(id_column).alias("id"))
-    labels = ids.join(components(pairs).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    at = points.select(F.col(id_column).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    somewhere = F.coalesce(F.abs("x") + F.abs("y") < F.lit(float("inf")), F.lit(False))
+    members, links = cell_links(at.where(somewhere), radius)
+    joined = members.join(components(links).withColumnRenamed("node", "cell"), "cell", "left").select("id", F.coalesce("label", "cell").alias("label"))
+    labels = written(joined.unionByName(at.where(~somewhere).select("id", F.col("id").alias("label"))), "labels")
     names = numbered(labels.select("label").distinct(), "label", "cluster")
     return labels.join(names, "label").select("id", F.col("cluster").cast("int").alias("cluster"))
 

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -287,6 +288,19 @@ def plain_clusters(points, radius):
     return {p[0]: root(p[0]) for p in points}
 
 
+def test_dense_clusters(spark):
+    """Tens of thousands of points within a few radii, in two groups a hair apart, and lines along the edges of cells."""
+    rng = np.random.default_rng(4)
+    left, right = rng.uniform((0, 0), (20, 20), (20_000, 2)), rng.uniform((22.51, 0), (40, 20), (20_000, 2))
+    line = np.stack([np.arange(40) * 2.5 + 100, np.zeros(40)], axis=1)
+    loose = np.stack([np.arange(40) * 2.5000001 + 300, np.zeros(40)], axis=1)
+    rows = [(i, float(px), float(py)) for i, (px, py) in enumerate(np.concatenate([left, right, line, loose]))]
+    got = {r.id: r.cluster for r in sites.clusters(spark.createDataFrame(pd.DataFrame(rows, columns=["id", "x", "y"])), 2.5).collect()}
+    gap = (right[:, 0].min() - left[:, 0].max()) > 2.5
+    assert gap and {got[i] for i in range(20_000)} == {0} and {got[i] for i in range(20_000, 40_000)} == {1}
+    assert {got[i] for i in range(40_000, 40_040)} == {2} and [got[i] for i in range(40_040, 40_080)] == list(range(3, 43))
+
+
 def test_clusters_and_sweep(spark):
     points = points_of(6) + [(500, 1.0, 1.0), (501, 1.0, 1.0)]
     df = spark.createDataFrame(points, "id long, x double, y double")
