@@ -23,17 +23,22 @@ def candidates(rows: DataFrame, min_sites: int = MIN_SITES_PER_EVENT) -> DataFra
 
     A block's anchor is its site with most rows, then the least id. Each row of it makes one candidate with the row of
     corresponding rank of every other site. rows has block, site_id, peak_time_s, abs_tdoa_ms, t and row_id.
+
+    A row knows from its block's counts for which candidates it is wanted: a short stretch about rank / n of the anchor's rows,
+    of which those whose rank is mapped to its own count. So rows are dealt once, by block and site, and meet one row a site.
     """
-    placed = ranked(rows)
     counts = rows.groupBy("block", "site_id").agg(F.count("*").cast("int").alias("n"))
-    blocks = counts.groupBy("block").agg(F.count("*").cast("int").alias("n_sites"), F.max("n").alias("anchor_count")).where(F.col("n_sites") >= min_sites)
-    # a row for each candidate and site; candidates of a block number as many as the anchor's rows
-    wanted = counts.join(blocks, "block").withColumn("anchor_idx", F.explode(F.sequence(F.lit(0), F.col("anchor_count") - 1)))
-    anchors = counts.groupBy("block").agg(F.min_by("site_id", F.struct((-F.col("n")).alias("n"), "site_id")).alias("anchor"))
-    wanted = wanted.join(anchors, "block")
-    rank = F.when(F.col("site_id") == F.col("anchor"), F.col("anchor_idx")).otherwise(mapped_rank(F.col("anchor_idx"), F.col("anchor_count"), F.col("n")))
-    wanted = wanted.select("block", "site_id", "anchor_idx", "n_sites", rank.alias("rank"))
-    return placed.join(wanted, ["block", "site_id", "rank"]).drop("rank")
+    anchor = F.min_by("site_id", F.struct((-F.col("n")).alias("n"), "site_id"))
+    blocks = counts.groupBy("block").agg(F.count("*").cast("int").alias("n_sites"), F.max("n").alias("anchor_count"), anchor.alias("anchor")).where(F.col("n_sites") >= min_sites)
+    # no broadcast: what compresses to little in a shuffle may be much in memory; ranked rows are dealt and sorted for this join already
+    placed = ranked(rows).join(counts.join(blocks, "block").hint("merge"), ["block", "site_id"])
+    last, n, rank = F.col("anchor_count") - 1, F.col("n"), F.col("rank")
+    step = last / (n - 1)
+    low, high = F.floor((rank - 0.5) * step) - 1, F.ceil((rank + 0.5) * step) + 1
+    near = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, last).cast("int"))
+    own = F.when(F.col("site_id") == F.col("anchor"), F.array(rank)).when(n == 1, F.sequence(F.lit(0), last))
+    own = own.otherwise(F.filter(near, lambda i: mapped_rank(i, F.col("anchor_count"), n) == rank))
+    return placed.withColumn("anchor_idx", F.explode(own)).drop("rank", "n", "anchor_count", "anchor")
 
 
 def best_candidates(members: DataFrame, most: int = MAX_EVENTS_PER_BLOCK, exclusive: bool = False) -> DataFrame:

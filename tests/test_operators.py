@@ -369,3 +369,22 @@ def test_numbers_in_order(spark):
         assert sums[r.k] == total
         total += r.s
     assert numbered(keys.limit(0), "k", "at").collect() == []
+
+
+def test_candidates_of_all_counts_without_a_join_by_rank(spark):
+    """Ranks mapped to every pair of counts, halves to even; candidate rows are made where the ranked rows are, never broadcast."""
+    rows, want = [], set()
+    for block, (m, n) in enumerate((m, n) for m in range(1, 24) for n in range(1, m + 1)):
+        for site, count in ((1, m), (2, n)):
+            rows += [(block, site, float(i), 0.1, i, block * 1000 + site * 100 + i) for i in range(count)]
+        for i in range(m):
+            # as in the SQL: a quotient, a product, and then the even one of two as near
+            want |= {(block, i, 1, block * 1000 + 100 + i), (block, i, 2, block * 1000 + 200 + (round(i / (m - 1) * (n - 1)) if m > 1 and n > 1 else 0))}
+    rows += [(900, 1, 0.0, 0.1, 0, 1), (None, 1, 0.0, 0.1, 0, 2), (None, 2, 0.0, 0.1, 0, 3)]  # a block of one site, and none
+    df = spark.createDataFrame(rows, "block long, site_id int, peak_time_s double, abs_tdoa_ms double, t long, row_id long")
+    got = events.candidates(df).select("block", "anchor_idx", "site_id", "row_id", "n_sites")
+    assert sorted(map(tuple, got.collect())) == sorted((*w, 2) for w in want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and not any("rank" in line for line in joins)
+    assert not any("Broadcast" in line and "site_id" in line.split("Join")[1] for line in joins)
