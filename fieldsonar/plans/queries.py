@@ -503,44 +503,42 @@ def triangulate(spark, sf):
     return solver.solve(members).drop("bearings")
 
 
-def _recordings(spark: SparkSession, sf: str) -> DataFrame:
-    """Stereo recordings (rec, content) that are made for every supplier: a burst, late in one channel by a known lag."""
-    import pyarrow as pa
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("rec"))
 
-    def record(batches):
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows, each of which stands for a recording, in as many tasks as a shuffle has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _recordings() -> audio.Contents:
+    """What makes a stereo recording for each rec, in the pass that reads it: a burst, late in one channel by a known lag."""
+
+    def made(batch):
         import io
         import wave
 
-        for batch in batches:
-            keys, bodies = batch.column(0).to_pylist(), []
-            for k in keys:
-                rng, rate = np.random.default_rng(k), 48_000
-                call = rng.normal(0, 0.2, int(0.4 * rate)) * np.hanning(int(0.4 * rate))
-                x = np.zeros((3 * rate, 2))
-                lag = k % 41 - 20
-                x[60_000 : 60_000 + len(call), 1] += call
-                x[60_000 + lag : 60_000 + lag + len(call), 0] += call
-                out = io.BytesIO()
-                with wave.open(out, "wb") as f:
-                    f.setnchannels(2)
-                    f.setsampwidth(4)
-                    f.setframerate(rate)
-                    f.writeframes((np.clip(x, -1, 1) * (2**31 - 1)).astype("<i4").tobytes())
-                bodies.append(out.getvalue())
-                if len(bodies) == 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[: len(bodies)]), pa.array(bodies, pa.binary())], names=["rec", "content"])
-                    keys, bodies = keys[len(bodies) :], []
-            if bodies:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary())], names=["rec", "content"])
-
-    keys = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("rec")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return keys.mapInArrow(record, "rec long, content binary")
+        for k in batch.column("rec").to_pylist():
+            rng, rate = np.random.default_rng(k), 48_000
+            call = rng.normal(0, 0.2, int(0.4 * rate)) * np.hanning(int(0.4 * rate))
+            lag, frames = k % 41 - 20, np.zeros((3 * rate, 2), "<i4")
+            frames[60_000 : 60_000 + len(call), 1] = frames[60_000 + lag : 60_000 + lag + len(call), 0] = np.clip(call, -1, 1) * (2**31 - 1)
+            out = io.BytesIO()
+            with wave.open(out, "wb") as f:
+                f.setnchannels(2)
+                f.setsampwidth(4)
+                f.setframerate(rate)
+                f.writeframes(frames.tobytes())
+            yield out.getvalue()
+
+    return made
 
 
 @query()
 def gcc_phat_tdoa(spark, sf):
     """Delays of one window of every made recording, in one narrow pass."""
-    return audio.calls(_recordings(spark, sf), lambda channel, rate, allowed, confidence, overlap: [(0.0, 3.0, "call", 1.0)], keys=("rec",))
+    return audio.calls(_dealt(_suppliers(spark, sf)), lambda channel, rate, allowed, confidence, overlap: [(0.0, 3.0, "call", 1.0)], keys=("rec",), contents=_recordings())
 
 
 def _known_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -589,7 +587,9 @@ def many_site_events(spark, sf):
 def known_lags(spark, sf):
     """The lag of every made recording, to the nearest sample, by the frequencies that the filter passes, and the length of its cut."""
     windows = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("rec"), F.lit(0.0).alias("start_s"), F.lit(3.0).alias("end_s"), F.lit("left,right").alias("detected_by"))
-    got = audio.delays(_recordings(spark, sf), windows, ("rec",), (S.BAND_LOW_HZ, S.BAND_HIGH_HZ))
+    # windows meet what names a recording, never its content
+    rows = _suppliers(spark, sf).join(audio.gathered(windows, ("rec",)).hint("merge"), "rec")
+    got = audio.window_delays(_dealt(rows), ("rec",), (S.BAND_LOW_HZ, S.BAND_HIGH_HZ), _recordings())
     return got.select("rec", F.round("lag_samples").cast("long").alias("lag"), "detected_by", F.round(F.col("gcc_end_s") - F.col("gcc_start_s"), 6).alias("cut_s"), "too_short")
 
 

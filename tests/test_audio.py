@@ -106,3 +106,35 @@ def test_pass_over_recordings(spark):
     assert [r.too_short for r in got] == [False, True] and got[0].detected_by == "left,right"
     assert got[0].lag_samples == pytest.approx(5, abs=0.2) and (got[0].bearing_1_deg + got[0].bearing_2_deg) % 360 == pytest.approx(180)
     assert audio.delays(rec, windows.limit(0)).collect() == []
+
+
+def test_recordings_are_never_broadcast(spark):
+    """The planner takes binary columns of unknown length for small: neither side of delays() goes through the driver."""
+    rec = spark.range(40).selectExpr("CAST(id AS STRING) AS wav_file", "id").mapInArrow(lambda batches: batches, "wav_file string, id long").selectExpr("wav_file", "CAST(wav_file AS BINARY) AS content")
+    windows = spark.range(40).selectExpr("CAST(id AS STRING) AS wav_file", "0D AS start_s", "3D AS end_s", "'left,right' AS detected_by")
+    got = audio.delays(rec, windows, ("wav_file",))
+    assert got.collect() == []
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_made_in_the_pass(spark):
+    """Recordings that a function gives for each row are measured as those of a column are; both hold one at a time."""
+    rows = [(f"{lag}.wav", wav(call(lag), 4)) for lag in (-20, 3)] + [("bad.wav", b"x"), ("null.wav", None)]
+    held = dict(rows)
+    rec = spark.createDataFrame(rows, "wav_file string, content binary")
+    contents = lambda batch: (held[n] for n in batch.column("wav_file").to_pylist())
+    detector = lambda channel, rate, allowed, confidence, overlap: [(0.0, 3.0, "bird", 0.9)]
+    want = sorted(audio.calls(rec, detector, keys=("wav_file",)).collect())
+    assert len(want) == 2 and sorted(audio.calls(rec.select("wav_file"), detector, keys=("wav_file",), contents=contents).collect()) == want
+    windows = spark.createDataFrame([(n, 0.0, 3.0, "left,right") for n, _ in rows], "wav_file string, start_s double, end_s double, detected_by string")
+    named = rec.select("wav_file").join(audio.gathered(windows, ("wav_file",)), "wav_file")
+    assert sorted(audio.window_delays(named, ("wav_file",), contents=contents).collect()) == want == sorted(audio.delays(rec, windows, ("wav_file",)).collect())
+
+
+def test_signals_side_by_side():
+    """Two signals at once are what each is alone, at lengths about a group of blocks."""
+    kernel = audio.Recursive(audio.band_pass(RATE))
+    whole = kernel.block * audio.GROUP
+    for n in (28, kernel.block, whole - 1, whole, whole + 1, 3 * whole + 7):
+        x = np.random.default_rng(n).normal(size=(2, n))
+        assert np.abs(kernel.both_ways(x) - np.stack([kernel.both_ways(x[0]), kernel.both_ways(x[1])])).max() < 1e-12
