@@ -111,37 +111,119 @@ def radius_sweep(points: DataFrame, target: int, id_column: str = "id", x: str =
     """For each radius of the sweep, how many clusters it makes: radius_m, n_clusters.
 
     Clusters under a radius are the points less the edges of a minimum spanning forest that are no longer than it, so
-    one forest (of the pairs within the largest radius) answers the whole sweep: its edges are counted by the step that
-    they first count in, and the counts added up over the steps.
+    one forest answers the whole sweep: its edges are counted by the step that they first count in, and the counts added up
+    over the steps. Edges no longer than the least radius need only be counted, which its clusters tell. Points without a
+    place are alone.
     """
     spark = points.sparkSession
     steps = int(round((high - low) / step))
     first = F.greatest(F.ceil((F.col("distance") - low) / step), F.lit(0)).cast("int")
     # the quotient may round to either side of a step: the comparison with the radius itself decides
     first = F.when((first > 0) & (F.col("distance") <= (first - 1) * step + low), first - 1).when(F.col("distance") > first * step + low, first + 1).otherwise(first)
-    counts = spanning_forest(points, high, id_column, x, y).select(first.alias("k")).groupBy("k").agg(F.count("*").alias("joined"))
-    n = points.agg(F.count("*").alias("points"))
+    at = points.select(F.col(id_column).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    somewhere = F.coalesce(F.abs("x") + F.abs("y") < F.lit(float("inf")), F.lit(False))
+    alone = at.where(~somewhere).agg(F.count("*").alias("alone"))
+    places = written(at.where(somewhere).groupBy("x", "y").agg(F.min("id").alias("id")), "places")
+    forest, parts = long_edges(places, low, high)
+    counts = forest.select(first.alias("k")).groupBy("k").agg(F.count("*").alias("joined"))
+    n = alone.crossJoin(parts)
     radii = spark.range(steps + 1).select(F.col("id").cast("int").alias("k"))
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # one row a radius
     sums = radii.join(counts, "k", "left").select("k", F.sum(F.coalesce("joined", F.lit(0))).over(upto).alias("joined"))
-    return sums.crossJoin(n).select((F.col("k") * step + low).alias("radius_m"), (F.col("points") - F.col("joined")).alias("n_clusters"))
+    return sums.crossJoin(n).select((F.col("k") * step + low).alias("radius_m"), (F.col("alone") + F.col("parts") - F.col("joined")).alias("n_clusters"))
+
+
+def long_edges(places: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """Of places (id, x, y; no two the same): the lengths (distance) of those edges of a minimum spanning forest of the pairs
+    within `high` that are longer than `low`, and in one row how many clusters there are under `low` (parts).
+
+    Lengths are taken up by octaves. Under an octave's lower end all places of a cell are in one cluster, so only pairs of
+    near cells of different clusters matter, and of these the shortest distance: a cell has few near cells, however many
+    places lie in them. Each octave's edges join its clusters to those of the next.
+    """
+    spark, radius = places.sparkSession, low
+    links = cell_links(places, low)
+    named = links[0].join(components(links[1]).withColumnRenamed("node", "cell"), "cell", "left").select("id", F.coalesce("label", "cell").alias("part"))
+    now = written(places.join(named, "id").select("id", "x", "y", "part"), "parts")
+    parts = written(now.agg(F.count_distinct("part").alias("parts")), "parts-number")
+    out = spark.createDataFrame([], "distance double")
+    while radius < high:
+        wide = min(2 * radius, high)
+        near = written(nearest_parts(now, radius, wide), "near-parts")
+        if not near.isEmpty():
+            forest = written(forest_of(near, wide).select("a", "b", "distance"), "forest")
+            out = out.unionByName(forest.select("distance"))
+            labels = components(forest.select("a", "b")).withColumnsRenamed({"node": "part", "label": "whole"})
+            now = written(now.join(labels, "part", "left").select("id", "x", "y", F.coalesce("whole", "part").alias("part")), "parts")
+        radius = wide
+    return out, parts
+
+
+def nearest_parts(places: DataFrame, radius: float, wide: float) -> DataFrame:
+    """Pairs of clusters (a < b) under a radius that are no further apart than `wide`, their distance, and a place of each (ax, ay, bx, by).
+
+    places has id, x, y and part, the cluster under `radius`. How far the outermost places of two cells are apart bounds
+    the distance of their clusters; only places that may be within the least of such bounds are compared.
+    """
+    side = radius / 1.41422
+    cut = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = places.withColumns({"cx": cut("x"), "cy": cut("y")})
+    point, ways = F.struct("x", "y"), (F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y"))
+    outer = F.array(*[f(point, w) for w in ways for f in (F.min_by, F.max_by)])
+    cells = placed.groupBy("cx", "cy", "part").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), outer.alias("outer"))
+    cells = written(cells, "cells")
+    reach = int(wide / side) + 1
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(reach + 1) for dy in range(-reach, reach + 1) if (dx, dy) > (0, 0)]))
+    one, two = (cells.select(F.struct(*cells.columns).alias(c)) for c in "ab")
+    one = one.withColumn("to", around).select("a", (F.col("a.cx") + F.col("to.dx")).alias("cx"), (F.col("a.cy") + F.col("to.dy")).alias("cy"))
+    two = two.withColumns({"cx": F.col("b.cx"), "cy": F.col("b.cy")})
+    d2 = lambda p, q: F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)
+    apart = lambda low, high, v: F.greatest(low - v, v - high, F.lit(0.0))
+    gap = lambda c: F.greatest(F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.lit(0.0))
+    slack = 1 + 1e-9
+    met = one.join(two.hint("merge"), ["cx", "cy"]).where("a.part != b.part").withColumn("least", F.pow(gap("x"), 2) + F.pow(gap("y"), 2))
+    bound = F.array_min(F.transform("a.outer", lambda p: F.array_min(F.transform("b.outer", lambda q: d2(p, q)))))
+    met = met.where(F.col("least") <= wide * wide * slack).withColumn("bound", F.least(bound, F.lit(wide * wide)))
+    met = met.withColumns({"p": F.least("a.part", "b.part"), "q": F.greatest("a.part", "b.part")}).drop("cx", "cy")
+    met = written(met, "cell-pairs")
+    bounds = met.groupBy("p", "q").agg(F.min("bound").alias("limit"))
+    met = written(met.join(bounds, ["p", "q"]).where(F.col("least") <= F.col("limit") * slack), "cell-pairs-near")
+
+    def near_other(own: str, other: str) -> DataFrame:
+        """Places of a cell that may be within the bound of the other cell's."""
+        rows = placed.join(met.withColumns({"cx": F.col(f"{own}.cx"), "cy": F.col(f"{own}.cy"), "part": F.col(f"{own}.part")}), ["cx", "cy", "part"])
+        dx, dy = (apart(F.col(f"{other}.{c}0"), F.col(f"{other}.{c}1"), F.col(c)) for c in "xy")
+        rows = rows.where(dx * dx + dy * dy <= F.col("limit") * slack)
+        cell = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "ab" for k in ("cx", "cy", "part")]
+        return rows.select(*cell, point.alias(own + "_at"))
+
+    both = near_other("a", "b").join(near_other("b", "a"), [f"{c}{k}" for c in "ab" for k in ("cx", "cy", "part")])
+    both = both.withColumn("d2", d2(F.col("a_at"), F.col("b_at"))).where(F.col("d2") <= wide * wide)
+    pair = both.select(F.least("apart", "bpart").alias("a"), F.greatest("apart", "bpart").alias("b"), "d2").groupBy("a", "b").agg(F.sqrt(F.min("d2")).alias("distance"))
+    # a cluster lies where its least place, whose id is its name, lies
+    homes = [places.where("id = part").select(F.col("id").alias(c), F.col("x").alias(c + "x"), F.col("y").alias(c + "y")) for c in "ab"]
+    return pair.join(homes[0], "a").join(homes[1], "b")
 
 
 def spanning_forest(points: DataFrame, radius: float, id_column: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """Edges (a, b, distance) of a minimum spanning forest of the pairs within a radius; equal lengths go by a and b.
+    """Edges (a, b, distance) of a minimum spanning forest of the pairs within a radius; equal lengths go by a and b."""
+    at = points.select(F.col(id_column).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    here, there = (at.toDF(c, c + "x", c + "y") for c in "ab")
+    return forest_of(near_pairs(points, radius, id_column, x, y).join(here, "a").join(there, "b"), radius)
+
+
+def forest_of(pairs: DataFrame, radius: float) -> DataFrame:
+    """Edges (a, b, distance) of a minimum spanning forest of pairs (a, b, distance, and where each is: ax, ay, bx, by); equal lengths go by a and b.
 
     The plane is cut into cells of COARSER radii, whose tasks take edges in ascending length. An edge between two parts of
     which one has no edge out of the cell is the shortest that leaves that part, so it is in the forest; those between
     two parts with edges out wait, unless they close a circle. Cells then grow by COARSER on each side until none is
     left. What goes on to the next level is what touches the borders, so no task holds a whole plane of points.
     """
-    spark = points.sparkSession
-    kind = points.schema[id_column].dataType.simpleString()
-    near = near_pairs(points, radius, id_column, x, y)
-    cell = lambda c: F.floor(F.col(c) / (COARSER * radius)).cast("long")
-    at = points.select(F.col(id_column).alias("id"), cell(x).alias("cx"), cell(y).alias("cy"))
-    here, there = (at.select(F.col("id").alias(c), F.col("cx").alias(c + "x"), F.col("cy").alias(c + "y")) for c in "ab")
-    edges = near.join(here, "a").join(there, "b").select("a", "b", "distance", F.col("a").alias("ea"), F.col("b").alias("eb"), "ax", "ay", "bx", "by")
+    spark = pairs.sparkSession
+    kind = pairs.schema["a"].dataType.simpleString()
+    cell = lambda c: F.floor(F.col(c) / (COARSER * radius)).cast("long").alias(c)
+    edges = pairs.select("a", "b", "distance", F.col("a").alias("ea"), F.col("b").alias("eb"), *[cell(c) for c in ("ax", "ay", "bx", "by")])
     edges = written(edges, "edges")
     # cells are counted from the least one, so that all of them are one in the end, also those on two sides of zero
     west, south = edges.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))).first()

@@ -388,3 +388,20 @@ def test_candidates_of_all_counts_without_a_join_by_rank(spark):
     joins = [line for line in plan.splitlines() if "Join [" in line]
     assert joins and not any("rank" in line for line in joins)
     assert not any("Broadcast" in line and "site_id" in line.split("Join")[1] for line in joins)
+
+
+def test_sweep_of_dense_points(spark):
+    """Thousands of points within one radius, copies of them, a gap between two dense groups that only some radii close, and points without a place."""
+    rng = np.random.default_rng(8)
+    left, right = rng.uniform((0, 0), (10, 10), (6_000, 2)), rng.uniform((13.3, 0), (20, 10), (6_000, 2))
+    grid = np.stack(np.meshgrid(np.arange(12) * 2.5 - 200, np.arange(12) * 3.0), axis=-1).reshape(-1, 2)
+    at = np.concatenate([left, right, grid, left[:3000], [[np.nan, 1.0], [np.inf, 2.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]}))
+    df = df.unionByName(spark.createDataFrame([(len(at), None, 1.0)], "id long, x double, y double"))
+    got = {r.radius_m: r.n_clusters for r in sites.radius_sweep(df, 3, low=1.0, high=8.0, step=0.25).collect()}
+    # the nearest places on either side, by the few near the gap
+    a, b = left[left[:, 0] > 9.5], right[right[:, 0] < 13.8]
+    gap = float(np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)).min())
+    assert len(got) == 29 and 3.3 < gap < 4
+    for radius, n in got.items():
+        assert n == 3 + (2 if radius < gap else 1) + (144 if radius < 2.5 else 12 if radius < 3 else 1), radius
