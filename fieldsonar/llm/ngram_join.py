@@ -123,8 +123,11 @@ def heat(docs: DataFrame, width: int) -> np.ndarray:
 
     total = summed(docs.select(text_column(docs).alias("t")), count, COUNTERS)
     noise = float(np.median(np.abs(total))) / 0.6745
-    times = np.stack([-total, total], axis=1).ravel() / max(FREQUENT, 6 * noise)
-    return np.where(times >= 1, 1 + np.floor(np.log2(np.maximum(times, 1))), 0).astype(np.uint8)
+    out = np.zeros((COUNTERS, 2), np.uint8)
+    for k, sign in enumerate((-1, 1)):  # few counters stand out, so nothing as long as all of them is made
+        some = np.flatnonzero(sign * total >= max(FREQUENT, 6 * noise))
+        out[some, k] = 1 + np.floor(np.log2(sign * total[some] / max(FREQUENT, 6 * noise)))
+    return out.ravel()
 
 
 def _row_key(docs: DataFrame, key: str, text: str) -> Column:
@@ -496,6 +499,13 @@ def _held(docs: DataFrame, groups: DataFrame, classes: DataFrame, measure: Measu
     return out
 
 
+def _grown(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of what has labels, each a star already, and of more edges. These are deleted, the first labels' table is not."""
+    out = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    remove(more.sparkSession, more)
+    return out
+
+
 def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc, row (a key of the row), node, n (set size), group (its class's label) and component.
 
@@ -516,8 +526,7 @@ def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "
     edges = written(possible(opened, classes, measure), "possible")
     groups = components(edges)
     if not opened.where(F.col("rows") > TILE).isEmpty():
-        first, edges = groups, edges.unionByName(written(across(opened, classes, groups, measure), "possible"))
-        groups = components(edges)
+        first, groups = groups, _grown(groups, written(across(opened, classes, groups, measure), "possible"))
         remove(spark, first)
     remove(spark, opened, edges)
 
@@ -526,8 +535,7 @@ def linked(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "
     links = written(settled(held, measure), "links")
     labels = components(links)
     if not held.where(F.col("size") > TILE).isEmpty():
-        first, links = labels, links.unionByName(written(settled_across(held, labels, measure), "links"))
-        labels = components(links)
+        first, labels = labels, _grown(labels, written(settled_across(held, labels, measure), "links"))
         remove(spark, first)
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))

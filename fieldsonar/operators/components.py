@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import remove, written
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and sum, which are observed meanwhile and cost no scan."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,8 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of the nodes; a round without a change ends the loop. A null end is no edge; loops and repeated edges
     change nothing; an empty table gives an empty one. The table is a written one (see remove()).
     """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _sum(now)
+    now, before = _written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
         # large star: the neighbours above a node go to the least of it and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,8 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         below = large.where("a != b").distinct()
         low = below.groupBy("a").agg(F.min("b").alias("m"))
         small = below.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
-        new = _sum(after)
+        after, new = _written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
         remove(now.sparkSession, now)
         now = after
         if new == before:

@@ -7,6 +7,7 @@ import pytest
 
 from fieldsonar.llm import ngram_join as J
 from fieldsonar.operators.components import components
+from fieldsonar.storage import written
 from tests.llm.util import frame, no_rows, odd_rows, prose, words
 
 
@@ -99,3 +100,26 @@ def test_components(spark):
     linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_few_jobs(spark):
+    """Whether a round changed anything is observed while it is written, without a scan and jobs of its own."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(9, 9), (90, 80)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = components(edges)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {r.node: r.label for r in got.collect()} == {**dict.fromkeys(range(41), 0), 80: 80, 90: 80}
+    assert jobs <= 60
+
+
+def test_grown_components(spark):
+    first = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long"))
+    more = written(spark.createDataFrame([(3, 11), (30, 31), (5, 5)], "a long, b long"), "more")
+    got = {r.node: r.label for r in J._grown(first, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+    none = written(spark.createDataFrame([], "a long, b long"), "more")
+    assert {r.node: r.label for r in J._grown(first, none).collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+    assert components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).collect() == []
